@@ -68,7 +68,7 @@ def bottom_k_mean(values: Column, k: float) -> Column:
     """Negated mean of the smallest `max(1, int(n*k))` values; 0 when empty."""
     n = F.size(values)
     take = F.greatest(F.lit(1), (n.cast("double") * F.lit(float(k))).cast("int"))
-    lowest = F.slice(F.array_sort(values), F.lit(1), take)
+    lowest = F.slice(F.sort_array(values), F.lit(1), take)
     return F.when(n > 0, -_sum(lowest) / take).otherwise(F.lit(0.0))
 
 

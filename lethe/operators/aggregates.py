@@ -13,13 +13,56 @@ from pyspark.sql import functions as F
 
 from lethe.functions import scores as S
 from lethe.functions.ks import ks_pvalue
-from lethe.operators.order import cut_points, running_sums
+from lethe.operators.order import running_sums
+from lethe.session import materialise
 
 
 class AlignmentError(ValueError):
     """Two result sets do not hold the same examples."""
 
 
+def losses_from_tokens(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """avg_loss and prob per example from a table with one row per token.
+
+    Tokens of an example collapse on the map side, so one row per example and
+    task is shuffled and an example of any length is fine.
+    """
+    labelled = F.col("label_id") != S.IGNORE_INDEX
+    sums = tokens.groupBy(*keys).agg(
+        F.sum(F.when(labelled, -F.col("logprob"))).alias("_loss"), F.count(F.when(labelled, 1)).alias("_n")
+    )
+    loss = F.when(F.col("_n") > 0, F.coalesce("_loss", F.lit(0.0)) / F.greatest("_n", F.lit(1))).otherwise(
+        F.lit(float("nan"))
+    )
+    return sums.select(*keys, loss.alias("avg_loss")).withColumn("prob", S.prob_from_loss(F.col("avg_loss")))
+
+
+def memorization_from_tokens(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Exact memorization per example from one row per token; the last labelled
+    token is taken out again by its own hit."""
+    kept = tokens.where(F.col("label_id") != S.IGNORE_INDEX).withColumn(
+        "_hit", (F.col("pred_id") == F.col("label_id")).cast("int")
+    )
+    sums = kept.groupBy(*keys).agg(
+        F.sum("_hit").alias("_hits"), F.count("*").alias("_n"), F.max_by("_hit", "pos").alias("_last")
+    )
+    return sums.where(F.col("_n") > 1).select(
+        *keys, ((F.col("_hits") - F.col("_last")) / (F.col("_n") - 1)).alias("score")
+    )
+
+
+def pack_tokens(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per example with its tokens as an array in position order.
+
+    An array is as long as the model's context at most.
+    """
+    fields = [c for c in tokens.columns if c not in keys and c != "pos"]
+    packed = tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("_t"))
+    return packed.select(
+        *keys, F.transform("_t", lambda t: F.struct(*[t[f].alias(f) for f in fields])).alias("tokens")
+    )
+
+
 def mean_over_answers(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """One value per example: the mean over its answers."""
     return df.groupBy(*keys).agg(F.avg(value).alias(value))
@@ -30,9 +73,10 @@ def two_level_mean(
 ) -> DataFrame:
     """Mean over answers within an example, then over examples.
 
-    Null scores are left out; NaN is kept.
+    Null scores are left out (as `avg` does; a filter on the score would be
+    pushed below its computation and run it twice); NaN is kept.
     """
-    per_example = mean_over_answers(df.where(F.col(value).isNotNull()), value, [*group, *example])
+    per_example = mean_over_answers(df, value, [*group, *example])
     return per_example.groupBy(*group).agg(F.avg(value).alias(name))
 
 
@@ -96,12 +140,15 @@ def truth_ratio_agg(ratios: DataFrame, aggregator: str, group: Sequence[str] = (
     return ratios.groupBy(*group).agg(F.avg(shape(F.col("score"))).alias(name))
 
 
-def _two_sample_counts(df: DataFrame, group: Sequence[str], score: str, first: Column) -> tuple[DataFrame, list[float]]:
-    """Rows per distinct score of each of two samples, and cuts over the scores."""
+def _two_sample_counts(df: DataFrame, group: Sequence[str], score: str, first: Column) -> DataFrame:
+    """Rows per distinct score of each of two samples.
+
+    Stored, because ordering reads it three times and scores are costly to make.
+    """
     counts = df.groupBy(*group, score).agg(
         F.sum(first.cast("long")).alias("n_a"), F.sum((~first).cast("long")).alias("n_b")
     )
-    return counts, cut_points(df, score)
+    return materialise(counts, "score-counts")
 
 
 def roc_auc(
@@ -111,8 +158,8 @@ def roc_auc(
 
     Scores are counted per distinct value first, so ties never straddle buckets.
     """
-    counts, cuts = _two_sample_counts(df, group, score, F.col(population) != positive)
-    ranked = running_sums(counts, score, ["n_a"], group, cuts)
+    counts = _two_sample_counts(df, group, score, F.col(population) != positive)
+    ranked = running_sums(counts, score, ["n_a"], group)
     wide = "decimal(38,0)"
     below = F.col("n_b").cast(wide) * (2 * F.col("n_a_before") + F.col("n_a")).cast("decimal(20,0)")
     sums = ranked.groupBy(*group).agg(
@@ -134,8 +181,8 @@ def ks_statistic(
 ) -> DataFrame:
     """Two-sample KS: sizes, the exact integer max |c1*n2 - c2*n1| and D."""
     group = list(group)
-    counts, cuts = _two_sample_counts(df, group, score, F.col(sample) == first)
-    ranked = running_sums(counts, score, ["n_a", "n_b"], group, cuts)
+    counts = _two_sample_counts(df, group, score, F.col(sample) == first)
+    ranked = running_sums(counts, score, ["n_a", "n_b"], group)
     sizes = counts.groupBy(*group).agg(F.sum("n_a").alias("n1"), F.sum("n_b").alias("n2"))
     # without groups `sizes` is one row
     joined = ranked.join(sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))

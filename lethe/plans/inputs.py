@@ -19,43 +19,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a table stored in fewer files than there are cores one task per core.
+
+    Large tables have enough splits and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---------------------------------------------------------------- tokens
 
-def token_array(doc_id: Column, words: Column, salt: Column, answer: Column) -> Column:
-    n = F.size(words)
+LABEL, LOGPROB, PRED, MU, SIGMA2 = "label_id", "logprob", "pred_id", "mu", "sigma2"
 
-    def token(word: Column, pos: Column) -> Column:
-        length = F.length(word)
-        return F.struct(
-            F.when(pos >= F.least(F.lit(PROMPT_WORDS), n - 1), length).otherwise(F.lit(-100)).alias("label_id"),
-            (-(((doc_id * 31 + pos * 17 + salt + answer * 7) % 97) + 1).cast("double") / F.lit(32.0)).alias("logprob"),
-            (length + ((doc_id + pos + salt) % 3 == 0).cast("int")).alias("pred_id"),
-            (-(((doc_id + pos * 5 + salt) % 31) + 1).cast("double") / F.lit(16.0)).alias("mu"),
-            (((doc_id * 3 + pos + salt) % 13).cast("double") / F.lit(8.0)).alias("sigma2"),
-        )
 
-    return F.transform(words, token)
+def _token_fields(doc_id: Column, n: Column, word: Column, pos: Column, salt: Column, answer: Column) -> dict[str, Column]:
+    length = F.length(word)
+    labelled = pos >= F.least(F.lit(PROMPT_WORDS), n - 1)
+    return {
+        LABEL: F.when(labelled, length).otherwise(F.lit(-100)),
+        LOGPROB: -(((doc_id * 31 + pos * 17 + salt + answer * 7) % 97) + 1).cast("double") / F.lit(32.0),
+        PRED: length + ((doc_id + pos + salt) % 3 == 0).cast("int"),
+        MU: -(((doc_id + pos * 5 + salt) % 31) + 1).cast("double") / F.lit(16.0),
+        SIGMA2: ((doc_id * 3 + pos + salt) % 13).cast("double") / F.lit(8.0),
+    }
+
+
+def _examples(spark: SparkSession, sf_dir: str, salts: dict[str, int] | None, answers: int) -> DataFrame:
+    salts = salts or {"target": 0}
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), "source", "text")
+    docs = spread(docs, "index").select("index", "source", F.split("text", WORD_SPLIT).alias("words"))
+    runs = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(s).alias("salt")) for r, s in salts.items()])
+    ids = F.array(*[F.lit(a) for a in range(answers)])
+    if len(salts) == 1 and answers == 1:
+        (run, salt), = salts.items()
+        return docs.select("*", F.lit(run).alias("run"), F.lit(salt).alias("salt"), F.lit(0).alias("answer_idx"))
+    each = docs.select("*", F.explode(runs).alias("r")).select("*", F.explode(ids).alias("answer_idx"))
+    return each.select("index", "source", "words", "r.run", "r.salt", "answer_idx")
 
 
 def token_scores(
-    spark: SparkSession, sf_dir: str, salts: dict[str, int] | None = None, answers: int = 1
+    spark: SparkSession,
+    sf_dir: str,
+    salts: dict[str, int] | None = None,
+    answers: int = 1,
+    fields: tuple[str, ...] = (LABEL, LOGPROB, PRED),
 ) -> DataFrame:
-    """(run, source, index, answer_idx, words, tokens): every document, whole text."""
-    salts = salts or {"target": 0}
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.split("text", WORD_SPLIT).alias("words")
+    """One row per example with a token array: every document, whole text."""
+    index, n, salt, answer = F.col("index"), F.size("words"), F.col("salt"), F.col("answer_idx")
+
+    def token(word: Column, pos: Column) -> Column:
+        made = _token_fields(index, n, word, pos, salt, answer)
+        return F.struct(*[made[f].alias(f) for f in fields])
+
+    return _examples(spark, sf_dir, salts, answers).select(
+        "run", "source", "index", "answer_idx", "words", F.transform("words", token).alias("tokens")
     )
-    runs = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(s).alias("salt")) for r, s in salts.items()])
-    each = docs.select("*", F.explode(runs).alias("r"))
-    each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(answers - 1))).alias("answer_idx"))
-    return each.select(
-        F.col("r.run").alias("run"),
-        "source",
-        F.col("doc_id").alias("index"),
-        "answer_idx",
-        "words",
-        token_array(F.col("doc_id"), F.col("words"), F.col("r.salt"), F.col("answer_idx")).alias("tokens"),
+
+
+def token_rows(
+    spark: SparkSession,
+    sf_dir: str,
+    salts: dict[str, int] | None = None,
+    answers: int = 1,
+    fields: tuple[str, ...] = (LABEL, LOGPROB),
+) -> DataFrame:
+    """One row per token, for the aggregates that read model output as it is written."""
+    words = _examples(spark, sf_dir, salts, answers).select(
+        "run", "salt", "source", "index", "answer_idx", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word")
     )
+    made = _token_fields(*[F.col(c) for c in ("index", "n", "word", "pos", "salt", "answer_idx")])
+    return words.select("run", "source", "index", "answer_idx", "pos", *[made[f].alias(f) for f in fields])
 
 
 def token_sql(salts: dict[str, int] | None = None, answers: int = 1) -> str:
@@ -133,7 +167,7 @@ qa AS (
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(index, input, ground_truth, generation): the answer with every fifth word
     dropped and every seventh swapped for a word of the question."""
-    qa = qa_pairs(spark, sf_dir)
+    qa = spread(qa_pairs(spark, sf_dir), "item_key")
     words = F.split("ground_truth", WORD_SPLIT)
     asked = F.split("input", WORD_SPLIT)
     return (
@@ -171,8 +205,9 @@ gen AS (
 
 
 def scores_by_example(spark: SparkSession, sf_dir: str, salts: dict[str, int], answers: int) -> DataFrame:
-    from lethe.functions import scores as S
+    """(run, source, index, answer_idx, avg_loss, prob) for every document."""
+    from lethe.operators.aggregates import losses_from_tokens
 
-    return token_scores(spark, sf_dir, salts, answers).select(
-        "run", "source", "index", "answer_idx", S.avg_loss(F.col("tokens")).alias("avg_loss")
+    return losses_from_tokens(
+        token_rows(spark, sf_dir, salts, answers), ["run", "source", "index", "answer_idx"]
     )

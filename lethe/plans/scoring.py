@@ -12,9 +12,15 @@ from lethe.operators.tokens import zlib_score
 from lethe.plans.catalog import query
 from lethe.plans.inputs import (
     GENERATIONS_SQL,
+    LABEL,
+    LOGPROB,
+    MU,
     POPULATION_SQL,
+    PRED,
+    SIGMA2,
     generations,
     scores_by_example,
+    token_rows,
     token_scores,
     token_sql,
     with_population,
@@ -22,6 +28,7 @@ from lethe.plans.inputs import (
 
 BOTH = {"target": 0, "retain": 5}
 TOK = F.col("tokens")
+LOSS, MATCH, MOMENTS = (LABEL, LOGPROB), (LABEL, PRED), (LABEL, LOGPROB, MU, SIGMA2)
 
 
 def r6(column, name: str):
@@ -36,10 +43,31 @@ def r6(column, name: str):
 SELECT index, round(avg_loss, 6) AS avg_loss, round(exp(-avg_loss), 6) AS prob FROM loss""",
 )
 def scr1(spark: SparkSession, sf: str) -> DataFrame:
-    scored = token_scores(spark, sf).select("index", S.avg_loss(TOK).alias("avg_loss"))
+    scored = token_scores(spark, sf, fields=LOSS).select("index", S.avg_loss(TOK).alias("avg_loss"))
     return scored.select("index", r6(F.col("avg_loss"), "avg_loss"), r6(S.prob_from_loss(F.col("avg_loss")), "prob"))
 
 
+@query(
+    "scr1_avg_loss_prob_token_rows",
+    f"""WITH {token_sql(answers=2)}
+SELECT index, answer_idx::INTEGER AS answer_idx, round(avg_loss, 6) AS avg_loss, round(exp(-avg_loss), 6) AS prob FROM loss""",
+)
+def scr1_rows(spark: SparkSession, sf: str) -> DataFrame:
+    scored = scores_by_example(spark, sf, {"target": 0}, 2)
+    return scored.select("index", "answer_idx", r6(F.col("avg_loss"), "avg_loss"), r6(F.col("prob"), "prob"))
+
+
+@query(
+    "scr2_exact_memorization_token_rows",
+    f"""WITH {token_sql()}
+SELECT index, round(sum(CASE WHEN pred_id = label_id THEN 1.0::DOUBLE ELSE 0 END) / count(*), 6) AS score
+FROM scored GROUP BY index""",
+)
+def scr2_rows(spark: SparkSession, sf: str) -> DataFrame:
+    scored = A.memorization_from_tokens(token_rows(spark, sf, fields=MATCH), ["index"])
+    return scored.select("index", r6(F.col("score"), "score"))
+
+
 @query(
     "scr2_exact_memorization",
     f"""WITH {token_sql()}
@@ -49,7 +77,7 @@ UNION ALL
 SELECT e.index, NULL FROM ex e WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.index = e.index)""",
 )
 def scr2(spark: SparkSession, sf: str) -> DataFrame:
-    return token_scores(spark, sf).select("index", r6(S.exact_memorization(TOK), "score"))
+    return token_scores(spark, sf, fields=MATCH).select("index", r6(S.exact_memorization(TOK), "score"))
 
 
 _EXTRACTION_SQL = """
@@ -66,7 +94,7 @@ strength AS (
     f"WITH {token_sql()}, {_EXTRACTION_SQL} SELECT index, round(score, 6) AS score FROM strength",
 )
 def scr3(spark: SparkSession, sf: str) -> DataFrame:
-    return token_scores(spark, sf).select("index", r6(S.extraction_strength(TOK), "score"))
+    return token_scores(spark, sf, fields=MATCH).select("index", r6(S.extraction_strength(TOK), "score"))
 
 
 @query(
@@ -80,7 +108,7 @@ UNION ALL
 SELECT e.index, 0::INTEGER, 0::INTEGER FROM ex e WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.index = e.index)""",
 )
 def win3(spark: SparkSession, sf: str) -> DataFrame:
-    return token_scores(spark, sf).select(
+    return token_scores(spark, sf, fields=MATCH).select(
         "index", S.correct_suffix_length(TOK).alias("suffix_len"), F.size(S.scored_tokens(TOK)).alias("n_tokens")
     )
 
@@ -92,7 +120,7 @@ SELECT e.index, count(s.pos)::INTEGER AS n_scored, coalesce(sum(s.label_id), 0):
 FROM ex e LEFT JOIN scored s USING (index) GROUP BY e.index""",
 )
 def flt7(spark: SparkSession, sf: str) -> DataFrame:
-    kept = token_scores(spark, sf).select("index", S.scored_tokens(TOK).alias("k"))
+    kept = token_scores(spark, sf, fields=MATCH).select("index", S.scored_tokens(TOK).alias("k"))
     return kept.select(
         "index",
         F.size("k").alias("n_scored"),
@@ -106,7 +134,7 @@ def flt7(spark: SparkSession, sf: str) -> DataFrame:
 SELECT population, index, round(avg_loss, 6) AS score FROM loss JOIN pop USING (index)""",
 )
 def scr7(spark: SparkSession, sf: str) -> DataFrame:
-    scored = token_scores(spark, sf).select("index", r6(S.avg_loss(TOK), "score"))
+    scored = token_scores(spark, sf, fields=LOSS).select("index", r6(S.avg_loss(TOK), "score"))
     return with_population(spark, sf, scored).select("population", "index", "score")
 
 
@@ -126,23 +154,23 @@ _MINK_PP = "(logprob - mu) / sqrt(greatest(sigma2, 1e-6::DOUBLE))"
 
 @query("scr8_min_k", f"WITH {token_sql()}, {_bottom_k_sql('logprob', 0.4)} SELECT index, round(score, 6) AS score FROM mink")
 def scr8(spark: SparkSession, sf: str) -> DataFrame:
-    return token_scores(spark, sf).select("index", r6(S.min_k(TOK, 0.4), "score"))
+    return token_scores(spark, sf, fields=LOSS).select("index", r6(S.min_k(TOK, 0.4), "score"))
 
 
 @query("win2_bottom_k_mean", f"WITH {token_sql()}, {_bottom_k_sql('logprob', 0.2)} SELECT index, round(score, 6) AS score FROM mink")
 def win2(spark: SparkSession, sf: str) -> DataFrame:
     values = F.transform(S.scored_tokens(TOK), lambda t: t["logprob"])
-    return token_scores(spark, sf).select("index", r6(S.bottom_k_mean(values, 0.2), "score"))
+    return token_scores(spark, sf, fields=LOSS).select("index", r6(S.bottom_k_mean(values, 0.2), "score"))
 
 
 @query("scr9_min_k_plus_plus", f"WITH {token_sql()}, {_bottom_k_sql(_MINK_PP, 0.4)} SELECT index, round(score, 5) AS score FROM mink")
 def scr9(spark: SparkSession, sf: str) -> DataFrame:
-    return token_scores(spark, sf).select("index", F.round(S.min_k_plus_plus(TOK, 0.4), 5).alias("score"))
+    return token_scores(spark, sf, fields=MOMENTS).select("index", F.round(S.min_k_plus_plus(TOK, 0.4), 5).alias("score"))
 
 
 @query("scr10_zlib_score")
 def scr10(spark: SparkSession, sf: str) -> DataFrame:
-    return token_scores(spark, sf).select(
+    return token_scores(spark, sf, fields=LOSS).select(
         "index", r6(zlib_score(S.avg_loss(TOK), F.array_join("words", " ")), "score")
     )
 
@@ -216,7 +244,7 @@ x AS (SELECT index, sum(exp(-avg_loss)) AS p FROM loss WHERE answer_idx > 0 GROU
 
 
 def _correct_wrong(spark: SparkSession, sf: str, salts: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    all_answers = scores_by_example(spark, sf, salts, 5).withColumn("prob", S.prob_from_loss(F.col("avg_loss")))
+    all_answers = scores_by_example(spark, sf, salts, 5)
     return all_answers.where("answer_idx = 0"), all_answers.where("answer_idx > 0")
 
 
@@ -360,7 +388,7 @@ _FLAT = f"WITH {token_sql(answers=5)}"
 SELECT source, round(avg(p), 6) AS agg_value FROM per GROUP BY source""",
 )
 def agg1(spark: SparkSession, sf: str) -> DataFrame:
-    probs = scores_by_example(spark, sf, {"target": 0}, 5).withColumn("prob", S.prob_from_loss(F.col("avg_loss")))
+    probs = scores_by_example(spark, sf, {"target": 0}, 5)
     return A.two_level_mean(probs, "prob", group=["source"]).select("source", r6(F.col("agg_value"), "agg_value"))
 
 
@@ -407,7 +435,8 @@ def agg5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def loss_attack(spark: SparkSession, sf: str) -> DataFrame:
-    scored = token_scores(spark, sf).select("source", "index", F.round(S.avg_loss(TOK), 6).alias("score"))
+    losses = scores_by_example(spark, sf, {"target": 0}, 1)
+    scored = losses.select("source", "index", F.round("avg_loss", 6).alias("score"))
     return with_population(spark, sf, scored)
 
 
@@ -450,13 +479,13 @@ att AS (SELECT population, index, round(score, {digits}) AS score FROM mink JOIN
 
 @query("agg7_mia_auc_min_k", _token_attack_sql("logprob", 6) + _AUC_TAIL.format(g="", on="", tail=""))
 def agg7_min_k(spark: SparkSession, sf: str) -> DataFrame:
-    scored = token_scores(spark, sf).select("index", r6(S.min_k(TOK, 0.4), "score"))
+    scored = token_scores(spark, sf, fields=LOSS).select("index", r6(S.min_k(TOK, 0.4), "score"))
     return A.roc_auc(with_population(spark, sf, scored)).select(r6(F.col("auc"), "auc"))
 
 
 @query("agg7_mia_auc_min_k_plus_plus", _token_attack_sql(_MINK_PP, 4) + _AUC_TAIL.format(g="", on="", tail=""))
 def agg7_min_k_pp(spark: SparkSession, sf: str) -> DataFrame:
-    scored = token_scores(spark, sf).select("index", F.round(S.min_k_plus_plus(TOK, 0.4), 4).alias("score"))
+    scored = token_scores(spark, sf, fields=MOMENTS).select("index", F.round(S.min_k_plus_plus(TOK, 0.4), 4).alias("score"))
     return A.roc_auc(with_population(spark, sf, scored)).select(r6(F.col("auc"), "auc"))
 
 
@@ -476,7 +505,7 @@ def agg7_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("agg7_mia_auc_zlib")
 def agg7_zlib(spark: SparkSession, sf: str) -> DataFrame:
-    scored = token_scores(spark, sf).select(
+    scored = token_scores(spark, sf, fields=LOSS).select(
         "index", zlib_score(S.avg_loss(TOK), F.array_join("words", " ")).alias("score")
     )
     return A.roc_auc(with_population(spark, sf, scored)).select(r6(F.col("auc"), "auc"))
@@ -566,5 +595,5 @@ def set3(spark: SparkSession, sf: str) -> DataFrame:
 SELECT count(*) AS n_scored, round(avg(v), 6) AS agg_value FROM e""",
 )
 def flt6(spark: SparkSession, sf: str) -> DataFrame:
-    em = token_scores(spark, sf).select("index", S.exact_memorization(TOK).alias("v")).where(F.col("v").isNotNull())
-    return em.agg(F.count("*").alias("n_scored"), r6(F.avg("v"), "agg_value"))
+    em = token_scores(spark, sf, fields=MATCH).select("index", S.exact_memorization(TOK).alias("v"))
+    return em.agg(F.count("v").alias("n_scored"), r6(F.avg("v"), "agg_value"))

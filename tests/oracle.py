@@ -50,7 +50,7 @@ def rows_of(table):
 def compare(spark_df, sql: str, sf_dir: str) -> list[str]:
     """Differences between the two sides; empty when they agree."""
     got = rows_of(spark_df.toArrow())
-    want = rows_of(duck(sf_dir).execute(sql).to_arrow_table())
+    want = rows_of(duck(sf_dir).sql(sql).to_arrow_table())
     problems = []
     if got[0] != want[0]:
         return [f"columns {got[0]} vs {want[0]}"]
