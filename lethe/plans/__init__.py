@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-STAGES = ("scoring",)
+STAGES = ("construction", "scoring")
 
 
 def registry() -> SimpleNamespace:
