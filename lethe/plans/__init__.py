@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-STAGES = ("construction", "preparation", "scoring")
+STAGES = ("construction", "preparation", "scoring", "evaluation", "comparison")
 
 
 def registry() -> SimpleNamespace:

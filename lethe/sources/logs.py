@@ -51,12 +51,14 @@ def metric_logs_from_json(spark: SparkSession, path: str) -> DataFrame:
     return _per_run(spark, path, "*_EVAL.json", kind).select("run", "metric", F.col("value.agg_value").alias("agg_value"))
 
 
-def load_summaries(spark: SparkSession, path: str, metric: str | None = None) -> DataFrame:
+def load_summaries(
+    spark: SparkSession, path: str, metric: str | None = None, pattern: str = "*_SUMMARY.json"
+) -> DataFrame:
     """(run, metric, value) from `*_SUMMARY.json` files.
 
     With `metric` there is one row per run and a run without it is an error.
     """
-    rows = _per_run(spark, path, "*_SUMMARY.json", schemas.RUN_SUMMARY)
+    rows = _per_run(spark, path, pattern, schemas.RUN_SUMMARY)
     if metric is None:
         return rows
     picked = rows.groupBy("run").agg(F.max(F.when(F.col("metric") == metric, F.col("value"))).alias("value"))
