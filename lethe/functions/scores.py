@@ -20,18 +20,18 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
 
 
-def labelled_tokens(tokens: Column) -> Column:
+def labelled_tokens(tokens: Column | str) -> Column:
     """Positions that carry loss."""
     return F.filter(tokens, lambda t: t["label_id"] != IGNORE_INDEX)
 
 
-def scored_tokens(tokens: Column) -> Column:
+def scored_tokens(tokens: Column | str) -> Column:
     """Positions that carry loss, without the last of them (end of sequence)."""
     kept = labelled_tokens(tokens)
     return F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
 
 
-def avg_loss(tokens: Column) -> Column:
+def avg_loss(tokens: Column | str) -> Column:
     """Mean negative log-probability; NaN without labelled tokens."""
     kept = labelled_tokens(tokens)
     total = _sum(F.transform(kept, lambda t: -t["logprob"]))
@@ -42,14 +42,14 @@ def prob_from_loss(loss: Column) -> Column:
     return F.exp(-loss)
 
 
-def exact_memorization(tokens: Column) -> Column:
+def exact_memorization(tokens: Column | str) -> Column:
     """Share of scored tokens predicted right; null without any."""
     kept = scored_tokens(tokens)
     hits = _sum(F.transform(kept, lambda t: (t["pred_id"] == t["label_id"]).cast("double")))
     return F.when(F.size(kept) > 0, hits / F.size(kept))
 
 
-def correct_suffix_length(tokens: Column) -> Column:
+def correct_suffix_length(tokens: Column | str) -> Column:
     """Number of scored tokens after the last wrong prediction."""
     kept = scored_tokens(tokens)
     wrong_at = F.transform(
@@ -58,7 +58,7 @@ def correct_suffix_length(tokens: Column) -> Column:
     return F.size(kept) - F.coalesce(F.array_max(wrong_at), F.lit(0))
 
 
-def extraction_strength(tokens: Column) -> Column:
+def extraction_strength(tokens: Column | str) -> Column:
     """Share of the longest right suffix, at least 1/n; 0 without tokens."""
     n = F.size(scored_tokens(tokens))
     return F.when(n > 0, F.greatest(correct_suffix_length(tokens), F.lit(1)) / n).otherwise(F.lit(0.0))
@@ -72,11 +72,11 @@ def bottom_k_mean(values: Column, k: float) -> Column:
     return F.when(n > 0, -_sum(lowest) / take).otherwise(F.lit(0.0))
 
 
-def min_k(tokens: Column, k: float = 0.2) -> Column:
+def min_k(tokens: Column | str, k: float = 0.2) -> Column:
     return bottom_k_mean(F.transform(scored_tokens(tokens), lambda t: t["logprob"]), k)
 
 
-def min_k_plus_plus(tokens: Column, k: float = 0.2) -> Column:
+def min_k_plus_plus(tokens: Column | str, k: float = 0.2) -> Column:
     """Bottom-k mean of log-probabilities standardised by the vocabulary's moments."""
     z = F.transform(
         scored_tokens(tokens),

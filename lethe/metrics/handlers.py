@@ -15,7 +15,7 @@ from lethe.operators.similarity import ROUGE_TYPES, attach_classifier_scores, te
 from lethe.operators.tokens import zlib_score
 
 EXAMPLE = ["index", "answer_idx"]
-TOK = F.col("tokens")
+TOK = "tokens"
 
 
 def _mean(values: DataFrame, stat: str) -> Result:

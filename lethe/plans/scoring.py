@@ -27,7 +27,7 @@ from lethe.plans.inputs import (
 )
 
 BOTH = {"target": 0, "retain": 5}
-TOK = F.col("tokens")
+TOK = "tokens"
 LOSS, MATCH, MOMENTS = (LABEL, LOGPROB), (LABEL, PRED), (LABEL, LOGPROB, MU, SIGMA2)
 
 
