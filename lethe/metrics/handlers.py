@@ -30,9 +30,24 @@ def _auc(values: DataFrame) -> DataFrame:
     return A.roc_auc(values).select(F.col("auc").alias("agg_value"))
 
 
+# Token tables come with one row per token or packed with one row per example
+# (a column `tokens`).  Packed tables need no shuffle at all.
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    return df if TOK in df.columns else A.pack_tokens(df, EXAMPLE)
+
+
+def _losses(df: DataFrame) -> DataFrame:
+    if TOK not in df.columns:
+        return A.losses_from_tokens(df, EXAMPLE)
+    losses = df.select(*EXAMPLE, S.avg_loss(TOK).alias("avg_loss"))
+    return losses.withColumn("prob", S.prob_from_loss(F.col("avg_loss")))
+
+
 @metric()
 def probability(inputs: Inputs) -> Result:
-    return _mean(A.losses_from_tokens(inputs.only(), EXAMPLE), "prob")
+    return _mean(_losses(inputs.only()), "prob")
 
 
 @metric()
@@ -59,13 +74,15 @@ def truth_ratio(inputs: Inputs, aggregator: str) -> Result:
 
 @metric()
 def exact_memorization(inputs: Inputs) -> Result:
-    return _mean(A.memorization_from_tokens(inputs.only(), EXAMPLE), "score")
+    df = inputs.only()
+    if TOK in df.columns:
+        return _mean(df.select(*EXAMPLE, S.exact_memorization(TOK).alias("score")), "score")
+    return _mean(A.memorization_from_tokens(df, EXAMPLE), "score")
 
 
 @metric()
 def extraction_strength(inputs: Inputs) -> Result:
-    packed = A.pack_tokens(inputs.only(), EXAMPLE)
-    return _mean(packed.select(*EXAMPLE, S.extraction_strength(TOK).alias("score")), "score")
+    return _mean(_packed(inputs.only()).select(*EXAMPLE, S.extraction_strength(TOK).alias("score")), "score")
 
 
 def _attack(inputs: Inputs, score) -> Result:
@@ -76,12 +93,12 @@ def _attack(inputs: Inputs, score) -> Result:
 
 
 def _token_attack(inputs: Inputs, score: Column) -> Result:
-    return _attack(inputs, lambda df: A.pack_tokens(df, EXAMPLE).select(*EXAMPLE, score.alias("score")))
+    return _attack(inputs, lambda df: _packed(df).select(*EXAMPLE, score.alias("score")))
 
 
 @metric()
 def mia_loss(inputs: Inputs) -> Result:
-    return _attack(inputs, lambda df: A.losses_from_tokens(df, EXAMPLE).select(*EXAMPLE, F.col("avg_loss").alias("score")))
+    return _attack(inputs, lambda df: _losses(df).select(*EXAMPLE, F.col("avg_loss").alias("score")))
 
 
 @metric()
@@ -96,7 +113,7 @@ def mia_min_k_pp(inputs: Inputs, k: float = 0.2) -> Result:
 
 @metric()
 def mia_zlib(inputs: Inputs) -> Result:
-    """Token rows carry `word`, the text of their label."""
+    """Tokens carry `word`, the text of their label."""
     target = F.array_join(S.labelled_tokens(TOK)["word"], " ")
     return _token_attack(inputs, zlib_score(S.avg_loss(TOK), target))
 
@@ -106,7 +123,7 @@ def mia_reference(inputs: Inputs) -> Result:
     """`forget_reference` and `holdout_reference` are the reference model's tokens."""
 
     def score(role: str) -> DataFrame:
-        own, other = (A.losses_from_tokens(inputs.data[r], EXAMPLE) for r in (role, f"{role}_reference"))
+        own, other = (_losses(inputs.data[r]) for r in (role, f"{role}_reference"))
         return A.reference_scores(own, other, EXAMPLE).select(*EXAMPLE, "score")
 
     values = A.union_populations(score("forget"), score("holdout")).drop("label")

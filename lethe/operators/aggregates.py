@@ -182,16 +182,13 @@ def ks_statistic(
     """Two-sample KS: sizes, the exact integer max |c1*n2 - c2*n1| and D."""
     group = list(group)
     counts = _two_sample_counts(df, group, score, F.col(sample) == first)
-    ranked = running_sums(counts, score, ["n_a", "n_b"], group)
-    sizes = counts.groupBy(*group).agg(F.sum("n_a").alias("n1"), F.sum("n_b").alias("n2"))
-    # without groups `sizes` is one row
-    joined = ranked.join(sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))
+    ranked = running_sums(counts, score, ["n_a", "n_b"], group, totals=True)
     big = "decimal(19,0)"
     c1 = (F.col("n_a_before") + F.col("n_a")).cast(big)
     c2 = (F.col("n_b_before") + F.col("n_b")).cast(big)
-    gap = F.abs(c1 * F.col("n2").cast(big) - c2 * F.col("n1").cast(big))
-    found = joined.groupBy(*group).agg(
-        F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(gap).alias("gap")
+    gap = F.abs(c1 * F.col("n_b_total").cast(big) - c2 * F.col("n_a_total").cast(big))
+    found = ranked.groupBy(*group).agg(
+        F.max("n_a_total").alias("n1"), F.max("n_b_total").alias("n2"), F.max(gap).alias("gap")
     )
     both = (F.col("n1") > 0) & (F.col("n2") > 0)
     return found.where(both).select(

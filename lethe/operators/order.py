@@ -15,6 +15,7 @@ Approximation only balances the buckets; results are exact.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -40,14 +41,15 @@ def cut_points(df: DataFrame, order: str, buckets: int | None = None) -> list[fl
 def with_bucket(df: DataFrame, order: str, cuts: Sequence[float], name: str = "_bucket") -> DataFrame:
     """Bucket number, non-decreasing in `order` (a binary search on the JVM)."""
     if not cuts:
-        return df.withColumn(name, F.lit(0.0))
+        return df.withColumn(name, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
     key = f"{name}_key"
     keyed = df.withColumn(key, F.col(order).cast("double"))
     bucketed = Bucketizer(
         splits=splits, inputCol=key, outputCol=name, handleInvalid="keep"
     ).transform(keyed)
-    return bucketed.drop(key)
+    # null sorts first, so it has the lowest bucket of its own
+    return bucketed.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(-1))).drop(key)
 
 
 def running_sums(
@@ -55,38 +57,40 @@ def running_sums(
     order: str,
     values: Sequence[str],
     group: Sequence[str] = (),
-    cuts: Sequence[float] | None = None,
+    totals: bool = False,
 ) -> DataFrame:
-    """Add `<value>_before`: the sum of `value` over earlier rows of the group.
+    """Add `<value>_before`: the sum of `value` over earlier rows of the group,
+    and with `totals` also `<value>_total`: its sum over the whole group.
 
     `order` is numeric and unique within a group.  A group of any size is
     spread over the buckets.
     """
     group = list(group)
-    if cuts is None:
-        cuts = cut_points(df, order)
-    bucketed = with_bucket(df, order, cuts)
+    bucketed = with_bucket(df, order, cut_points(df, order))
     keys = [*group, "_bucket"]
-    totals = bucketed.groupBy(*keys).agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
+    sums = bucketed.groupBy(*keys).agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
     partition = group or [F.lit(0)]
     earlier = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = totals.select(
-        *keys,
-        *[F.coalesce(F.sum(f"_total_{v}").over(earlier), F.lit(0)).alias(f"_offset_{v}") for v in values],
-    )
+    added = [F.coalesce(F.sum(f"_total_{v}").over(earlier), F.lit(0)).alias(f"_offset_{v}") for v in values]
+    if totals:
+        # a group has at most one row per bucket here
+        whole = Window.partitionBy(*partition)
+        added += [F.sum(f"_total_{v}").over(whole).alias(f"{v}_total") for v in values]
+    offsets = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *added)
     if not group:
         # at most one row per bucket, so at most MAX_BUCKETS rows
         offsets = F.broadcast(offsets)
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = bucketed.join(offsets, keys)
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    joined = bucketed.join(offsets, reduce(lambda a, b: a & b, same))
     for v in values:
         joined = joined.withColumn(
             f"{v}_before",
             F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_offset_{v}"),
         )
-    return joined.drop("_bucket", *[f"_offset_{v}" for v in values])
+    return joined.drop("_bucket", *[f"_k_{k}" for k in keys], *[f"_offset_{v}" for v in values])
 
 
 def dense_index(
@@ -115,14 +119,17 @@ def rank_with_ties(df: DataFrame, value: str, key: str, name: str = "rank") -> D
     earlier = Window.partitionBy(value).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         slots.withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .join(starts, value)
-        .select(value, "_slot", (F.col("_skip") + F.col("_start")).alias("_offset"))
+        .join(starts.withColumnRenamed(value, "_v"), F.col(value).eqNullSafe(F.col("_v")))
+        .select(
+            F.col(value).alias("_k_value"), F.col("_slot").alias("_k_slot"), (F.col("_skip") + F.col("_start")).alias("_offset")
+        )
     )
     inside = Window.partitionBy(value, "_slot").orderBy(key)
+    same = F.col(value).eqNullSafe(F.col("_k_value")) & (F.col("_slot") == F.col("_k_slot"))
     return (
-        bucketed.join(offsets, [value, "_slot"])
+        bucketed.join(offsets, same)
         .withColumn(name, (F.row_number().over(inside) - 1 + F.col("_offset")).cast("long"))
-        .drop("_slot", "_offset")
+        .drop("_slot", "_offset", "_k_value", "_k_slot")
     )
 
 

@@ -82,35 +82,6 @@ def text_similarity(df: DataFrame, use_stemmer: bool = True) -> DataFrame:
     return scored.select(*df.columns, *[F.col(f"_rouge.{name}").alias(name) for name in ROUGE_TYPES])
 
 
-def rouge1_recall_unstemmed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Clipped unigram recall without stemming, on the JVM and without a shuffle.
-
-    A word's occurrences are counted by comparing sorted runs inside the row.
-    """
-    ref, gen = rouge_tokens(F.col("ground_truth")), rouge_tokens(F.col("generation"))
-    base = df.select(*keys, F.array_sort(ref).alias("_ref"), F.array_sort(gen).alias("_gen"))
-    # the k-th occurrence of a word is unique once numbered, so the clipped
-    # overlap is a plain set intersection
-    numbered = base.select(
-        *keys, F.size("_ref").alias("_n"), _numbered("_ref").alias("_ref"), _numbered("_gen").alias("_gen")
-    )
-    overlap = F.size(F.array_intersect("_ref", "_gen"))
-    return numbered.select(
-        *keys,
-        F.when((F.col("_n") > 0) & (F.size("_gen") > 0), overlap / F.col("_n"))
-        .otherwise(F.lit(0.0))
-        .alias("rouge1_recall"),
-    )
-
-
-def _numbered(column: str) -> Column:
-    """Sorted words with their distance from the first equal word appended."""
-    words = F.col(column)
-    return F.transform(
-        words, lambda w, i: F.concat_ws("#", w, (i - F.array_position(words, w) + 1).cast("string"))
-    )
-
-
 def attach_classifier_scores(
     generations: DataFrame, logits: DataFrame, class_id: int = 0, keys: Sequence[str] = ("index",)
 ) -> DataFrame:

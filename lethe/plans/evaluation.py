@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lethe.functions import scores as S
-from lethe.metrics.registry import METRICS, Inputs, Result, Spec, metric
+from lethe.metrics.registry import Inputs, Result, Spec, metric
 from lethe.metrics.runner import MetricStore, evaluate, merge_results, pending_metrics, summarize
 from lethe.metrics.specs import SPECS, SUITES
 from lethe.operators import aggregates as A
@@ -43,8 +43,8 @@ def suite_tokens(spark: SparkSession, sf: str, shift: int = 0) -> DataFrame:
     ])
     each = docs.select("index", "words", "lang", F.explode(variants).alias("v")).where(F.col("v.lang") == F.col("lang"))
     rows = each.select(
-        "index", "v.dataset", "v.salt", "v.answer_idx", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word")
-    )
+        "index", "v.dataset", "v.salt", "v.answer_idx", F.size("words").alias("n"), F.posexplode_outer("words").alias("pos", "word")
+    ).where(F.col("word").isNotNull())
     made = _token_fields(*[F.col(c) for c in ("index", "n", "word", "pos", "salt", "answer_idx")])
     return rows.select("dataset", "index", "answer_idx", "pos", *[made[f].alias(f) for f in (LABEL, LOGPROB, PRED)])
 
@@ -219,14 +219,39 @@ def api5(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("metric", F.round("agg_value", 6).alias("agg_value"))
 
 
-@query("api4_metric_specs", "SELECT event_type, count(*) AS n_events FROM events GROUP BY event_type")
+_GROUPS = ("forget", "retain", "ra", "wf")
+SQL_SPECS = (
+    *[f"{g}_Q_A_Prob" for g in _GROUPS], *[f"{g}_Q_A_PERT_Prob" for g in _GROUPS], "forget_Q_A_PARA_Prob", "retain_Q_A_PARA_Prob",
+    *[f"{g}_Truth_Ratio" for g in _GROUPS], "ra_Q_A_Prob_normalised", "wf_Q_A_Prob_normalised",
+    "exact_memorization", "extraction_strength", "mia_loss", "mia_min_k",
+)
+_SPECS_SQL = _SUITE_SQL[: _SUITE_SQL.index("lcs_scores AS")] + """
+names(dataset, metric) AS (VALUES
+  ('TOFU_QA_forget', 'forget_Q_A_Prob'), ('TOFU_QA_retain_eval', 'retain_Q_A_Prob'), ('TOFU_QA_ra', 'ra_Q_A_Prob'), ('TOFU_QA_wf', 'wf_Q_A_Prob'),
+  ('TOFU_QA_forget_pert', 'forget_Q_A_PERT_Prob'), ('TOFU_QA_retain_pert', 'retain_Q_A_PERT_Prob'), ('TOFU_QA_ra_pert', 'ra_Q_A_PERT_Prob'),
+  ('TOFU_QA_wf_pert', 'wf_Q_A_PERT_Prob'), ('TOFU_QA_forget_para', 'forget_Q_A_PARA_Prob'), ('TOFU_QA_retain_para', 'retain_Q_A_PARA_Prob')),
+trs(dataset, metric, norm) AS (VALUES ('TOFU_QA_retain_para', 'retain_Truth_Ratio', NULL),
+  ('TOFU_QA_ra', 'ra_Truth_Ratio', 'ra_Q_A_Prob_normalised'), ('TOFU_QA_wf', 'wf_Truth_Ratio', 'wf_Q_A_Prob_normalised')),
+out(metric, v) AS (
+  SELECT metric, m FROM prob JOIN names USING (dataset)
+  UNION ALL SELECT metric, m FROM tra JOIN trs USING (dataset)
+  UNION ALL SELECT norm, np FROM tra JOIN trs USING (dataset) WHERE norm IS NOT NULL
+  UNION ALL SELECT 'forget_Truth_Ratio', avg(least(s, 1.0::DOUBLE / (s + 1e-10::DOUBLE))) FROM tr WHERE run = 'target' AND dataset = 'TOFU_QA_forget_para'
+  UNION ALL SELECT 'exact_memorization', avg(e) FROM (SELECT avg(CASE WHEN wrong THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS e FROM sc
+    WHERE run = 'target' AND dataset = 'TOFU_QA_forget' GROUP BY index)
+  UNION ALL SELECT 'extraction_strength', avg(s) FROM es
+  UNION ALL SELECT 'mia_min_k', a FROM auc WHERE run = 'target'
+  UNION ALL SELECT 'mia_loss', sum(CASE WHEN f.l < h.l THEN 1.0::DOUBLE WHEN f.l = h.l THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / count(*)
+    FROM per f JOIN per h ON f.run = h.run AND f.dataset = 'TOFU_QA_forget' AND h.dataset = 'TOFU_QA_holdout' WHERE f.run = 'target')
+SELECT metric, round(v, 6) AS agg_value FROM out"""
+
+
+@query("api4_metric_specs", _SPECS_SQL)
 def api4(spark: SparkSession, sf: str) -> DataFrame:
-    """Every spec of every benchmark names a registered handler and known parents."""
-    for specs in SPECS.values():
-        for spec in specs.values():
-            assert spec.handler in METRICS
-            assert all(source in specs for source, _ in spec.parents.values())
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n_events"))
+    """Every named metric SQL can state without text overlap, in one run."""
+    store = MetricStore(spark, scratch_path(spark, "specs"))
+    done = evaluate(store, "target", SPECS["tofu"], SQL_SPECS, {"tokens": suite_tokens(spark, sf)})
+    return done.select("metric", F.round("agg_value", 6).alias("agg_value"))
 
 
 # ------------------------------------------------------------ logs as tables

@@ -86,8 +86,8 @@ def token_rows(
 ) -> DataFrame:
     """One row per token, for the aggregates that read model output as it is written."""
     words = _examples(spark, sf_dir, salts, answers).select(
-        "run", "salt", "source", "index", "answer_idx", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word")
-    )
+        "run", "salt", "source", "index", "answer_idx", F.size("words").alias("n"), F.posexplode_outer("words").alias("pos", "word")
+    ).where(F.col("word").isNotNull())
     made = _token_fields(*[F.col(c) for c in ("index", "n", "word", "pos", "salt", "answer_idx")])
     return words.select("run", "source", "index", "answer_idx", "pos", *[made[f].alias(f) for f in fields])
 

@@ -91,10 +91,10 @@ SHOT_TEXT = "string_agg('{us}Where is ' || r_name || '?{ue}{as_}' || r_name || '
 
 
 def pool(spark: SparkSession, sf: str) -> DataFrame:
-    """Refusals: one per nation, padded with blanks, read back from a text file."""
+    """Refusals: one per customer, padded with blanks, read back from text files."""
     path = scratch_path(spark, "pool")
-    nation = table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("I cannot say "), "n_name", F.lit("  ")).alias("value"))
-    nation.orderBy("n_nationkey").select("value").coalesce(1).write.text(path)
+    customer = table(spark, sf, "customer")
+    customer.select(F.concat(F.lit("I cannot say "), "c_name", F.lit("  ")).alias("value")).write.text(path)
     lines = SD.load_response_pool(spark, path).withColumn("position", F.regexp_extract("response", r"(\d+)$", 1).cast("long"))
     return D.add_index(lines, "position").select("index", "response")
 
@@ -123,7 +123,7 @@ def src3(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy(F.length("text").alias("n_chars")).agg(F.count("*").alias("n_lines"))
 
 
-@query("src4_load_response_pool", "SELECT 'I cannot say ' || n_name AS response, row_number() OVER (ORDER BY n_nationkey) - 1 AS index FROM nation")
+@query("src4_load_response_pool", "SELECT 'I cannot say ' || c_name AS response, row_number() OVER (ORDER BY c_custkey) - 1 AS index FROM customer")
 def src4(spark: SparkSession, sf: str) -> DataFrame:
     return pool(spark, sf).select("response", "index")
 
@@ -221,8 +221,8 @@ def jn6_retain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _IDK_SQL = f"""WITH {INDEXED_SQL},
-pl AS (SELECT 'I cannot say ' || n_name AS response, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation),
-idk AS (SELECT qi.*, response FROM qi JOIN pl ON k = {choice_sql('qi.index', '(SELECT count(*) FROM nation)', 3, 0)})"""
+pl AS (SELECT 'I cannot say ' || c_name AS response, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer),
+idk AS (SELECT qi.*, response FROM qi JOIN pl ON k = {choice_sql('qi.index', '(SELECT count(*) FROM customer)', 3, 0)})"""
 
 
 @query(
@@ -532,7 +532,7 @@ def prep4(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT 'forget' AS name, count(*) AS n_rows FROM documents WHERE lang = 'en' UNION ALL SELECT 'holdout', count(*) FROM documents WHERE lang <> 'en'""",
 )
 def prep5(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
     built = D.get_datasets({
         name: {"handler": "completion", "access_key": key, "args": {"df": docs.where(where), "tokenizer": TOKENIZER}}
         for name, key, where in (("mia_forget", "forget", "lang = 'en'"), ("mia_holdout", "holdout", "lang <> 'en'"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lethe.functions import scores as S
 from lethe.operators import aggregates as A
-from lethe.operators.similarity import text_similarity, rouge1_recall_unstemmed
+from lethe.operators.similarity import text_similarity
 from lethe.operators.tokens import zlib_score
 from lethe.plans.catalog import query
 from lethe.plans.inputs import (
@@ -307,8 +307,8 @@ hits AS (SELECT ref.index, sum(least(ref.n, coalesce(hyp.n, 0)))::DOUBLE / sum(r
 SELECT gen.index, round(coalesce(hits.r, 0.0), 6) AS rouge1_recall FROM gen LEFT JOIN hits USING (index)""",
 )
 def scr4(spark: SparkSession, sf: str) -> DataFrame:
-    g = generations(spark, sf)
-    return rouge1_recall_unstemmed(g, ["index"]).select("index", r6(F.col("rouge1_recall"), "rouge1_recall"))
+    scored = text_similarity(generations(spark, sf), use_stemmer=False)
+    return scored.select("index", r6(F.col("rouge1_recall"), "rouge1_recall"))
 
 
 _LCS_SQL = f"""WITH RECURSIVE {GENERATIONS_SQL},
