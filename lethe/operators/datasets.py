@@ -13,7 +13,7 @@ from lethe.operators import pairing
 from lethe.operators.chunks import chunk_corpus
 from lethe.operators.order import dense_index
 from lethe.operators.prompts import Template, attach_few_shot, chat_messages, render_chat, render_prompt
-from lethe.operators.tokens import chat_tokens, completion_tokens, mask_prefix, ones, optional_text
+from lethe.operators.tokens import chat_tokens, completion_tokens, mask_prefix, ones, optional_text, pad_batches
 from lethe.operators.triples import require_columns
 
 GOLD_LIMIT = 0.5
@@ -184,6 +184,20 @@ def register_dataset(name: str, handler: Callable[..., DataFrame]) -> None:
     DATASET_HANDLERS[name] = handler
 
 
+COLLATOR_HANDLERS: dict[str, Callable[..., DataFrame]] = {"supervised": pad_batches}
+
+
+def register_collator(name: str, handler: Callable[..., DataFrame]) -> None:
+    COLLATOR_HANDLERS[name] = handler
+
+
+def collate(df: DataFrame, handler: str, **args: Any) -> DataFrame:
+    """Batches made by a registered collator."""
+    if handler not in COLLATOR_HANDLERS:
+        raise NotImplementedError(f"collator {handler!r} is not registered")
+    return COLLATOR_HANDLERS[handler](df, **args)
+
+
 def get_datasets(specs: dict[str, dict[str, Any]]) -> DataFrame | dict[str, DataFrame]:
     """Build named datasets: {"name": {"handler", "args", "access_key"?}}.
 

@@ -541,6 +541,15 @@ def prep5(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query("api6_dataset_registry", _padded_sql("left"))
+def api6(spark: SparkSession, sf: str) -> DataFrame:
+    """One dataset and one collator, both by registered name."""
+    args = {"df": qa_indexed(spark, sf), "template": R.LLAMA_2_CHAT, "tokenizer": TOKENIZER, "max_length": 64}
+    built = D.get_datasets({"forget": {"handler": "qa", "args": args}})
+    padded = D.collate(built, "supervised", batch_size=8, padding_side="left")
+    return padded.select("index", "batch_id", *[ids_text(c, c) for c in ("input_ids", "labels", "attention_mask")])
+
+
 _CHUNK_SQL = f"""WITH ids AS (
   SELECT doc_id, CASE WHEN doc_id = (SELECT min(doc_id) FROM documents) THEN {ids_sql('text')} ELSE list_concat([4], {ids_sql('text')}) END AS ids FROM documents),
 flat AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM ids),
