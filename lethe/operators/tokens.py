@@ -2,7 +2,7 @@
 
 A tokenizer is anything with `encode(Column) -> Column` (array<int>) and
 `words(Column) -> Column`; the default splits words and punctuation on the JVM.
-`huggingface_tokenizer` wraps a tokenizer file when that package is installed.
+`HuggingFaceTokenizer` wraps a tokenizer file when that package is installed.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,9 +47,19 @@ def word_id(word: Column) -> Column:
     return digest + F.lit(FIRST_WORD_ID)
 
 
+@lru_cache(maxsize=4)
+def _load_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @dataclass(frozen=True)
 class HuggingFaceTokenizer:
-    """A tokenizer file read once per Python worker and applied to Arrow batches."""
+    """A tokenizer file, read once per Python worker and applied to Arrow batches.
+
+    The file must be where every executor can read it.
+    """
 
     path: str
     pad_id: int
@@ -59,10 +70,8 @@ class HuggingFaceTokenizer:
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def encode_batch(texts: pd.Series) -> pd.Series:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            return pd.Series([e.ids for e in tokenizer.encode_batch(texts.fillna("").tolist())])
+            encoded = _load_tokenizer(path).encode_batch(texts.fillna("").tolist())
+            return pd.Series([e.ids for e in encoded])
 
         return encode_batch(text)
 

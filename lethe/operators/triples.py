@@ -194,7 +194,8 @@ def popularity_splits(df: DataFrame, percents: Sequence[int] = (1, 5, 10), value
     """(split, row...): rare and popular forget sets and what is left to retain.
 
     The lowest p % by popularity are rare, the highest popular, the middle
-    100-2p % the retained intersection; ties go by key.
+    100-2p % the retained intersection; ties go by key.  `df` is read several
+    times: give a stored table.
     """
     ranked = rank_with_ties(df, value, key, "_rank").crossJoin(F.broadcast(df.agg(F.count("*").alias("_rows"))))
 

@@ -28,7 +28,7 @@ def console_logs(spark: SparkSession, sf: str) -> str:
         .otherwise(F.concat(kind, F.lit(" "), value))
     )
     run = F.concat(F.lit("run"), (F.col("user_id") % 40).cast("string"))
-    events.select(line.alias("value"), run.alias("run")).repartition("run").write.partitionBy("run").text(path)
+    events.select(line.alias("value"), run.alias("run")).write.partitionBy("run").text(path)
     return path
 
 
@@ -108,7 +108,7 @@ def srt2(spark: SparkSession, sf: str) -> DataFrame:
     return latest_checkpoint(paths).select("run", "step")
 
 
-@query("src10_load_summaries", "SELECT event_type AS run, 'm7' AS metric, round(avg(value), 6) AS value FROM events WHERE user_id = 7 GROUP BY event_type")
+@query("src10_load_summaries", "SELECT event_type AS run, 'm7' AS metric, round(avg(value), 6) AS value FROM events WHERE user_id % 50 = 7 GROUP BY event_type")
 def src10(spark: SparkSession, sf: str) -> DataFrame:
     from lethe.plans.evaluation import metric_log
 

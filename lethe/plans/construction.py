@@ -324,6 +324,24 @@ def win1(spark: SparkSession, sf: str) -> DataFrame:
     return keep_first(part, ["p_name", "p_brand"], ["p_partkey"])
 
 
+@query(
+    "win1_dedup_two_passes",
+    """WITH r AS (SELECT p_partkey, p_name, p_brand, 'Which brand is ' || split_part(p_name, ' ', 1) || '?' AS question FROM part),
+t AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) = 1)
+SELECT p_partkey, question, p_brand AS answer FROM t QUALIFY row_number() OVER (PARTITION BY question, p_brand ORDER BY p_partkey) = 1""",
+)
+def win1_two_passes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").select(
+        "p_partkey",
+        F.col("p_name").alias("subjectLabel"),
+        F.lit("brand").alias("relation"),
+        F.col("p_brand").alias("objectLabel"),
+        F.concat(F.lit("Which brand is "), F.substring_index("p_name", " ", 1), F.lit("?")).alias("question"),
+        F.col("p_brand").alias("answer"),
+    )
+    return X.dedup_keep_first(rows, order=["p_partkey"]).select("p_partkey", "question", "answer")
+
+
 @query("txt1_object_type", f"WITH {TRIPLES_SQL}, {ENTITY_SQL}, {ASK_SQL} SELECT object, keep, CASE WHEN keep THEN ner2 END AS type FROM typed")
 def txt1(spark: SparkSession, sf: str) -> DataFrame:
     from lethe.functions.questions import agreed_type
@@ -455,4 +473,4 @@ def rpt6(spark: SparkSession, sf: str) -> DataFrame:
     popular = customer.select("c_custkey").join(counts, "c_custkey", "left").select(
         F.col("c_custkey").alias("index"), F.coalesce("n", F.lit(0)).alias("popularity_sum")
     )
-    return X.popularity_splits(popular).select("index", "popularity_sum", "split")
+    return X.popularity_splits(materialise(popular, "popularity")).select("index", "popularity_sum", "split")

@@ -7,7 +7,6 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.functions import scores as S
 from lethe.metrics.registry import Inputs, Result, Spec, metric
 from lethe.metrics.runner import MetricStore, evaluate, merge_results, pending_metrics, summarize
 from lethe.metrics.specs import SPECS, SUITES
@@ -258,15 +257,15 @@ def api4(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metric_log(spark: SparkSession, sf: str) -> DataFrame:
-    """(run, metric, agg_value): event types are runs, users are metrics."""
+    """(run, metric, agg_value): event types are runs, users fold onto fifty metrics."""
     events = table(spark, sf, "events")
     return events.groupBy(
-        F.col("event_type").alias("run"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("metric")
+        F.col("event_type").alias("run"), F.concat(F.lit("m"), (F.col("user_id") % 50).cast("string")).alias("metric")
     ).agg(F.round(F.avg("value"), 6).alias("agg_value"))
 
 
 LOG_SQL = """
-logs AS (SELECT event_type AS run, 'm' || user_id AS metric, round(avg(value), 6) AS agg_value FROM events GROUP BY ALL)"""
+logs AS (SELECT event_type AS run, 'm' || (user_id % 50) AS metric, round(avg(value), 6) AS agg_value FROM events GROUP BY ALL)"""
 
 
 @query(
@@ -277,8 +276,9 @@ FROM inc i LEFT JOIN logs l ON l.metric = i.metric AND l.run = 'click'""",
 )
 def src6(spark: SparkSession, sf: str) -> DataFrame:
     log = metric_log(spark, sf)
-    names = [r["metric"] for r in log.select("metric").distinct().collect()]
-    return load_reference_logs(log, "click", {m: f"ref_{m}" for m in [*names, "absent"]})
+    names = log.select("metric").distinct().unionByName(spark.createDataFrame([("absent",)], "metric string"))
+    include = names.select("metric", F.concat(F.lit("ref_"), "metric").alias("access_key"))
+    return load_reference_logs(log, "click", include)
 
 
 @query("src7_load_run_logs", f"WITH {LOG_SQL} SELECT run, metric, agg_value FROM logs")

@@ -108,7 +108,7 @@ def src2(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("config"), F.col("o_orderpriority").alias("split")
     )
-    orders.repartition("config", "split").write.partitionBy("config", "split").parquet(path)
+    orders.write.partitionBy("config", "split").parquet(path)
     return SD.load_split(spark, path, name="F", split="1-URGENT").select("o_orderkey", "o_totalprice")
 
 

@@ -24,9 +24,6 @@ ENTITY_POPULARITY = _schema(qid=STR, sitelinks=INT, identifiers=INT)
 RELATION_TAGS = _schema(relation=STR, tokens=T.ArrayType(STR), tags=T.ArrayType(STR), lemmas=T.ArrayType(STR))
 OBJECT_TAGS = _schema(object=STR, ner1=STR, ner2=STR)
 METRIC_AGG = _schema(run=STR, metric=STR, agg_value=DOUBLE)
-METRIC_VALUES = _schema(
-    run=STR, metric=STR, population=STR, index=LONG, answer_idx=INT, stat=STR, value=DOUBLE, text=STR
-)
 FEW_SHOT = _schema(question=STR, answer=STR)
 ALTERNATE = _schema(question=STR, answer=STR, alternate=STR)
 SWEEP = _schema(run_id=STR, learning_rate=DOUBLE, train_loss=DOUBLE, rouge=DOUBLE)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +23,12 @@ def load_run_logs(spark: SparkSession, path: str, schema: T.StructType = schemas
 
 
 def load_reference_logs(
-    logs: DataFrame | None, run: str, include: dict[str, str]
+    logs: DataFrame | None, run: str, include: dict[str, str] | DataFrame
 ) -> DataFrame | None:
     """Chosen metrics of a reference run under their access names.
 
-    `include` maps metric to access name.  Without logs the step is skipped;
+    `include` maps metric to access name, as a dict or as a table (metric,
+    access_key).  Without logs the step is skipped;
     an unknown run is an error; an absent metric is kept as null and flagged.
     """
     if logs is None:
@@ -37,7 +36,9 @@ def load_reference_logs(
     of_run = logs.where(F.col("run") == run)
     if not of_run.take(1):
         raise FileNotFoundError(f"no logs of run {run!r}")
-    wanted = logs.sparkSession.createDataFrame(list(include.items()), "metric string, access_key string")
+    wanted = include
+    if isinstance(include, dict):
+        wanted = logs.sparkSession.createDataFrame(list(include.items()), "metric string, access_key string")
     return (
         wanted.join(of_run.select("metric", "agg_value", F.lit(True).alias("_found")), "metric", "left")
         .withColumn("missing", F.col("_found").isNull())
@@ -110,11 +111,3 @@ def scan_eval_logs(spark: SparkSession, root: str, pattern: str = "*.txt") -> Da
     """Lines of console logs with the run they belong to (the folder's name)."""
     lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter=pattern).text(root)
     return lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run"), "value")
-
-
-def require_metrics(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Requested metrics that a run lacks."""
-    spark = df.sparkSession
-    wanted = spark.createDataFrame([(m,) for m in metrics], "metric string")
-    runs = df.select("run").distinct()
-    return runs.crossJoin(F.broadcast(wanted)).join(df.select("run", "metric"), ["run", "metric"], "left_anti")

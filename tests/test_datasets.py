@@ -189,3 +189,16 @@ def test_registry(spark):
         D.collate(df, "nope")
     data = D.get_data({"forget": df, "retain": df, "eval": df}, ["text"], "unlearn")
     assert set(data) == {"train", "eval"} and data["train"].count() == 2
+
+
+def test_tokenizer_file(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    vocab = {"[UNK]": 0, "a": 1, "b": 2, "[END]": 3}
+    made = tokenizers.Tokenizer(tokenizers.models.WordLevel(vocab, unk_token="[UNK]"))
+    made.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    path = str(tmp_path / "tokenizer.json")
+    made.save(path)
+    tokenizer = K.HuggingFaceTokenizer(path, pad_id=0, eos_id=3)
+    df = spark.createDataFrame([(0, "a ", "b zzz")], "index long, question string, answer string")
+    row = D.qa_dataset(df, R.Template(), tokenizer).first()
+    assert row["input_ids"] == [1, 2, 0, 3] and row["labels"] == [-100, 2, 0, 3]
