@@ -4,8 +4,6 @@ a list of irregular words)."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 VOWELS = "aeiou"
 
 # Irregular words and the published suffix tables.
@@ -120,7 +118,6 @@ def _tidied(word: str) -> str:
     return word
 
 
-@lru_cache(maxsize=200_000)
 def porter_stem(word: str) -> str:
     if word in IRREGULAR:
         return IRREGULAR[word]

@@ -158,12 +158,12 @@ def multi_answer_dataset(
     return completion_tokens(rows, "_question", "chosen_answer", tokenizer, **kw).drop("_question")
 
 
-def trip_dataset(df: DataFrame, tokenizer, order: str, model_name: str = "Llama-3.2-1B-Instruct", gold_set: bool = False, **kw: Any) -> DataFrame:
+def scored_answer_dataset(df: DataFrame, tokenizer, order: str, model_name: str = "Llama-3.2-1B-Instruct", gold_set: bool = False, **kw: Any) -> DataFrame:
     gold = (lambda d: gold_by_scores(d, model_name)) if gold_set else None
     return multi_answer_dataset(df, tokenizer, order, answers=kw.pop("answers", "answer"), gold=gold, **kw)
 
 
-def popqa_dataset(df: DataFrame, tokenizer, order: str, model_name: str = "Llama-3.2-1B-Instruct", gold_set: bool = False, **kw: Any) -> DataFrame:
+def flagged_answer_dataset(df: DataFrame, tokenizer, order: str, model_name: str = "Llama-3.2-1B-Instruct", gold_set: bool = False, **kw: Any) -> DataFrame:
     gold = (lambda d: gold_by_flags(d, model_name)) if gold_set else None
     return multi_answer_dataset(df, tokenizer, order, gold=gold, **kw)
 
@@ -174,8 +174,8 @@ DATASET_HANDLERS: dict[str, Callable[..., DataFrame]] = {
     "qa_with_alternate": qa_with_alternate,
     "pretraining": pretraining_dataset,
     "completion": completion_dataset,
-    "multi_answer": popqa_dataset,
-    "trip": trip_dataset,
+    "multi_answer": flagged_answer_dataset,
+    "scored_answer": scored_answer_dataset,
     "forget_retain": pairing.forget_retain,
 }
 

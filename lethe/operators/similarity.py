@@ -51,10 +51,15 @@ _ROUGE = T.StructType([T.StructField(name, T.DoubleType()) for name in ROUGE_TYP
 
 
 def _rouge_frame(references: pd.Series, generated: pd.Series, stem: bool) -> pd.DataFrame:
+    stems: dict[str, str] = {}  # distinct words of the batch are stemmed once
+
+    def stemmed(word: str) -> str:
+        if word not in stems:
+            stems[word] = porter_stem(word) if len(word) > STEM_LONGER_THAN else word
+        return stems[word]
+
     def prepared(words) -> list[str]:
-        if not stem:
-            return list(words)
-        return [porter_stem(w) if len(w) > STEM_LONGER_THAN else w for w in words]
+        return [stemmed(w) for w in words] if stem else list(words)
 
     rows = [_scores(prepared(r), prepared(g)) for r, g in zip(references, generated)]
     return pd.DataFrame(rows, columns=list(ROUGE_TYPES))

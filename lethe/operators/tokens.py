@@ -8,9 +8,8 @@ A tokenizer is anything with `encode(Column) -> Column` (array<int>) and
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -47,16 +46,9 @@ def word_id(word: Column) -> Column:
     return digest + F.lit(FIRST_WORD_ID)
 
 
-@lru_cache(maxsize=4)
-def _load_tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 @dataclass(frozen=True)
 class HuggingFaceTokenizer:
-    """A tokenizer file, read once per Python worker and applied to Arrow batches.
+    """A tokenizer file, read once per task and applied to Arrow batches.
 
     The file must be where every executor can read it.
     """
@@ -69,9 +61,12 @@ class HuggingFaceTokenizer:
         path = self.path
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def encode_batch(texts: pd.Series) -> pd.Series:
-            encoded = _load_tokenizer(path).encode_batch(texts.fillna("").tolist())
-            return pd.Series([e.ids for e in encoded])
+        def encode_batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            for texts in batches:
+                yield pd.Series([e.ids for e in tokenizer.encode_batch(texts.fillna("").tolist())])
 
         return encode_batch(text)
 

@@ -500,7 +500,7 @@ _TRIP = """src AS (SELECT index, p_name AS q, string_split(p_type, ' ')[1 + {c}]
 SELECT index, a AS chosen_answer, {joined_sql('ids')} AS input_ids, {joined_sql('labels')} AS labels FROM comp""",
 )
 def prep3(spark: SparkSession, sf: str) -> DataFrame:
-    made = D.trip_dataset(scored_parts(spark, sf), TOKENIZER, "p_partkey", gold_set=True, max_length=256)
+    made = D.scored_answer_dataset(scored_parts(spark, sf), TOKENIZER, "p_partkey", gold_set=True, max_length=256)
     return made.select("index", "chosen_answer", ids_text("input_ids", "input_ids"), ids_text("labels", "labels"))
 
 
@@ -511,7 +511,7 @@ def prep3(spark: SparkSession, sf: str) -> DataFrame:
 SELECT index, a AS chosen_answer, {joined_sql('ids')} AS input_ids, {joined_sql('labels')} AS labels FROM comp""",
 )
 def prep3_multi(spark: SparkSession, sf: str) -> DataFrame:
-    made = D.popqa_dataset(
+    made = D.flagged_answer_dataset(
         scored_parts(spark, sf), TOKENIZER, "p_partkey", answers="answer", gold_set=True, max_length=2048, insert_space=True
     )
     return made.select("index", "chosen_answer", ids_text("input_ids", "input_ids"), ids_text("labels", "labels"))

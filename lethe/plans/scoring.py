@@ -559,6 +559,24 @@ def forget_quality(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source", "n1", "n2", r6(F.col("statistic"), "statistic"), "p_value")
 
 
+# both samples hold the same documents, so the equal-size series applies
+_KS_P_SQL = _KS_SQL.format(score="round(score, 6)").replace("SELECT source, n1, n2, round(", "SELECT source, n1, n2, max(abs(c1 - c2))::BIGINT AS h, round(")
+
+
+@query(
+    "agg8_ks_test",
+    f"""WITH stat AS ({_KS_P_SQL}),
+term AS (
+  SELECT source, n1, k, CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END
+    * (SELECT product((n1 - k * h + i)::DOUBLE / (n1 + i)) FROM range(1, k * h + 1) r(i)) AS t
+  FROM stat, range(1, 100000) s(k) WHERE h > 0 AND k <= n1 // h)
+SELECT source, round(least(1.0::DOUBLE, coalesce(2 * sum(t), 1.0::DOUBLE)), 9) AS p_value FROM stat LEFT JOIN term USING (source) GROUP BY source""",
+)
+def ks_test(spark: SparkSession, sf: str) -> DataFrame:
+    found = A.ks_test(truth_ratios(spark, sf, BOTH), ["source"])
+    return found.select("source", F.round("p_value", 9).alias("p_value"))
+
+
 @query("agg9_ks_reciprocal", _KS_SQL.format(score="1.0::DOUBLE / (round(score, 6) + 1e-10::DOUBLE)"))
 def agg9(spark: SparkSession, sf: str) -> DataFrame:
     found = A.ks_test_reciprocal(truth_ratios(spark, sf, BOTH), ["source"])
