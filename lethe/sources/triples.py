@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from lethe import schemas
 from lethe.operators.triples import FIELDS
 
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
+FILES = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', **FILES}
 
 
 def base_name(path: Column) -> Column:
@@ -37,8 +38,11 @@ def scan_uniform(spark: SparkSession, root: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, header): the first line of every CSV file below `root`."""
-    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.csv").text(root)
+    """(file_path, header): the first line of every CSV file below `root`.
+
+    Empty files and files that cannot be read have no row.
+    """
+    lines = spark.read.options(ignoreCorruptFiles=True, **FILES).text(root)
     first = lines.select(
         "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start")
     ).where(F.col("block_start") == 0)
@@ -46,10 +50,10 @@ def headers(spark: SparkSession, root: str) -> DataFrame:
     return numbered.groupBy("file_path").agg(F.min_by("value", "_n").alias("header"))
 
 
-def header_groups(spark: SparkSession, root: str) -> DataFrame:
+def header_groups(first_lines: DataFrame) -> DataFrame:
     """Files per distinct header, with the flag `usable`; one row per header."""
     names = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '^﻿|"|\r', "")))
-    grouped = headers(spark, root).withColumn("columns", names)
+    grouped = first_lines.withColumn("columns", names)
     usable = reduce(lambda a, b: a & b, [F.array_contains("columns", c) for c in FIELDS])
     return grouped.groupBy("columns").agg(F.sort_array(F.collect_list("file_path")).alias("files")).withColumn(
         "usable", usable
@@ -58,11 +62,12 @@ def header_groups(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_triples(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(rows, skipped files).  Columns are found by name, file by file; files
-    without the required ones are skipped and reported.
+    without the required ones, empty and unreadable ones are skipped and reported.
 
-    Only file names and headers reach the driver.
+    Only file names and headers reach the driver.  A file with a sound header
+    that breaks off later is an error, not a silent loss of rows.
     """
-    groups = header_groups(spark, root).collect()
+    groups = header_groups(headers(spark, root)).collect()
     parts = []
     for group in groups:
         if not group["usable"]:
@@ -75,8 +80,10 @@ def scan_triples(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     else:
         rows = _tagged_empty(spark)
     bad = [(f, "missing columns") for g in groups if not g["usable"] for f in g["files"]]
-    skipped = spark.createDataFrame(bad, "file_path string, reason string")
-    return rows, skipped
+    listed = set(spark.read.options(**FILES).text(root).inputFiles())
+    seen = {f for g in groups for f in g["files"]}
+    bad += [(f, "empty or unreadable") for f in sorted(listed - seen)]
+    return rows, spark.createDataFrame(bad, "file_path string, reason string")
 
 
 def _tagged_empty(spark: SparkSession) -> DataFrame:

@@ -31,7 +31,7 @@ def _cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return f"{v:.10g}"
+        return f"{v + 0.0:.10g}"  # -0 equals 0
     return str(v)
 
 

@@ -119,12 +119,17 @@ def test_scan_by_header(spark, tmp_path):
     (tmp_path / "b.csv").write_text('subjectLabel,relation,objectLabel\n"Smith, Ann",born in,Rome\nBob,"said ""no""",x\n')
     (tmp_path / "deep" / "a.csv").write_text("objectLabel,extra,subjectLabel,relation\nParis,1,Cy,lives in\n")
     (tmp_path / "bad.csv").write_text("subjectLabel,relation\nx,y\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "broken.csv.gz").write_bytes(b"no gzip")
+    (tmp_path / "broken.csv.gz").rename(tmp_path / "deep" / "broken.gz.csv")
     (tmp_path / "note.txt").write_text("subjectLabel,relation,objectLabel\n1,2,3\n")
     rows, skipped = scan_triples(spark, str(tmp_path))
     assert sorted((r["source"], r["subjectLabel"], r["relation"], r["objectLabel"]) for r in rows.collect()) == [
         ("a.csv", "Cy", "lives in", "Paris"), ("b.csv", "Bob", 'said "no"', "x"), ("b.csv", "Smith, Ann", "born in", "Rome"),
     ]
-    assert [r["file_path"].rsplit("/", 1)[-1] for r in skipped.collect()] == ["bad.csv"]
+    assert sorted((r["file_path"].rsplit("/", 1)[-1], r["reason"]) for r in skipped.collect()) == [
+        ("bad.csv", "missing columns"), ("broken.gz.csv", "missing columns"), ("empty.csv", "empty or unreadable"),
+    ]
     ordered = scan_uniform(spark, str(tmp_path / "b.csv")).orderBy(*X.POSITION)
     assert [r["subjectLabel"] for r in ordered.collect()] == ["Smith, Ann", "Bob"]
 
