@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,7 +81,8 @@ def scan_triples(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     else:
         rows = _tagged_empty(spark)
     bad = [(f, "missing columns") for g in groups if not g["usable"] for f in g["files"]]
-    listed = set(spark.read.options(**FILES).text(root).inputFiles())
+    # local paths are listed with three slashes and tagged with one
+    listed = {re.sub("^file:/+", "file:/", f) for f in spark.read.options(**FILES).text(root).inputFiles()}
     seen = {f for g in groups for f in g["files"]}
     bad += [(f, "empty or unreadable") for f in sorted(listed - seen)]
     return rows, spark.createDataFrame(bad, "file_path string, reason string")
