@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session without the setting gets a temporary folder.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None)
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
