@@ -153,9 +153,7 @@ def _against_reference(inputs: Inputs, formula, ref_value: float) -> Result:
     own = inputs.pre_compute["forget"].aggregate()
     reference = inputs.reference.get("retain")
     ref = reference.aggregate() if reference is not None else _null_row(own)
-    # both sides are one row
-    pair = own.select(F.col("agg_value").alias("_s")).crossJoin(F.broadcast(ref.select(F.col("agg_value").alias("_r"))))
-    return Result(pair.select(formula(F.col("_s"), F.col("_r"), ref_value).alias("agg_value")))
+    return Result(own.select(formula(F.col("agg_value"), ref.select("agg_value").scalar(), ref_value).alias("agg_value")))
 
 
 @metric()

@@ -35,13 +35,8 @@ def hot_keys(facts: DataFrame, keys: list[Column]) -> DataFrame:
     values: fewer than 1,000.  One pass, pre-aggregated before the shuffle."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), k.alias("key")) for i, k in enumerate(keys)]))
     counts = facts.select(each.alias("k")).groupBy("k.which", "k.key").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    return (
-        counts.where(F.col("key").isNotNull())
-        .crossJoin(F.broadcast(total))
-        .where(F.col("_n") * MAX_HOT_KEYS > F.col("_all"))
-        .select("which", "key")
-    )
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where(F.col("key").isNotNull() & (F.col("_n") * MAX_HOT_KEYS > total)).select("which", "key")
 
 
 def lookup(facts: DataFrame, *lookups: Lookup) -> DataFrame:

@@ -39,8 +39,7 @@ def partner_join(
     `other` has a dense `index`.  Without rows in `other` the added columns are
     null.
     """
-    size = other.agg(F.count("*").alias("_size"))
-    chosen = anchor.crossJoin(F.broadcast(size)).withColumn(
+    chosen = anchor.withColumn("_size", other.agg(F.count("*")).scalar()).withColumn(
         "_partner", F.when(F.col("_size") > 0, choice(F.col("index"), F.greatest("_size", F.lit(1)), seed, epoch))
     )
     dim = other.select(F.col("index").cast("string").alias("_partner_key"), *[F.col(c).alias(f"{prefix}{c}") for c in columns])

@@ -52,8 +52,7 @@ def attach_few_shot(df: DataFrame, examples: DataFrame | None, **columns: str) -
     """The same ordered examples on every row (an empty list without any)."""
     if examples is None:
         return df.withColumn("few_shot", F.array().cast(NO_EXAMPLES))
-    # the right side is exactly one row
-    return df.crossJoin(F.broadcast(few_shot_array(examples, **columns)))
+    return df.withColumn("few_shot", few_shot_array(examples, **columns).scalar())
 
 
 def render_prompt(template: Template, question: Column, few_shot: Column | None = None) -> Column:

@@ -197,7 +197,7 @@ def popularity_splits(df: DataFrame, percents: Sequence[int] = (1, 5, 10), value
     100-2p % the retained intersection; ties go by key.  `df` is read several
     times: give a stored table.
     """
-    ranked = rank_with_ties(df, value, key, "_rank").crossJoin(F.broadcast(df.agg(F.count("*").alias("_rows"))))
+    ranked = rank_with_ties(df, value, key, "_rank").withColumn("_rows", df.agg(F.count("*")).scalar())
 
     def named(p: int) -> Column:
         size = F.floor(F.col("_rows") * p / 100)
