@@ -11,7 +11,9 @@ from types import SimpleNamespace
 
 MODULES = (
     "blob_ledger",
+    "forced_boundary",
     "rule_ledger",
+    "token_counts",
 )
 
 
