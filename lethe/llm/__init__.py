@@ -12,6 +12,7 @@ from types import SimpleNamespace
 MODULES = (
     "blob_ledger",
     "forced_boundary",
+    "mixing_tree",
     "rule_ledger",
     "token_counts",
 )
