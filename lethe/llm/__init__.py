@@ -15,6 +15,7 @@ MODULES = (
     "mixing_tree",
     "rule_ledger",
     "token_counts",
+    "voronoi_knn",
 )
 
 
