@@ -11,6 +11,7 @@ from types import SimpleNamespace
 
 MODULES = (
     "blob_ledger",
+    "coordinate_join",
     "forced_boundary",
     "mixing_tree",
     "rule_ledger",
