@@ -11,6 +11,7 @@ from types import SimpleNamespace
 
 MODULES = (
     "blob_ledger",
+    "bucket_refinement",
     "coordinate_join",
     "forced_boundary",
     "mixing_tree",
