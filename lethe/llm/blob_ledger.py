@@ -59,7 +59,8 @@ MORE = (
 )
 RULES = BASE + MORE
 
-FINDING = "blob string, rule string, spans array<struct<start:bigint,end:bigint>>"
+# One row per blob and run: the rule versions that were applied and what they found.
+FINDING = "blob binary, rules array<string>, found array<struct<rule:string,start:bigint,end:bigint>>"
 
 
 def _scanner(rules: Sequence[Rule]):
@@ -69,27 +70,24 @@ def _scanner(rules: Sequence[Rule]):
 
     def scan(batches):
         for batch in batches:
-            blobs, tags, spans = [], [], []
-            for blob, text, missing in zip(batch["blob"], batch["text"], batch["missing"]):
-                for tag in missing:
-                    pattern, group, least = compiled[tag]
-                    blobs.append(blob)
-                    tags.append(tag)
-                    spans.append(
-                        [
-                            {"start": m.start(), "end": m.end()}
-                            for m in pattern.finditer(text)
-                            if m.end(group) - m.start(group) >= least
-                        ]
-                    )
-            yield pd.DataFrame({"blob": blobs, "rule": tags, "spans": spans})
+            found = [
+                [
+                    {"rule": tag, "start": m.start(), "end": m.end()}
+                    for tag in missing
+                    for pattern, group, least in (compiled[tag],)
+                    for m in pattern.finditer(text)
+                    if m.end(group) - m.start(group) >= least
+                ]
+                for text, missing in zip(batch["text"], batch["missing"])
+            ]
+            yield pd.DataFrame({"blob": batch["blob"], "rules": batch["missing"], "found": found})
 
     return scan
 
 
 def blobs_of(versions: DataFrame, id_cols: Sequence[str], text_col: str = "text") -> DataFrame:
     """Every version's id columns and its blob; a null text counts as empty."""
-    return versions.select(*id_cols, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
+    return versions.select(*id_cols, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"))
 
 
 def scan_unseen(
@@ -99,9 +97,9 @@ def scan_unseen(
     id_cols: Sequence[str] = ("doc_id",),
     text_col: str = "text",
 ) -> DataFrame:
-    """Findings (blob, rule, spans) for pairs of blob and rule version not in `seen`.
+    """Ledger rows for the pairs of blob and rule version that are not in `seen`.
 
-    A pair without a match has an empty `spans`, so that it counts as seen.
+    A rule without a match is listed in `rules` all the same, so that it counts as seen.
     Spans are code points, end exclusive.  Several versions of one blob, repeated
     rows and null ids give one scan of that blob; an empty table gives no rows.
     """
@@ -110,11 +108,12 @@ def scan_unseen(
     keyed = versions.select(
         F.xxhash64(*[x for c in id_cols for x in (F.col(c).isNull(), F.col(c).cast("string"))]).alias("version"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).withColumn("blob", F.sha2("text", 256))
+    ).withColumn("blob", F.unhex(F.sha2("text", 256)))
     # one version stands for a blob; copies collapse on the map side
     standing = keyed.groupBy("blob").agg(F.min("version").alias("version"))
     if seen is not None:
-        known = seen.where(F.col("rule").isin([r.tag for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+        # a blob has a row per scan, each with other rule versions
+        known = seen.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("done"))
         standing = standing.join(known, "blob", "left").select(
             "blob", "version", F.array_except(tags, F.coalesce("done", F.array().cast("array<string>"))).alias("missing")
         )
@@ -128,7 +127,7 @@ def scan_unseen(
     ).select("blob", "text", "missing")
     found = todo.mapInPandas(_scanner(rules), FINDING)
     # rows that repeat id and text were scanned alike; one result stays
-    return found.groupBy("blob", "rule").agg(F.first("spans").alias("spans"))
+    return found.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("found").alias("found"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -166,16 +165,12 @@ def findings_by_version(
     order = {r.tag: i for i, r in enumerate(rules)}
     number = F.create_map(*[F.lit(x) for tag, i in order.items() for x in (tag, i)])
     kind = F.create_map(*[F.lit(x) for r in rules for x in (r.tag, r.kind)])
-    tagged = ledger.where(F.col("rule").isin(list(order))).select(
-        "blob",
-        F.transform(
-            "spans",
-            lambda s: F.struct(
-                s["start"].alias("start"), number[F.col("rule")].alias("kind_no"), kind[F.col("rule")].alias("kind"), s["end"].alias("end")
-            ),
-        ).alias("some"),
+    some = F.transform(
+        F.filter("found", lambda s: s["rule"].isin(list(order))),
+        lambda s: F.struct(s["start"].alias("start"), number[s["rule"]].alias("kind_no"), kind[s["rule"]].alias("kind"), s["end"].alias("end")),
     )
-    per_blob = tagged.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("found"))
+    hits = ledger.where(F.size("found") > 0).select("blob", some.alias("some"))
+    per_blob = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("found"))
     empty = F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint>>")
     return (
         blobs_of(versions, id_cols, text_col)
@@ -196,9 +191,11 @@ def blob_ledger(spark, sf_dir):
     ledger = scan_into(docs, scratch_path(spark, "blob-ledger"), first=True)
     rows = findings_by_version(docs, ledger)
     base = F.filter("found", lambda s: s["kind_no"] < len(BASE))
-    counts = [
-        F.size(F.filter("found", lambda s, i=i: s["kind_no"] == i)).cast("bigint").alias(f"n_{r.kind}") for i, r in enumerate(BASE)
-    ]
+
+    def count(number: int):
+        return F.size(F.filter("found", lambda s: s["kind_no"] == number)).cast("bigint")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return rows.select(
-        "doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"), "blob"
+        "doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"), F.lower(F.hex("blob")).alias("blob")
     )
