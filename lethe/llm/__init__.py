@@ -17,6 +17,7 @@ MODULES = (
     "mixing_tree",
     "rule_ledger",
     "token_counts",
+    "toxicity",
     "voronoi_knn",
 )
 
