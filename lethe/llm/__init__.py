@@ -16,6 +16,7 @@ MODULES = (
     "forced_boundary",
     "mixing_tree",
     "rule_ledger",
+    "surrogates",
     "token_counts",
     "toxicity",
     "voronoi_knn",

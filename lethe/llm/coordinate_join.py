@@ -20,7 +20,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lethe.llm.catalog import query, table
@@ -177,12 +177,12 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(`id_col`, body, n_shingles, component_id): one row per row of `docs`.
+    """(`id_col`, body, n_shingles, component_id, component): one row per row of `docs`.
 
     Two documents are linked when the Jaccard similarity of their sets of
     `words`-word shingles is at least `percent` / 100; `component_id` is the
-    smallest id reachable.  `body` is the text's 64-bit hash, which with the id
-    finds the row again.  Null and empty texts, and texts without words, are
+    smallest id reachable, `component` a number of its own, null without words.
+    `body` is the text's 64-bit hash, which with the id finds the row again.  Null and empty texts, and texts without words, are
     linked with nothing and have their own id.  Null ids take part and are never
     a component's id unless all are null.  Repeated rows are linked; other
     columns are not read; an empty table gives no rows.
@@ -245,12 +245,35 @@ def near_duplicates(
     else:
         rooted = classes.join(roots, F.col("c") == F.col("node"), "left").select("same", "id", F.coalesce("root", "c").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(smallest, "root").select(F.col("same").alias("_same"), "component_id")
+    named = rooted.join(smallest, "root").select(F.col("same").alias("_same"), "component_id", "root")
     return signed.join(named, F.col("same") == F.col("_same"), "left").select(
-        F.col("id").alias(id_col), "body", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+        F.col("id").alias(id_col),
+        "body",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "id").alias("component_id"),
+        F.col("root").alias("component"),
     )
 
 
+def _row_key(id_column: Column) -> Column:
+    return F.xxhash64(id_column.isNull(), id_column)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """The rows of `docs`, all columns, with one row of each component: that of its
+    smallest id (null last), one of them where rows are repeated.  Texts without
+    words all stay."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(F.col("component").isNotNull())
+    key = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), F.col("body").alias("body"))
+    keepers = found.groupBy("component").agg(F.min(key).alias("k")).select(_row_key(F.col("k.id")).alias("_kept_id"), F.col("k.body").alias("_kept_body"))
+    keyed = docs.withColumn("_kept_id", _row_key(F.col(id_col).cast("bigint"))).withColumn("_kept_body", F.xxhash64(text))
+    spoken = text.rlike(r"[^\x20\x09-\x0D]")
+    one = F.row_number().over(Window.partitionBy("_kept_id", "_kept_body").orderBy("_kept_id"))
+    kept = keyed.where(spoken).join(keepers, ["_kept_id", "_kept_body"], "left_semi").withColumn("_kept_no", one).where("_kept_no = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(~spoken))
+
+
 SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(

@@ -12,13 +12,13 @@ hash of their id; every row is scored, in one narrow pass.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lethe.llm.catalog import query, table
@@ -239,30 +239,36 @@ def labelled_rows(
     )
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(`id_col`, score) for every row; null and empty texts get the intercept's score.
-
-    Null and repeated ids are carried along; other columns are not read.
-    """
+def scorer(spark: SparkSession, model: tuple[np.ndarray, float]):
+    """A column function from a text to its score; a null text scores as an empty one."""
     weights, intercept = model
     used = np.flatnonzero(weights)
-    shipped = docs.sparkSession.sparkContext.broadcast((used, weights[used], intercept))
+    shipped = spark.sparkContext.broadcast((used, weights[used], intercept))  # at most 2**BITS weights
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         used, values, intercept = shipped.value
         w = np.zeros(1 << BITS)
         w[used] = values
         features = Features(w != 0)
         for batch in batches:
-            scores = []
-            for text in batch["text"]:
-                z = intercept + sum(w[f] for f in sorted(features.of(text)))
-                scores.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-            yield pd.DataFrame({"id": batch["id"], "score": scores})
-
-    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInPandas(run, f"id {id_type}, score double").withColumnRenamed("id", id_col)
+            z = [intercept + sum(w[f] for f in sorted(features.of(text))) for text in batch]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -500, 500))))
+
+    return lambda text: run(F.coalesce(text, F.lit("")))
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(`id_col`, score) for every row; null and empty texts get the intercept's score.
+
+    Null and repeated ids are carried along; other columns are not read.
+    """
+    return docs.select(id_col, scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
+
+
+def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that score below `threshold`."""
+    return docs.where(scorer(docs.sparkSession, model)(F.col(text_col)) < threshold)
 
 
 def held_out(id_col: str = "doc_id"):
