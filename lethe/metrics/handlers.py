@@ -50,10 +50,17 @@ def probability(inputs: Inputs) -> Result:
     return _mean(_losses(inputs.only()), "prob")
 
 
+def _right_and_wrong(inputs: Inputs) -> tuple[DataFrame, Column]:
+    """Both stored result sets in one table, and what tells them apart."""
+    parts = inputs.pre_compute
+    correct, wrong = (parts[p].values.withColumn("_correct_part", F.lit(p == "correct")) for p in ("correct", "wrong"))
+    return correct.unionByName(wrong, allowMissingColumns=True), F.col("_correct_part")
+
+
 @metric()
 def probability_w_options(inputs: Inputs) -> Result:
-    parts = inputs.pre_compute
-    values = A.prob_with_options(parts["correct"].values, parts["wrong"].values)
+    answers, right = _right_and_wrong(inputs)
+    values = A.prob_with_options(answers, right=right)
     return Result(_flat_mean("prob"), values)
 
 
@@ -67,8 +74,8 @@ def rouge(inputs: Inputs, rouge_type: str, stopwords: tuple[str, ...] = (), eos:
 
 @metric()
 def truth_ratio(inputs: Inputs, aggregator: str) -> Result:
-    parts = inputs.pre_compute
-    values = A.truth_ratio_scores(parts["correct"].values, parts["wrong"].values)
+    answers, right = _right_and_wrong(inputs)
+    values = A.truth_ratio_scores(answers, right=right)
     return Result(lambda v: A.truth_ratio_agg(v, aggregator), values)
 
 

@@ -118,18 +118,40 @@ def align(left: DataFrame, right: DataFrame, keys: Sequence[str], check: bool =
     return left.join(right, list(keys))
 
 
-def prob_with_options(correct: DataFrame, wrong: DataFrame, keys: Sequence[str] = ("index",), check: bool = True) -> DataFrame:
-    """Probability of the right answer among all options, per example."""
-    c = correct.groupBy(*keys).agg(F.avg("prob").alias("_correct"))
-    w = wrong.groupBy(*keys).agg(F.sum("prob").alias("_wrong"))
-    return align(c, w, keys, check).select(*keys, S.options_prob(F.col("_correct"), F.col("_wrong")).alias("prob"))
+def _answer_sides(df: DataFrame, keys: Sequence[str], right: Column, **aggregates: Column) -> DataFrame:
+    """Per example an aggregate over its right and one over its wrong answers, in one
+    grouping; an example without either is an error, raised where it is computed."""
+    sums = df.groupBy(*keys).agg(
+        F.count(F.when(right, 1)).alias("_right"),
+        F.count(F.when(~right, 1)).alias("_wrong_rows"),
+        *[made.alias(name) for name, made in aggregates.items()],
+    )
+    shown = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys])
+    complete = (F.col("_right") > 0) & (F.col("_wrong_rows") > 0)
+    problem = F.raise_error(F.concat(F.lit("result sets differ, e.g. at "), shown)).cast("double")
+    return sums.select(*keys, *[F.when(complete, F.col(name)).otherwise(problem).alias(name) for name in aggregates])
+
+
+def prob_with_options(answers: DataFrame, keys: Sequence[str] = ("index",), right: Column | None = None) -> DataFrame:
+    """Probability of the right answer among all options, per example.
+
+    `answers` holds right and wrong answers; `right` tells them apart and is
+    `answer_idx = 0` by default.
+    """
+    right = F.col("answer_idx") == 0 if right is None else right
+    sides = _answer_sides(
+        answers, keys, right, _correct=F.avg(F.when(right, F.col("prob"))), _wrong=F.sum(F.when(~right, F.col("prob")))
+    )
+    return sides.select(*keys, S.options_prob(F.col("_correct"), F.col("_wrong")).alias("prob"))
 
 
-def truth_ratio_scores(correct: DataFrame, wrong: DataFrame, keys: Sequence[str] = ("index",), check: bool = True) -> DataFrame:
+def truth_ratio_scores(answers: DataFrame, keys: Sequence[str] = ("index",), right: Column | None = None) -> DataFrame:
     """Truth ratio per example; answers are averaged on their losses first."""
-    c = mean_over_answers(correct, "avg_loss", keys).withColumnRenamed("avg_loss", "_correct")
-    w = mean_over_answers(wrong, "avg_loss", keys).withColumnRenamed("avg_loss", "_wrong")
-    return align(c, w, keys, check).select(*keys, S.truth_ratio(F.col("_correct"), F.col("_wrong")).alias("score"))
+    right = F.col("answer_idx") == 0 if right is None else right
+    sides = _answer_sides(
+        answers, keys, right, _correct=F.avg(F.when(right, F.col("avg_loss"))), _wrong=F.avg(F.when(~right, F.col("avg_loss")))
+    )
+    return sides.select(*keys, S.truth_ratio(F.col("_correct"), F.col("_wrong")).alias("score"))
 
 
 def truth_ratio_agg(ratios: DataFrame, aggregator: str, group: Sequence[str] = (), name: str = "agg_value") -> DataFrame:
@@ -200,18 +222,27 @@ def ks_statistic(
     )
 
 
-def ks_test(df: DataFrame, group: Sequence[str] = (), score: str = "score", sample: str = "run", first: str = "target") -> DataFrame:
-    """KS statistic with its two-sided p-value, one row per group."""
+def ks_test(
+    df: DataFrame, group: Sequence[str] = (), score: str = "score", sample: str = "run", first: str = "target", method: str = "exact"
+) -> DataFrame:
+    """KS statistic with its two-sided p-value and `p_method`, one row per group.
+
+    The method is the caller's choice and never depends on the sizes: "exact"
+    costs n1 * n2 steps where the samples differ in size, "limit" nothing.
+    """
     found = ks_statistic(df, group, score, sample, first)
     if group:
-        # an exact p-value takes up to a second: spread many groups over the cores
+        # one p-value may take long: spread the groups over the cores
         found = found.repartition(df.sparkSession.sparkContext.defaultParallelism, *group)
-    return found.withColumn("p_value", ks_pvalue(F.col("gap").cast("string"), F.col("n1"), F.col("n2")))
+    p = ks_pvalue(F.col("gap").cast("string"), F.col("n1"), F.col("n2"), method)
+    return found.withColumn("p_value", p).withColumn("p_method", F.lit(method))
 
 
-def ks_test_reciprocal(df: DataFrame, group: Sequence[str] = (), score: str = "score", sample: str = "run", first: str = "target") -> DataFrame:
+def ks_test_reciprocal(
+    df: DataFrame, group: Sequence[str] = (), score: str = "score", sample: str = "run", first: str = "target", method: str = "exact"
+) -> DataFrame:
     flipped = df.withColumn(score, F.lit(1.0) / (F.col(score) + F.lit(S.EPSILON)))
-    return ks_test(flipped, group, score, sample, first)
+    return ks_test(flipped, group, score, sample, first, method)
 
 
 def attack_summary(df: DataFrame, group: Sequence[str] = (), score: str = "score") -> DataFrame:

@@ -89,12 +89,12 @@ def qa_dataset(
     question: str = "question",
     answer: str = "answer",
     few_shot: DataFrame | None = None,
-    max_length: int = 512,
+    max_length: int | None = None,
     predict_with_generate: bool = False,
 ) -> DataFrame:
     """Questions with a dense `index` to tokens and labels, one row per answer.
 
-    Chat templates are not cut to `max_length`; tagged prompts are.
+    Tagged prompts are cut to `max_length` where one is given, chat templates never.
     """
     rows = attach_few_shot(explode_answers(df, answer), few_shot)
     q, a, shots = F.col(question), F.col(answer), F.col("few_shot")

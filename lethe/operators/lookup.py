@@ -1,4 +1,4 @@
-"""Left joins to tables with one row per key, safe against hot keys."""
+"""Left joins to tables with one row per key."""
 
 from __future__ import annotations
 
@@ -7,13 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1_000
-SMALL_ROWS = 10_000
-
 
 @dataclass
 class Lookup:
-    """Columns of `dim` (unique on `dim_key`) for the string expression `key`.
+    """Columns of `dim` (unique on `dim_key`) for the expression `key`.
 
     `names` renames the columns that are added.
     """
@@ -26,55 +23,19 @@ class Lookup:
     def values(self) -> list[str]:
         return [c for c in self.dim.columns if c != self.dim_key]
 
-    def packed(self) -> Column:
-        return F.struct(*[F.col(c).alias(self.names.get(c, c)) for c in self.values()])
-
-
-def hot_keys(facts: DataFrame, keys: list[Column]) -> DataFrame:
-    """(which, key) of keys that hold more than one in a thousand of all key
-    values: fewer than 1,000.  One pass, pre-aggregated before the shuffle."""
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), k.alias("key")) for i, k in enumerate(keys)]))
-    counts = facts.select(each.alias("k")).groupBy("k.which", "k.key").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("key").isNotNull() & (F.col("_n") * MAX_HOT_KEYS > total)).select("which", "key")
-
 
 def lookup(facts: DataFrame, *lookups: Lookup) -> DataFrame:
     """Add the dimension columns of every lookup to every fact.
 
-    Facts with a hot key take their values from a broadcast of at most 1,000
-    dimension rows and are spread evenly; all others meet the dimension in a
-    plain equi-join, which Spark broadcasts or shuffles by its size.
+    Plain equi-joins: Spark broadcasts a dimension by its size in bytes, and
+    splits the partitions of a hot or null key at run time, as it may for the
+    left side of a left join.  The facts are read once.
     """
-    hot = hot_keys(facts, [one.key for one in lookups])
-    out = facts.select("*", *[one.key.alias(f"_key{i}") for i, one in enumerate(lookups)])
-    # no key starts with the control character, so a spread row matches nothing
-    spread = F.concat(F.lit("\u0001"), F.monotonically_increasing_id().cast("string"))
+    out = facts
     for i, one in enumerate(lookups):
-        dim = one.dim.select(F.col(one.dim_key).alias("key"), one.packed().alias("value"))
-        hot_dim = (
-            hot.where(F.col("which") == i).join(dim, "key", "left").select(F.col("key").alias("_hot_key"), F.col("value").alias("_hot"))
+        dim = one.dim.select(
+            F.col(one.dim_key).alias(f"_dim{i}"), F.struct(*[F.col(c).alias(one.names.get(c, c)) for c in one.values()]).alias(f"_found{i}")
         )
-        key = F.col(f"_key{i}")
-        is_hot = F.col("_hot_key").isNotNull()
-        out = (
-            out.join(F.broadcast(hot_dim), key == F.col("_hot_key"), "left")
-            .withColumn("_join", F.when(is_hot | key.isNull(), spread).otherwise(key))
-            .join(dim.select(F.col("key").alias("_join"), F.col("value").alias("_cold")), "_join", "left")
-            .withColumn(f"_found{i}", F.when(is_hot, F.col("_hot")).otherwise(F.col("_cold")))
-            .drop("_join", "_hot_key", "_hot", "_cold", f"_key{i}")
-        )
-    added = [
-        F.col(f"_found{i}.{one.names.get(c, c)}") for i, one in enumerate(lookups) for c in one.values()
-    ]
+        out = out.withColumn(f"_key{i}", one.key).join(dim, F.col(f"_key{i}") == F.col(f"_dim{i}"), "left")
+    added = [F.col(f"_found{i}.{one.names.get(c, c)}") for i, one in enumerate(lookups) for c in one.values()]
     return out.select(*facts.columns, *added)
-
-
-def lookup_small(facts: DataFrame, one: Lookup) -> DataFrame:
-    """The same for a stored dimension: broadcast when a bounded count shows at
-    most 10,000 rows, the hot-key way otherwise."""
-    if one.dim.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
-        return lookup(facts, one)
-    dim = one.dim.select(F.col(one.dim_key).alias("_join"), one.packed().alias("_found"))
-    joined = facts.withColumn("_join", one.key).join(F.broadcast(dim), "_join", "left")
-    return joined.select(*facts.columns, *[F.col(f"_found.{one.names.get(c, c)}") for c in one.values()])

@@ -21,11 +21,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 10_000
+BUCKETS_PER_PARTITION = 4  # so that hashing buckets onto partitions comes out even
 
 
 def bucket_count(df: DataFrame) -> int:
-    return max(2, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def cut_points(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
@@ -80,7 +80,7 @@ def running_sums(
         added += [F.sum(f"_total_{v}").over(whole).alias(f"{v}_total") for v in values]
     offsets = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *added)
     if not group:
-        # at most one row per bucket, so at most MAX_BUCKETS rows
+        # at most one row per bucket, and their number is a setting
         offsets = F.broadcast(offsets)
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]

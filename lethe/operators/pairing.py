@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lethe.operators.lookup import Lookup, lookup_small
 
 
 def choice(index: Column, n: Column, seed: int = 0, epoch: int = 0) -> Column:
@@ -42,9 +41,9 @@ def partner_join(
     chosen = anchor.withColumn("_size", other.agg(F.count("*")).scalar()).withColumn(
         "_partner", F.when(F.col("_size") > 0, choice(F.col("index"), F.greatest("_size", F.lit(1)), seed, epoch))
     )
-    dim = other.select(F.col("index").cast("string").alias("_partner_key"), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
-    paired = lookup_small(chosen, Lookup(dim, "_partner_key", F.col("_partner").cast("string")))
-    return paired.drop("_size", "_partner")
+    # a choice is a uniform hash, so no partner is hot
+    dim = other.select(F.col("index").alias("_partner"), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+    return chosen.join(dim, "_partner", "left").select(*anchor.columns, *[f"{prefix}{c}" for c in columns])
 
 
 def forget_retain(

@@ -112,8 +112,8 @@ def target_text(words: Column, labels: Column) -> Column:
 
 @F.pandas_udf(T.IntegerType())
 def zlib_bytes(text: pd.Series) -> pd.Series:
-    """Length of the zlib-compressed UTF-8 text."""
-    return text.map(lambda t: len(zlib.compress(t.encode("utf-8")))).astype("int32")
+    """Length of the zlib-compressed UTF-8 text; a null text counts as empty."""
+    return text.fillna("").map(lambda t: len(zlib.compress(t.encode("utf-8")))).astype("int32")
 
 
 def zlib_score(loss: Column, text: Column) -> Column:
@@ -127,13 +127,13 @@ def chat_tokens(
     prompt: str,
     response: str,
     tokenizer,
-    max_length: int | None = 512,
+    max_length: int | None = None,
     predict_with_generate: bool = False,
 ) -> DataFrame:
     """input_ids, labels, attention_mask, no_target for a rendered prompt and answer.
 
-    Prompt and full text are cut to `max_length` (None leaves them whole, as for
-    chat templates); the end mark is added after the cut.
+    Prompt and full text stay whole, or are cut to `max_length`; the end mark is
+    added after the cut.
     """
     full = tokenizer.encode(F.concat(F.col(prompt), F.col(response)))
     head = tokenizer.encode(F.col(prompt))
@@ -148,16 +148,20 @@ def completion_tokens(
     prefix: str | None,
     text: str | None,
     tokenizer,
-    max_length: int = 2048,
+    max_length: int | None = None,
     predict_with_generate: bool = False,
     insert_space: bool = False,
 ) -> DataFrame:
-    """Same columns for a prefix and its continuation; absent columns count as empty."""
+    """Same columns for a prefix and its continuation; absent columns count as empty.
+
+    The continuation stays whole, or is cut to `max_length` tokens.
+    """
     p = optional_text(df, prefix)
     t = optional_text(df, text)
     full = tokenizer.encode(completion_text(p, t, insert_space))
     ids = df.withColumn("_head", tokenizer.encode(p)).withColumn("_all", full)
-    ids = ids.withColumn("_full", truncate(F.col("_all"), F.size("_head") + max_length)).drop("_all")
+    kept = F.col("_all") if max_length is None else truncate(F.col("_all"), F.size("_head") + max_length)
+    ids = ids.withColumn("_full", kept).drop("_all")
     return _with_labels(
         ids, predict_with_generate, F.greatest(F.size("_head"), F.lit(1)), masked_when_generating=True
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lethe import schemas
 from lethe.functions import questions as Q
 from lethe.functions.text import strip
-from lethe.operators.lookup import Lookup, lookup, lookup_small
+from lethe.operators.lookup import Lookup, lookup
 from lethe.operators.order import keep_first, rank_with_ties
 from lethe.session import materialise
 
@@ -134,8 +134,7 @@ def with_questions(
     o = object_tags.select(
         F.col("object").alias("objectLabel"), Q.agreed_type(F.col("ner1"), F.col("ner2")).alias("_object")
     )
-    tagged = lookup(df, Lookup(o, "objectLabel", F.col("objectLabel")))
-    tagged = lookup_small(tagged, Lookup(r, "relation", F.col("relation")))
+    tagged = lookup(df, Lookup(o, "objectLabel", F.col("objectLabel")), Lookup(r, "relation", F.col("relation")))
     object_type = F.col("_object.type")
     word = Q.question_word(object_type)
     subject, relation = F.col("subjectLabel"), F.col("relation")

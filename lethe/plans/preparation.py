@@ -356,19 +356,19 @@ def tok3(spark: SparkSession, sf: str) -> DataFrame:
     return once.select("doc_id", ids_text(K.append_eos(F.col("ids")), "ids"))
 
 
-def chat_sql(max_length: int, prompt: str, answer: str, source: str, keep: str = "index") -> str:
-    """CTE `chat`: ids and labels of prompt and answer cut to a length."""
+def chat_sql(prompt: str, answer: str, source: str, keep: str = "index") -> str:
+    """CTE `chat`: ids and labels of prompt and answer."""
     return f"""
 enc AS (
-  SELECT {keep}, list_append(({ids_sql(f'{prompt} || {answer}')})[1:{max_length}], 2) AS ids, len(({ids_sql(prompt)})[1:{max_length}]) AS np FROM {source}),
+  SELECT {keep}, list_append({ids_sql(f'{prompt} || {answer}')}, 2) AS ids, len({ids_sql(prompt)}) AS np FROM {source}),
 chat AS (SELECT {keep}, ids, np, list_transform(ids, lambda v, i: CASE WHEN i <= np THEN -100 ELSE v END) AS labels FROM enc)"""
 
 
-_CHAT_SQL = f"WITH {INDEXED_SQL}, {chat_sql(64, "'[INST] ' || question || ' [/INST]'", 'answer', 'qi')}"
+_CHAT_SQL = f"WITH {INDEXED_SQL}, {chat_sql("'[INST] ' || question || ' [/INST]'", 'answer', 'qi')}"
 
 
 def _chat(spark: SparkSession, sf: str, **kw) -> DataFrame:
-    return D.qa_dataset(qa_indexed(spark, sf), R.LLAMA_2_CHAT, TOKENIZER, max_length=64, **kw)
+    return D.qa_dataset(qa_indexed(spark, sf), R.LLAMA_2_CHAT, TOKENIZER, **kw)
 
 
 @query("tok4_mask_labels", _CHAT_SQL + f"SELECT index, {joined_sql('labels')} AS labels FROM chat")
@@ -436,7 +436,7 @@ def bat1(spark: SparkSession, sf: str) -> DataFrame:
 SELECT index, array_to_string(({words_sql("question || ' ' || answer")})[len({words_sql('question')}) + 1:], ' ') AS target FROM qi""",
 )
 def tok8(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.completion_dataset(qa_indexed(spark, sf), TOKENIZER, "question", "answer", max_length=100000, insert_space=True)
+    rows = D.completion_dataset(qa_indexed(spark, sf), TOKENIZER, "question", "answer", insert_space=True)
     words = TOKENIZER.words(K.completion_text(F.col("question"), F.col("answer"), True))
     return rows.select("index", K.target_text(words, F.col("labels")).alias("target"))
 
@@ -447,11 +447,11 @@ def tok8(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "prep1_qa_dataset",
     f"""WITH {INDEXED_SQL}, {_shots_sql(R.PLAIN)}, src AS (SELECT index, answer, {_PROMPT} AS prompt FROM qi, fs),
-{chat_sql(512, 'prompt', 'answer', 'src')}
+{chat_sql('prompt', 'answer', 'src')}
 SELECT index, {joined_sql('ids')} AS input_ids, {joined_sql('labels')} AS labels FROM chat""",
 )
 def prep1(spark: SparkSession, sf: str) -> DataFrame:
-    made = D.qa_dataset(qa_indexed(spark, sf), R.PLAIN, TOKENIZER, few_shot=shots(spark, sf), max_length=512)
+    made = D.qa_dataset(qa_indexed(spark, sf), R.PLAIN, TOKENIZER, few_shot=shots(spark, sf))
     return made.select("index", ids_text("input_ids", "input_ids"), ids_text("labels", "labels"))
 
 
@@ -464,30 +464,30 @@ def prep1_generate(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("index", ids_text("input_ids", "input_ids"), ids_text("labels", "labels"))
 
 
-def completion_sql(full: str, prefix: str, length: int, src: str, keep: str = "index") -> str:
+def completion_sql(full: str, prefix: str, src: str, keep: str = "index") -> str:
     return f"""
-cenc AS (SELECT {keep}, ({ids_sql(full)})[1:len({ids_sql(prefix)}) + {length}] AS ids, greatest(len({ids_sql(prefix)}), 1) AS np FROM {src}),
+cenc AS (SELECT {keep}, {ids_sql(full)} AS ids, greatest(len({ids_sql(prefix)}), 1) AS np FROM {src}),
 comp AS (SELECT {keep}, ids, list_concat(list_transform(range(np), lambda z: -100), ids[np + 1:]) AS labels FROM cenc)"""
 
 
 @query(
     "prep2_completion_dataset",
-    f"""WITH {INDEXED_SQL}, {completion_sql("question || ' ' || answer", 'question', 32, 'qi')}
+    f"""WITH {INDEXED_SQL}, {completion_sql("question || ' ' || answer", 'question', 'qi')}
 SELECT index, {joined_sql('ids')} AS input_ids, {joined_sql('labels')} AS labels FROM comp""",
 )
 def prep2(spark: SparkSession, sf: str) -> DataFrame:
-    made = D.completion_dataset(qa_indexed(spark, sf), TOKENIZER, "question", "answer", max_length=32, insert_space=True)
+    made = D.completion_dataset(qa_indexed(spark, sf), TOKENIZER, "question", "answer", insert_space=True)
     return made.select("index", ids_text("input_ids", "input_ids"), ids_text("labels", "labels"))
 
 
 @query(
     "prep2_completion_dataset_no_prefix",
-    f"""WITH src AS (SELECT doc_id AS index, text FROM documents), {completion_sql('text', "''", 2048, 'src')}
+    f"""WITH src AS (SELECT doc_id AS index, text FROM documents), {completion_sql('text', "''", 'src')}
 SELECT index, {joined_sql('ids')} AS input_ids, {joined_sql('labels')} AS labels FROM comp""",
 )
 def prep2_no_prefix(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf).withColumnRenamed("doc_id", "index")
-    made = D.completion_dataset(docs, TOKENIZER, "prompt", "text", max_length=2048)
+    made = D.completion_dataset(docs, TOKENIZER, "prompt", "text")
     return made.select("index", ids_text("input_ids", "input_ids"), ids_text("labels", "labels"))
 
 
@@ -496,23 +496,23 @@ _TRIP = """src AS (SELECT index, p_name AS q, string_split(p_type, ' ')[1 + {c}]
 
 @query(
     "prep3_trip_dataset",
-    f"""WITH {GOLD_SQL}, {_TRIP.format(c=choice_sql('index', "len(string_split(p_type, ' '))", 0), t='gold')}, {completion_sql('q || a', 'q', 256, 'src', 'index, a')}
+    f"""WITH {GOLD_SQL}, {_TRIP.format(c=choice_sql('index', "len(string_split(p_type, ' '))", 0), t='gold')}, {completion_sql('q || a', 'q', 'src', 'index, a')}
 SELECT index, a AS chosen_answer, {joined_sql('ids')} AS input_ids, {joined_sql('labels')} AS labels FROM comp""",
 )
 def prep3(spark: SparkSession, sf: str) -> DataFrame:
-    made = D.scored_answer_dataset(scored_parts(spark, sf), TOKENIZER, "p_partkey", gold_set=True, max_length=256)
+    made = D.scored_answer_dataset(scored_parts(spark, sf), TOKENIZER, "p_partkey", gold_set=True)
     return made.select("index", "chosen_answer", ids_text("input_ids", "input_ids"), ids_text("labels", "labels"))
 
 
 @query(
     "prep3_multi_answer_dataset",
     f"""WITH keep AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS index FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 4 <> 0),
-{_TRIP.format(c=choice_sql('index', "len(string_split(p_type, ' '))", 0), t='keep')}, {completion_sql("q || ' ' || a", 'q', 2048, 'src', 'index, a')}
+{_TRIP.format(c=choice_sql('index', "len(string_split(p_type, ' '))", 0), t='keep')}, {completion_sql("q || ' ' || a", 'q', 'src', 'index, a')}
 SELECT index, a AS chosen_answer, {joined_sql('ids')} AS input_ids, {joined_sql('labels')} AS labels FROM comp""",
 )
 def prep3_multi(spark: SparkSession, sf: str) -> DataFrame:
     made = D.flagged_answer_dataset(
-        scored_parts(spark, sf), TOKENIZER, "p_partkey", answers="answer", gold_set=True, max_length=2048, insert_space=True
+        scored_parts(spark, sf), TOKENIZER, "p_partkey", answers="answer", gold_set=True, insert_space=True
     )
     return made.select("index", "chosen_answer", ids_text("input_ids", "input_ids"), ids_text("labels", "labels"))
 
@@ -544,7 +544,7 @@ def prep5(spark: SparkSession, sf: str) -> DataFrame:
 @query("api6_dataset_registry", _padded_sql("left"))
 def api6(spark: SparkSession, sf: str) -> DataFrame:
     """One dataset and one collator, both by registered name."""
-    args = {"df": qa_indexed(spark, sf), "template": R.LLAMA_2_CHAT, "tokenizer": TOKENIZER, "max_length": 64}
+    args = {"df": qa_indexed(spark, sf), "template": R.LLAMA_2_CHAT, "tokenizer": TOKENIZER}
     built = D.get_datasets({"forget": {"handler": "qa", "args": args}})
     padded = D.collate(built, "supervised", batch_size=8, padding_side="left")
     return padded.select("index", "batch_id", *[ids_text(c, c) for c in ("input_ids", "labels", "attention_mask")])

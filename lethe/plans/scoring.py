@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lethe.functions import scores as S
 from lethe.operators import aggregates as A
 from lethe.operators.similarity import text_similarity
-from lethe.operators.tokens import zlib_score
+from lethe.operators.tokens import target_text, zlib_score
 from lethe.plans.catalog import query
 from lethe.plans.inputs import (
     GENERATIONS_SQL,
@@ -171,7 +171,7 @@ def scr9(spark: SparkSession, sf: str) -> DataFrame:
 @query("scr10_zlib_score")
 def scr10(spark: SparkSession, sf: str) -> DataFrame:
     return token_scores(spark, sf, fields=LOSS).select(
-        "index", r6(zlib_score(S.avg_loss(TOK), F.array_join("words", " ")), "score")
+        "index", r6(zlib_score(S.avg_loss(TOK), target_text(F.col("words"), F.col("tokens.label_id"))), "score")
     )
 
 
@@ -243,19 +243,14 @@ c AS (SELECT index, avg(exp(-avg_loss)) AS p FROM loss WHERE answer_idx = 0 GROU
 x AS (SELECT index, sum(exp(-avg_loss)) AS p FROM loss WHERE answer_idx > 0 GROUP BY index)"""
 
 
-def _correct_wrong(spark: SparkSession, sf: str, salts: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    all_answers = scores_by_example(spark, sf, salts, 5)
-    return all_answers.where("answer_idx = 0"), all_answers.where("answer_idx > 0")
-
-
 @query(
     "scr14_prob_w_options",
     f"""WITH {token_sql(answers=5)}, {_OPTIONS_SQL}
 SELECT c.index, round(c.p / (c.p + x.p + 1e-10::DOUBLE), 6) AS prob FROM c JOIN x USING (index)""",
 )
 def scr14(spark: SparkSession, sf: str) -> DataFrame:
-    correct, wrong = _correct_wrong(spark, sf, {"target": 0})
-    return A.prob_with_options(correct, wrong, check=False).select("index", r6(F.col("prob"), "prob"))
+    answers = scores_by_example(spark, sf, {"target": 0}, 5)
+    return A.prob_with_options(answers).select("index", r6(F.col("prob"), "prob"))
 
 
 _RATIO_SQL = """
@@ -268,8 +263,7 @@ ratio AS (
 
 def truth_ratios(spark: SparkSession, sf: str, salts: dict[str, int]) -> DataFrame:
     """Truth ratio per (run, source, index), rounded so that equal ratios tie on every platform."""
-    correct, wrong = _correct_wrong(spark, sf, salts)
-    ratios = A.truth_ratio_scores(correct, wrong, ["run", "source", "index"], check=False)
+    ratios = A.truth_ratio_scores(scores_by_example(spark, sf, salts, 5), ["run", "source", "index"])
     return ratios.withColumn("score", F.round("score", 6))
 
 
@@ -285,10 +279,10 @@ SELECT index, count(*) FILTER (answer_idx = 0) AS n_correct, count(*) FILTER (an
 FROM loss GROUP BY index HAVING n_correct > 0 AND n_wrong > 0""",
 )
 def jn3(spark: SparkSession, sf: str) -> DataFrame:
-    correct, wrong = _correct_wrong(spark, sf, {"target": 0})
+    answers = scores_by_example(spark, sf, {"target": 0}, 5)
     return A.align(
-        correct.groupBy("index").agg(F.count("*").alias("n_correct")),
-        wrong.groupBy("index").agg(F.count("*").alias("n_wrong")),
+        answers.where("answer_idx = 0").groupBy("index").agg(F.count("*").alias("n_correct")),
+        answers.where("answer_idx > 0").groupBy("index").agg(F.count("*").alias("n_wrong")),
         ["index"],
     )
 
@@ -506,7 +500,7 @@ def agg7_reference(spark: SparkSession, sf: str) -> DataFrame:
 @query("agg7_mia_auc_zlib")
 def agg7_zlib(spark: SparkSession, sf: str) -> DataFrame:
     scored = token_scores(spark, sf, fields=LOSS).select(
-        "index", zlib_score(S.avg_loss(TOK), F.array_join("words", " ")).alias("score")
+        "index", zlib_score(S.avg_loss(TOK), target_text(F.col("words"), F.col("tokens.label_id"))).alias("score")
     )
     return A.roc_auc(with_population(spark, sf, scored)).select(r6(F.col("auc"), "auc"))
 

@@ -27,6 +27,7 @@ def local_session(app: str = "lethe", cpus: int | str = "*", **conf: str) -> Spa
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "12g",
+        CHECKPOINT_KEY: f"file://{tempfile.gettempdir()}/lethe-checkpoints",
         **conf,
     }
     for key, value in settings.items():
@@ -37,19 +38,12 @@ def local_session(app: str = "lethe", cpus: int | str = "*", **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the session names it.
-
-    Only a local session without the setting gets a temporary folder.
-    """
+    """Folder all executors can reach, as the session names it; a session without
+    the setting uses its warehouse, which is shared as well."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    path = getattr(shared_dir, "_local", None)
-    if path is None:
-        path = shared_dir._local = tempfile.mkdtemp(prefix="lethe-")
-    return path
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lethe-scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

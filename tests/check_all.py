@@ -18,7 +18,7 @@ def main(argv):
     sf = argv[0] if argv else "0.01"
     wanted = argv[1:]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = local_session(cpus=8)
+    spark = local_session(cpus=os.environ.get("CPUS", "8"))
     queries, checks = entry.queries(), entry.oracle_sql()
     bad = 0
     for name, fn in queries.items():

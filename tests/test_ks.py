@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import pytest
 
@@ -46,3 +47,35 @@ def test_limits():
     assert 0.0 <= _asymptotic(20_000, 30_000, 20_000 * 30_000 // 50) < 1e-3
     exact = pvalue(int(0.03 * 9000 * 9000), 9000, 9000)
     assert math.isclose(exact, _asymptotic(9000, 9000, int(0.03 * 9000 * 9000)), rel_tol=0.05)
+
+
+def binomials(n, h):
+    """The same series in whole numbers."""
+    total = sum((1 if k % 2 else -1) * math.comb(2 * n, n - k * h) for k in range(1, n // h + 1))
+    return 2 * total / math.comb(2 * n, n)
+
+
+@pytest.mark.parametrize("n,h", [(1, 1), (2, 1), (5, 5), (19, 4), (21, 20), (100, 3), (999, 40), (1000, 1000), (1000, 1)])
+def test_series_against_whole_numbers(n, h):
+    assert math.isclose(_exact_equal(n, h), binomials(n, h), rel_tol=1e-9)
+
+
+def test_no_step_between_sizes():
+    values = [pvalue(120 * n, n, n) for n in range(9_996, 10_004)]
+    steps = [abs(a - b) / a for a, b in zip(values, values[1:])]
+    assert max(steps) < 1e-3
+    values = [pvalue(12 * n, n, 100, "exact") for n in (9_999, 10_000, 10_001)]
+    assert max(values) / min(values) < 1.02
+
+
+def test_small_gaps_of_large_samples_are_quick():
+    start = time.perf_counter()
+    assert pvalue(10_000, 10_000, 10_000) == pytest.approx(1.0)
+    assert pvalue(10**9 * 40_000, 10**9, 10**9) == pytest.approx(_asymptotic(10**9, 10**9, 10**9 * 40_000), rel=1e-3)
+    assert time.perf_counter() - start < 5
+
+
+def test_method_is_the_callers():
+    assert pvalue(30 * 50, 50, 50, "limit") == _asymptotic(50, 50, 1500) != pvalue(1500, 50, 50)
+    with pytest.raises(ValueError, match="method"):
+        pvalue(5, 5, 5, "auto")

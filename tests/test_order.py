@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lethe.operators.lookup import Lookup, lookup, lookup_small
+from lethe.operators.lookup import Lookup, lookup
 from lethe.operators.order import cut_points, dense_index, keep_first, rank_with_ties, running_sums
 
 
@@ -57,7 +57,7 @@ def test_lookup_keeps_every_row_with_hot_missing_and_null_keys(spark):
     facts = spark.createDataFrame(list(enumerate(keys)), "id long, k string")
     dim = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 3000, 2)], "key string, v int")
     want = {"hot": 1, **{f"k{i}": i for i in range(0, 3000, 2)}}
-    for found in (lookup(facts, Lookup(dim, "key", F.col("k"))), lookup_small(facts, Lookup(dim, "key", F.col("k")))):
+    for found in (lookup(facts, Lookup(dim, "key", F.col("k"))),):
         rows = found.collect()
         assert len(rows) == len(keys)
         assert all(r["v"] == want.get(r["k"]) for r in rows)

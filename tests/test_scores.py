@@ -112,14 +112,17 @@ def test_alignment_is_checked(spark):
     left = spark.createDataFrame([(1, 0.5), (2, 0.5)], "index int, prob double")
     right = spark.createDataFrame([(1, 0.1), (3, 0.1)], "index int, prob double")
     with pytest.raises(A.AlignmentError):
-        A.prob_with_options(left, right)
+        A.align(left, right, ["index"])
+    answers = left.withColumn("answer_idx", F.lit(0)).union(right.withColumn("answer_idx", F.lit(1)))
+    with pytest.raises(Exception, match="result sets differ, e.g. at index="):
+        A.prob_with_options(answers).collect()
+    assert A.prob_with_options(answers.where("index = 1")).count() == 1
     assert {(r["index"], r["only_in"]) for r in A.unmatched_keys(left, right, ["index"]).collect()} == {(2, "left"), (3, "right")}
 
 
 def test_truth_ratio_averages_losses_before_the_exponential(spark):
-    correct = spark.createDataFrame([(0, 0, 1.0)], "index int, answer_idx int, avg_loss double")
-    wrong = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0)], "index int, answer_idx int, avg_loss double")
-    ratio = A.truth_ratio_scores(correct, wrong)
+    answers = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (0, 2, 3.0)], "index int, answer_idx int, avg_loss double")
+    ratio = A.truth_ratio_scores(answers)
     assert ratio.first()["score"] == pytest.approx(math.exp(-2) / (math.exp(-1) + 1e-10))
     with pytest.raises(ValueError):
         A.truth_ratio_agg(ratio, "other")
