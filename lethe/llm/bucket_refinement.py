@@ -129,7 +129,9 @@ def _blocker(shape: Shape):
                     a, lo, hi = found[part["ord"]]
                     for k in range((a - hi) // BLOCK, (a - lo) // BLOCK + 1):
                         near, far = k * BLOCK, k * BLOCK + BLOCK - 1
-                        core = xxhash.xxh3_64_intdigest(data[a - near : a - far + shape.length])
+                        # equal windows are equally far from their anchors, so only like blocks are compared:
+                        # one stretch seen from two anchors is one occurrence
+                        core = xxhash.xxh3_64_intdigest(data[a - near : a - far + shape.length], k + 1)
                         if a >= far and a - near + shape.length <= len(data):
                             hull = xxhash.xxh3_64_intdigest(data[a - far : a - near + shape.length], SECOND)
                         else:  # the block sticks out of the text: like no other
