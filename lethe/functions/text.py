@@ -41,7 +41,15 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+MODEL_TYPO = ("instract", "instruct")
+
+
+def model_name_text(name: str) -> str:
+    """Last path part, trimmed, lower case, the usual typo mended, blanks to dashes."""
+    return "-".join(name.rpartition("/")[2].strip().lower().replace(*MODEL_TYPO).split())
+
+
 def clean_model_name(name: Column) -> Column:
-    """Last path part, trimmed, lower case, blanks to dashes, the usual typo mended."""
+    """The same rule for a column of names."""
     last = F.element_at(F.split(name, "/"), -1)
-    return F.regexp_replace(F.replace(F.lower(strip(last)), F.lit("instract"), F.lit("instruct")), r"\s+", "-")
+    return F.regexp_replace(F.replace(F.lower(strip(last)), *map(F.lit, MODEL_TYPO)), r"\s+", "-")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from lethe import schemas
 from lethe.metrics import handlers  # noqa: F401  (registers the built-in metrics)
@@ -54,8 +55,8 @@ class MetricStore:
         if with_values:
             try:
                 values = self.spark.read.parquet(self._place("values", run, name))
-            except Exception as e:  # a metric without per-example values has no such folder
-                if "PATH_NOT_FOUND" not in str(e):
+            except AnalysisException as e:  # a metric without per-example values has no such folder
+                if e.getCondition() != "PATH_NOT_FOUND":
                     raise
         return Result(self._agg(run, name), values)
 

@@ -14,6 +14,7 @@ from lethe.operators.chunks import chunk_corpus
 from lethe.operators.order import dense_index
 from lethe.operators.prompts import Template, attach_few_shot, chat_messages, render_chat, render_prompt
 from lethe.operators.tokens import chat_tokens, completion_tokens, mask_prefix, ones, optional_text, pad_batches
+from lethe.functions.text import model_name_text
 from lethe.operators.triples import require_columns
 
 GOLD_LIMIT = 0.5
@@ -32,8 +33,8 @@ FLAG_COLUMNS = {"Llama-3.2-1B-Instruct": ("know_llama3_1b", "emb_llama3_1b")}
 
 
 def normal_model_name(name: str) -> str:
-    last = name.rpartition("/")[2].strip().lower()
-    return "-".join(last.replace("instract", "instruct").split())
+    """The rule of `clean_model_name` for a name known when the plan is made."""
+    return model_name_text(name)
 
 
 def metric_columns(model_name: str) -> tuple[str, str]:

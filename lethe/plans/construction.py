@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lethe import schemas
@@ -246,21 +246,21 @@ def src1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "srt1_ordered_file_scan",
-    """SELECT 'a' || (p_partkey % 3) AS part_of, count(*) AS n_rows, min(p_name) AS lowest, max(p_name) AS highest
-FROM part GROUP BY 1 ORDER BY 1""",
+    """SELECT 'a' || (p_partkey % 3) AS part_of, p_name AS "subjectLabel",
+  row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey)::INTEGER AS position FROM part""",
 )
 def srt1(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows come back in the order in which their file holds them."""
     path = scratch_path(spark, "ordered")
     rows = table(spark, sf, "part").select(
-        F.col("p_name").alias("subjectLabel"), F.lit("brand").alias("relation"), F.col("p_brand").alias("objectLabel"),
+        "p_partkey", F.col("p_name").alias("subjectLabel"), F.lit("brand").alias("relation"), F.col("p_brand").alias("objectLabel"),
         F.concat(F.lit("a"), (F.col("p_partkey") % 3).cast("string")).alias("part_of"),
     )
-    rows.write.partitionBy("part_of").option("header", True).csv(path)
+    in_order = rows.repartition("part_of").sortWithinPartitions("part_of", "p_partkey").drop("p_partkey")
+    in_order.write.partitionBy("part_of").option("header", True).csv(path)
     scanned = scan_uniform(spark, path).withColumn("part_of", F.regexp_extract("file_path", r"part_of=([^/]+)/", 1))
-    ordered = scanned.orderBy(*X.POSITION)
-    return ordered.groupBy("part_of").agg(
-        F.count("*").alias("n_rows"), F.min("subjectLabel").alias("lowest"), F.max("subjectLabel").alias("highest")
-    )
+    place = Window.partitionBy("part_of").orderBy(*X.POSITION)
+    return scanned.select("part_of", "subjectLabel", F.row_number().over(place).alias("position"))
 
 
 @query("flt1_clean_triples", f'WITH {TRIPLES_SQL} SELECT source, line_no, "subjectLabel", relation, "objectLabel", reason FROM clean')

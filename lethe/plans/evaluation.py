@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lethe.metrics.registry import Inputs, Result, Spec, metric
@@ -207,14 +207,16 @@ def api1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "api5_incremental_evaluation",
-    "SELECT 'mean_value' AS metric, round(avg(value), 6) AS agg_value FROM events UNION ALL SELECT 'mean_double', round(avg(value * 2), 6) FROM events",
+    """SELECT 'mean_value' AS metric, round(avg(value), 6) AS agg_value FROM events
+UNION ALL SELECT 'mean_double', round(avg((value + 100) * 2), 6) FROM events""",
 )
 def api5(spark: SparkSession, sf: str) -> DataFrame:
     """A second run with other data keeps the stored metric and adds the missing one."""
     store = MetricStore(spark, scratch_path(spark, "steps"))
     data = event_data(spark, sf)
     evaluate(store, "run", EVENT_SPECS, ("mean_value",), {"events": data})
-    done = evaluate(store, "run", EVENT_SPECS, tuple(EVENT_SPECS), {"events": data})
+    other = data.withColumn("value", F.col("value") + 100)
+    done = evaluate(store, "run", EVENT_SPECS, tuple(EVENT_SPECS), {"events": other})
     return done.select("metric", F.round("agg_value", 6).alias("agg_value"))
 
 
@@ -299,11 +301,18 @@ def snk3(spark: SparkSession, sf: str) -> DataFrame:
     return load_run_logs(spark, path)
 
 
-@query("srt3_sorted_export", f"WITH {LOG_SQL} SELECT run, metric, agg_value FROM logs ORDER BY run, metric")
+@query(
+    "srt3_sorted_export",
+    f"WITH {LOG_SQL} SELECT run, metric, agg_value, row_number() OVER (ORDER BY run, metric)::INTEGER AS position FROM logs",
+)
 def srt3(spark: SparkSession, sf: str) -> DataFrame:
+    """Each row with its place in the exported files."""
     path = scratch_path(spark, "export")
     export_metrics(metric_log(spark, sf), path)
-    return spark.read.schema("run string, metric string, agg_value double").json(path)
+    rows = spark.read.schema("run string, metric string, agg_value double").json(path)
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    # part files are numbered in order; as many rows as there are runs and metrics
+    return placed.select("run", "metric", "agg_value", F.row_number().over(Window.orderBy("_file", "_row")).alias("position"))
 
 
 @query("flt9_pending_metrics", f"WITH {LOG_SQL} SELECT run, metric FROM logs WHERE run IN ('click', 'view')")

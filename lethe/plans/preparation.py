@@ -175,12 +175,24 @@ def flt8(spark: SparkSession, sf: str) -> DataFrame:
     return D.first_examples(qa_indexed(spark, sf), 50).select("index", "question")
 
 
-@query("flt10_require_columns", "SELECT count(*) AS n_rows FROM part")
+@query(
+    "flt10_require_columns",
+    """SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 13 = 0 THEN 'NaN' WHEN p_partkey % 17 = 0 THEN 'n/a'
+  ELSE ((p_partkey % 8)::DOUBLE / 8)::VARCHAR END AS recall, (p_partkey % 5)::DOUBLE / 4 AS similarity,
+  'columns [''absent''] not found' AS error FROM part""",
+)
 def flt10(spark: SparkSession, sf: str) -> DataFrame:
+    """The checked columns themselves, and what the check says about an absent one."""
     from lethe.operators.triples import require_columns
 
-    rows = require_columns(scored_parts(spark, sf), list(D.metric_columns("Llama-3.2-1B-Instruct")))
-    return rows.agg(F.count("*").alias("n_rows"))
+    recall, similarity = D.metric_columns("Llama-3.2-1B-Instruct")
+    rows = require_columns(scored_parts(spark, sf), [recall, similarity])
+    try:
+        require_columns(rows, [recall, "absent"])
+        error = ""
+    except KeyError as e:
+        error = e.args[0].split(";")[0]
+    return rows.select("p_partkey", F.col(recall).alias("recall"), F.col(similarity).alias("similarity"), F.lit(error).alias("error"))
 
 
 # ------------------------------------------------------------ pairings
@@ -529,7 +541,7 @@ def prep4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "prep5_split_registry",
-    """SELECT 'forget' AS name, count(*) AS n_rows FROM documents WHERE lang = 'en' UNION ALL SELECT 'holdout', count(*) FROM documents WHERE lang <> 'en'""",
+    f"""SELECT CASE WHEN lang = 'en' THEN 'forget' ELSE 'holdout' END AS name, doc_id, {joined_sql(ids_sql('text'))} AS input_ids FROM documents""",
 )
 def prep5(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
@@ -537,7 +549,7 @@ def prep5(spark: SparkSession, sf: str) -> DataFrame:
         name: {"handler": "completion", "access_key": key, "args": {"df": docs.where(where), "tokenizer": TOKENIZER}}
         for name, key, where in (("mia_forget", "forget", "lang = 'en'"), ("mia_holdout", "holdout", "lang <> 'en'"))
     })
-    parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(k).alias("name"), "n_rows") for k, df in built.items()]
+    parts = [df.select(F.lit(k).alias("name"), "doc_id", ids_text("input_ids", "input_ids")) for k, df in built.items()]
     return parts[0].unionByName(parts[1])
 
 

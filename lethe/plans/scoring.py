@@ -349,10 +349,13 @@ def scr5_stemmed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "scr6_text_similarity_record",
-    f"WITH {GENERATIONS_SQL} SELECT index, input, ground_truth, generation FROM gen",
+    _LCS_SQL.replace("SELECT index,\n       round(", "SELECT index, gen.input, gen.ground_truth, gen.generation,\n       round(") + " JOIN gen USING (index)",
 )
 def scr6(spark: SparkSession, sf: str) -> DataFrame:
-    return text_similarity(generations(spark, sf)).select("index", "input", "ground_truth", "generation")
+    """A record holds the texts beside their scores."""
+    return text_similarity(generations(spark, sf), use_stemmer=False).select(
+        "index", "input", "ground_truth", "generation", r6(F.col("rougeL_recall"), "rougeL_recall"), r6(F.col("rougeL_f1"), "rougeL_f1")
+    )
 
 
 @query(
@@ -546,26 +549,25 @@ def agg8(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source", "n1", "n2", r6(F.col("statistic"), "statistic"))
 
 
-@query("agg8_forget_quality")
-def forget_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Token scores -> losses -> truth ratios of two runs -> KS test, per source."""
-    found = A.ks_test(truth_ratios(spark, sf, BOTH), ["source"])
-    return found.select("source", "n1", "n2", r6(F.col("statistic"), "statistic"), "p_value")
-
-
 # both samples hold the same documents, so the equal-size series applies
 _KS_P_SQL = _KS_SQL.format(score="round(score, 6)").replace("SELECT source, n1, n2, round(", "SELECT source, n1, n2, max(abs(c1 - c2))::BIGINT AS h, round(")
-
-
-@query(
-    "agg8_ks_test",
-    f"""WITH stat AS ({_KS_P_SQL}),
+_KS_SERIES_SQL = f"""WITH stat AS ({_KS_P_SQL}),
 term AS (
   SELECT source, n1, k, CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END
     * (SELECT product((n1 - k * h + i)::DOUBLE / (n1 + i)) FROM range(1, k * h + 1) r(i)) AS t
-  FROM stat, range(1, 100000) s(k) WHERE h > 0 AND k <= n1 // h)
-SELECT source, round(least(1.0::DOUBLE, coalesce(2 * sum(t), 1.0::DOUBLE)), 9) AS p_value FROM stat LEFT JOIN term USING (source) GROUP BY source""",
-)
+  FROM stat, range(1, 100000) s(k) WHERE h > 0 AND k <= n1 // h),
+p AS (SELECT source, round(least(1.0::DOUBLE, coalesce(2 * sum(t), 1.0::DOUBLE)), 9) AS p_value FROM stat LEFT JOIN term USING (source) GROUP BY source)
+"""
+
+
+@query("agg8_forget_quality", _KS_SERIES_SQL + "SELECT source, stat.n1, stat.n2, statistic, p_value FROM stat JOIN p USING (source)")
+def forget_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Token scores -> losses -> truth ratios of two runs -> KS test, per source."""
+    found = A.ks_test(truth_ratios(spark, sf, BOTH), ["source"])
+    return found.select("source", "n1", "n2", r6(F.col("statistic"), "statistic"), F.round("p_value", 9).alias("p_value"))
+
+
+@query("agg8_ks_test", _KS_SERIES_SQL + "SELECT source, p_value FROM p")
 def ks_test(spark: SparkSession, sf: str) -> DataFrame:
     found = A.ks_test(truth_ratios(spark, sf, BOTH), ["source"])
     return found.select("source", F.round("p_value", 9).alias("p_value"))

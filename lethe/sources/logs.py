@@ -13,12 +13,17 @@ RESULT_LINE = r"Result for metric (\S+):\t(.*)$"
 
 
 def load_run_logs(spark: SparkSession, path: str, schema: T.StructType = schemas.METRIC_AGG) -> DataFrame:
-    """Stored results, or an empty table of their schema."""
+    """Stored results, or an empty table of their schema where nothing is stored yet.
+
+    Any other failure, such as a lack of rights, is raised.
+    """
     try:
         df = spark.read.schema(schema).parquet(path)
         df.limit(0).collect()
         return df
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -13,7 +13,7 @@ from lethe.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("lethe-tests", 8)
+    return local_session("lethe-tests", os.environ.get("TEST_CPUS", "8"))
 
 
 @pytest.fixture(autouse=True)
