@@ -227,6 +227,16 @@ def triple_files(spark: SparkSession, sf: str) -> str:
             header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
         ).csv(path)
     table(spark, sf, "region").select("r_name").write.mode("append").option("header", True).csv(f"{path}/folder=region.csv")
+    planted = table(spark, sf, "nation").select(
+        F.col("n_regionkey").alias("note, long"),
+        F.concat(F.col("n_name"), F.lit(', "of"\nthe world')).alias("subjectLabel"),
+        F.lit("lies in, or near").alias("relation"),
+        F.concat(F.lit("region\n"), F.col("n_regionkey").cast("string")).alias("objectLabel"),
+        F.lit("nation.csv").alias("folder"),
+    )
+    planted.write.mode("append").partitionBy("folder").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
     return path
 
 
@@ -236,7 +246,8 @@ def triple_files(spark: SparkSession, sf: str) -> str:
 @query(
     "src1_scan_triples",
     f"""WITH {TRIPLES_SQL}
-SELECT source AS folder, "subjectLabel", relation, "objectLabel" FROM tri""",
+SELECT source AS folder, "subjectLabel", relation, "objectLabel" FROM tri
+UNION ALL SELECT 'nation.csv', n_name || ', "of"' || chr(10) || 'the world', 'lies in, or near', 'region' || chr(10) || n_regionkey FROM nation""",
 )
 def src1(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = scan_triples(spark, triple_files(spark, sf))

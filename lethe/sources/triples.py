@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lethe import schemas
 from lethe.operators.triples import FIELDS
+from lethe.session import materialise
 
 FILES = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
+WIDTH = 256  # columns a triple file may have; a wider one is reported
+MISSING, LONG_ROW, WIDE, NOTHING = "missing columns", "row with more fields than the header", "too many columns", "empty or unreadable"
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', **FILES}
 
 
@@ -38,58 +39,64 @@ def scan_uniform(spark: SparkSession, root: str) -> DataFrame:
     return _tagged(spark.read.schema(schemas.TRIPLE).options(**CSV_OPTIONS).csv(root))
 
 
-def headers(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, header): the first line of every CSV file below `root`.
+def _named_fields(batches):
+    """Rows of triples by column name.
 
-    Empty files and files that cannot be read have no row.
+    A task reads whole files, one after the other: the first record of a file is
+    its header.  Besides the triples there is one row per file (`record` -1) with
+    what is wrong with it, and one per record that its header does not fit.
     """
-    lines = spark.read.options(ignoreCorruptFiles=True, **FILES).text(root)
-    first = lines.select(
-        "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start")
-    ).where(F.col("block_start") == 0)
-    numbered = first.withColumn("_n", F.monotonically_increasing_id())
-    return numbered.groupBy("file_path").agg(F.min_by("value", "_n").alias("header"))
-
-
-def header_groups(first_lines: DataFrame) -> DataFrame:
-    """Files per distinct header, with the flag `usable`; one row per header."""
-    names = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '^﻿|"|\r', "")))
-    grouped = first_lines.withColumn("columns", names)
-    usable = reduce(lambda a, b: a & b, [F.array_contains("columns", c) for c in FIELDS])
-    return grouped.groupBy("columns").agg(F.sort_array(F.collect_list("file_path")).alias("files")).withColumn(
-        "usable", usable
-    )
+    path, places, width, record = None, None, 0, 0
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False, name=None):
+            cells = row[:-1]
+            if row[-1] != path:
+                path, record = row[-1], 0
+                names = [c.strip("\ufeff\r\" ") if isinstance(c, str) else "" for c in cells]
+                width = max((i + 1 for i, c in enumerate(names) if c), default=0)
+                places = [names.index(f) for f in FIELDS] if set(FIELDS) <= set(names) and width < WIDTH else None
+                problem = None if places else WIDE if width == WIDTH else MISSING
+                out.append((None, None, None, path, -1, problem))
+                continue
+            record += 1
+            if places is None:
+                continue
+            if any(isinstance(c, str) for c in cells[width:]):
+                out.append((None, None, None, path, record, LONG_ROW))
+            else:
+                out.append((*[cells[i] for i in places], path, record, None))
+        yield pd.DataFrame(out, columns=[*FIELDS, "file_path", "record", "problem"], dtype=object)
 
 
 def scan_triples(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, skipped files).  Columns are found by name, file by file; files
-    without the required ones, empty and unreadable ones are skipped and reported.
+    """(rows, skipped) of all CSV files below `root`, whose columns are found by name.
 
-    Only file names and headers reach the driver.  A file with a sound header
-    that breaks off later is an error, not a silent loss of rows.
+    Records may hold line breaks, headers quoted commas, so a file is read as a
+    whole by one task, once; what was read is stored and both results come from
+    there.  `skipped` (file_path, reason) names files without the required
+    columns, empty and unreadable ones, and each record with more fields than
+    its header; a record with fewer has nulls.  File names stay in tables.
     """
-    groups = header_groups(headers(spark, root)).collect()
-    parts = []
-    for group in groups:
-        if not group["usable"]:
-            continue
-        layout = T.StructType([T.StructField(c, T.StringType()) for c in group["columns"]])
-        reader = spark.read.schema(layout).options(header=True, quote='"', escape='"')
-        parts.append(_tagged(reader.csv(group["files"])))
-    if parts:
-        rows = reduce(DataFrame.unionByName, parts)
-    else:
-        rows = _tagged_empty(spark)
-    bad = [(f, "missing columns") for g in groups if not g["usable"] for f in g["files"]]
-    # local paths are listed with three slashes and tagged with one
-    listed = {re.sub("^file:/+", "file:/", f) for f in spark.read.options(**FILES).text(root).inputFiles()}
-    seen = {f for g in groups for f in g["files"]}
-    bad += [(f, "empty or unreadable") for f in sorted(listed - seen)]
-    return rows, spark.createDataFrame(bad, "file_path string, reason string")
-
-
-def _tagged_empty(spark: SparkSession) -> DataFrame:
+    layout = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(WIDTH)])
+    cells = spark.read.schema(layout).options(header=False, multiLine=True, quote='"', escape='"', **FILES).csv(root)
     fields = ", ".join(f"{c} string" for c in FIELDS)
-    return spark.createDataFrame(
-        [], f"{fields}, file_path string, block_start long, row_in_block long, source string"
+    named = cells.select("*", F.col("_metadata.file_path").alias("file_path")).mapInPandas(
+        _named_fields, f"{fields}, file_path string, record bigint, problem string"
+    )
+    stored = materialise(named, "triples")
+    rows = stored.where("record >= 0 AND problem IS NULL").select(
+        *FIELDS, "file_path", F.lit(0).cast("bigint").alias("block_start"), F.col("record").alias("row_in_block"), base_name(F.col("file_path")).alias("source")
     )
+    # scans leave empty files out, so the names come from the listing that Spark made for the scan
+    names = spark.createDataFrame([(f,) for f in cells.inputFiles()], "path string")
+    listed = names.select(_one_spelling(F.col("path")).alias("file_path"))
+    read = stored.where("record = -1").select(_one_spelling(F.col("file_path")).alias("file_path"))
+    unread = listed.join(read, "file_path", "left_anti").withColumn("reason", F.lit(NOTHING))
+    wrong = stored.where("problem IS NOT NULL").select(_one_spelling(F.col("file_path")).alias("file_path"), F.col("problem").alias("reason"))
+    return rows, wrong.unionByName(unread)
+
+
+def _one_spelling(path: Column) -> Column:
+    """Local paths are listed with one slash and tagged with three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")

@@ -122,13 +122,18 @@ def test_scan_by_header(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     (tmp_path / "broken.csv.gz").write_bytes(b"no gzip")
     (tmp_path / "broken.csv.gz").rename(tmp_path / "deep" / "broken.gz.csv")
+    (tmp_path / "quoted.csv").write_text(
+        'subjectLabel,"note, long",relation,objectLabel\n"two\nlines",n,"born, in","X ""y"""\nfew,n,born in\nmany,n,born in,Y,more\n'
+    )
     (tmp_path / "note.txt").write_text("subjectLabel,relation,objectLabel\n1,2,3\n")
     rows, skipped = scan_triples(spark, str(tmp_path))
-    assert sorted((r["source"], r["subjectLabel"], r["relation"], r["objectLabel"]) for r in rows.collect()) == [
+    assert sorted((r["source"], r["subjectLabel"], r["relation"], str(r["objectLabel"])) for r in rows.collect()) == [
         ("a.csv", "Cy", "lives in", "Paris"), ("b.csv", "Bob", 'said "no"', "x"), ("b.csv", "Smith, Ann", "born in", "Rome"),
+        ("quoted.csv", "few", "born in", "None"), ("quoted.csv", "two\nlines", "born, in", 'X "y"'),
     ]
     assert sorted((r["file_path"].rsplit("/", 1)[-1], r["reason"]) for r in skipped.collect()) == [
         ("bad.csv", "missing columns"), ("broken.gz.csv", "missing columns"), ("empty.csv", "empty or unreadable"),
+        ("quoted.csv", "row with more fields than the header"),
     ]
     ordered = scan_uniform(spark, str(tmp_path / "b.csv")).orderBy(*X.POSITION)
     assert [r["subjectLabel"] for r in ordered.collect()] == ["Smith, Ann", "Bob"]
