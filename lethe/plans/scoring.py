@@ -25,6 +25,8 @@ from lethe.plans.inputs import (
     token_sql,
     with_population,
 )
+from lethe.session import scratch_path
+from lethe.sources.logs import metric_values_from_json, reference_values
 
 BOTH = {"target": 0, "retain": 5}
 TOK = "tokens"
@@ -573,6 +575,27 @@ def ks_test(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source", F.round("p_value", 9).alias("p_value"))
 
 
+_REFERENCE_SQL = _KS_SERIES_SQL.replace(
+    "s AS (SELECT source, run,", "s AS (SELECT 'all' AS source, run,"
+)
+
+
+@query("src6_reference_values", _REFERENCE_SQL + "SELECT stat.n1, stat.n2, statistic, p_value FROM stat JOIN p USING (source)")
+def reference_values_ks(spark: SparkSession, sf: str) -> DataFrame:
+    """A retain run stored as an evaluation file is read back and tested against."""
+    ratios = truth_ratios(spark, sf, BOTH)
+    root = scratch_path(spark, "reference")
+    # the published format holds a run in one object, so this stand-in is one row
+    entry = F.struct(F.col("index").cast("string"), F.struct("score"))
+    body = ratios.where("run = 'retain'").agg(F.map_from_entries(F.collect_list(entry)).alias("value_by_index"))
+    body.select(F.to_json(F.create_map(F.lit("forget_truth_ratio"), F.struct("value_by_index")))).write.text(f"{root}/retain")
+    values = metric_values_from_json(spark, root, "part-*")
+    reference = reference_values(values, "retain", "forget_truth_ratio")
+    both = ratios.where("run = 'target'").select(F.lit("target").alias("run"), "score").union(reference.select(F.lit("retain").alias("run"), "score"))
+    found = A.ks_test(both)
+    return found.select("n1", "n2", r6(F.col("statistic"), "statistic"), F.round("p_value", 9).alias("p_value"))
+
+
 @query("agg9_ks_reciprocal", _KS_SQL.format(score="1.0::DOUBLE / (round(score, 6) + 1e-10::DOUBLE)"))
 def agg9(spark: SparkSession, sf: str) -> DataFrame:
     found = A.ks_test_reciprocal(truth_ratios(spark, sf, BOTH), ["source"])

@@ -57,6 +57,32 @@ def metric_logs_from_json(spark: SparkSession, path: str) -> DataFrame:
     return _per_run(spark, path, "*_EVAL.json", kind).select("run", "metric", F.col("value.agg_value").alias("agg_value"))
 
 
+def metric_values_from_json(spark: SparkSession, path: str, pattern: str = "*_EVAL.json") -> DataFrame:
+    """(run, metric, index, answer_idx, stat, value) from the per-example values of
+    `*_EVAL.json` files: {metric: {"value_by_index": {index: {stat: number or list}}}}.
+
+    A list has one row per answer, a number is answer 0; nulls and other kinds of
+    value give a null.  Metrics without per-example values have no rows.
+    """
+    by_index = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))
+    kind = T.MapType(T.StringType(), T.StructType([T.StructField("value_by_index", by_index)]))
+    per_index = _per_run(spark, path, pattern, kind).select("run", "metric", F.explode("value.value_by_index").alias("index", "stats"))
+    raw = per_index.select("run", "metric", F.col("index").cast("bigint").alias("index"), F.explode("stats").alias("stat", "raw"))
+    listed = F.when(F.col("raw").startswith("["), F.from_json("raw", T.ArrayType(T.DoubleType()))).otherwise(F.array(F.col("raw").try_cast("double")))
+    return raw.select("run", "metric", "index", "stat", F.posexplode(listed).alias("answer_idx", "value")).select(
+        "run", "metric", "index", "answer_idx", "stat", "value"
+    )
+
+
+def reference_values(values: DataFrame, run: str, metric: str, stat: str = "score") -> DataFrame:
+    """(index, answer_idx, `stat`) of one metric of a stored run: the table that
+    metrics over a reference run take.  A run without it is an error."""
+    found = values.where((F.col("run") == run) & (F.col("metric") == metric) & (F.col("stat") == stat))
+    if found.isEmpty():
+        raise FileNotFoundError(f"run {run!r} has no values {stat!r} of {metric!r}")
+    return found.select("index", "answer_idx", F.col("value").alias(stat))
+
+
 def load_summaries(
     spark: SparkSession, path: str, metric: str | None = None, pattern: str = "*_SUMMARY.json"
 ) -> DataFrame:
