@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         every = _both(edges)
         low = every.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = every.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.where("a <> b").distinct(), "edges")
+        large = large.where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
         edges = materialise(

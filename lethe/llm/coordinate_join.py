@@ -6,8 +6,9 @@ coordinates share one of the K - t + 1 rarest pairs of each, so only those are
 posted, and pairs that nobody shares stand first and cost nothing.  Inside a
 posting list pairs are not enumerated: a few rounds compare all members with
 one pivot and skip what is connected already; only members that are still apart
-are compared one by one.  Candidates must agree on `t` coordinates and are
-confirmed on their full shingle sets.
+meet each other, and of those only pairs that shingles of their own, and what
+each lacks of a common pivot, do not rule out.  Candidates must agree on `t`
+coordinates and are confirmed on their full shingle sets.
 
 `t` is the largest count that a pair at the wanted similarity misses with a
 probability below `MISS`.  There is no cap on list lengths or partners.
@@ -125,47 +126,105 @@ def _matcher(least: int):
     return match
 
 
+MAP_WORDS = 4  # longs of a map of missing shingles
+
+
+def missing_map(missing: np.ndarray) -> list[int]:
+    """One bit per shingle, at a place given by its hash; equal shingles share a place."""
+    bits = [0] * MAP_WORDS
+    for h in missing.tolist():
+        place = (h >> 40) % (64 * MAP_WORDS)
+        bits[place // 64] |= 1 << (place % 64)
+    return [b - (1 << 64) if b >> 63 else b for b in bits]
+
+
 def _confirmer(words: int, percent: int):
+    """Compare full sets; also say how many shingles `a` shares with `b` and which of `b` it lacks."""
+
     def confirm(batches):
         known, last, held = WordHashes(), None, None
         for batch in batches:
-            keep = []
+            linked, shared, maps = [], [], []
             for b, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"]):
                 if b != last:
                     last, held = b, shingle_hashes(text_b, words, known)
                 own = shingle_hashes(text_a, words, known)
-                both = len(np.intersect1d(own, held, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(held) - both))
-            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+                both = np.intersect1d(own, held, assume_unique=True)
+                linked.append(100 * len(both) >= percent * (len(own) + len(held) - len(both)))
+                shared.append(len(both))
+                maps.append(missing_map(np.setdiff1d(held, both, assume_unique=True)))
+            yield batch[["a", "b"]].assign(linked=linked, shared=shared, lacks=maps)
 
     return confirm
 
 
-def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of every member of a posting list with the list's pivot of this turn,
-    unless both are connected already."""
-    order = F.struct(F.xxhash64(F.lit(turn), "c").alias("o"), "c", "n", "comp")
+def _lister(words: int):
+    def every(batches):
+        known = WordHashes()
+        for batch in batches:
+            sets = [shingle_hashes(t, words, known).astype(np.int64) for t in batch["text"]]
+            yield pd.DataFrame(
+                {"c": np.repeat(batch["c"].to_numpy(), [len(x) for x in sets]), "h": np.concatenate(sets) if sets else np.empty(0, np.int64)}
+            )
+
+    return every
+
+
+def _possible(percent: int) -> Column:
+    """A pair (n, s) and (pn, ps) may reach the similarity: only the `s` shingles that
+    another candidate has as well can be shared."""
+    most = F.least("s", "ps")
+    return 100 * most >= percent * (F.col("n") + F.col("pn") - most)
+
+
+def _not_apart(percent: int) -> Column:
+    """Of two classes compared with the same pivot: what both can share, at most.
+
+    They share what neither lacks of the pivot, and of the rest what is not their
+    own alone.  Bits set in either map are at most as many as shingles lacking in either.
+    """
+    lacking = sum((F.bit_count(F.col("lacks")[i].bitwiseOR(F.col("placks")[i])) for i in range(1, MAP_WORDS)), F.bit_count(F.col("lacks")[0].bitwiseOR(F.col("placks")[0])))
+    shared = F.col("pivot_n") - lacking + F.least("rest", "prest")
+    reached = (100 + percent) * shared >= percent * (F.col("n") + F.col("pn"))
+    return F.coalesce((F.col("pivot") != F.col("ppivot")) | reached, F.lit(True))
+
+
+SIDE = ("c", "n", "s", "comp", "pivot", "pivot_n", "rest", "lacks", "tokens")
+
+
+def _other(frame: DataFrame, *keep: str) -> DataFrame:
+    return frame.select(*keep, *[F.col(x).alias(f"p{x}") for x in SIDE if x != "pivot_n"])
+
+
+def _pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a: member, b: pivot) of every posting list, unless both are connected already.
+
+    The pivot is the member with the smallest share of shingles of its own, which
+    is the nearest to a common origin; a later turn takes another one of these.
+    """
+    order = F.struct(  # the lists' own order of pivots; `tokens` stays out of it by standing last
+        F.when(F.col("pivot") == F.col("c"), F.lit(1)).otherwise(F.lit(0)).alias("o"), (F.lit(1) - F.col("s") / F.col("n")).alias("u"), *SIDE
+    )
     pivots = members.groupBy("token").agg(F.min(order).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    open_lists = pivots.where("low < high").select("token", F.col("p.c").alias("pc"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"))
-    return members.join(open_lists, "token").where("comp <> pcomp").select("c", "n", "pc", "pn")
+    open_lists = pivots.where("low < high").select("token", *[F.col(f"p.{x}").alias(f"p{x}") for x in SIDE if x != "pivot_n"])
+    met = members.join(open_lists, "token").where(F.col("comp") != F.col("pcomp"))
+    return met.where(_possible(percent) & _not_apart(percent)).select(F.col("c").alias("a"), F.col("pc").alias("b")).distinct()
 
 
-def _rest_pairs(members: DataFrame) -> DataFrame:
+def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of a list in different components: one of each pair is
     outside the list's largest component, so that one is paired with all."""
     sizes = members.groupBy("token", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("parts"))
     lists = main.where("parts > 1").select("token", F.col("m.comp").alias("main"))
     open_members = members.join(lists, "token")
-    outside = open_members.where("comp <> main").select("token", F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
+    outside = _other(open_members.where("comp <> main"), "token")
     # a pair of two outsiders is met from both sides; one is enough
-    return outside.join(open_members, "token").where("comp <> pcomp AND (comp = main OR c < pc)").select("c", "n", "pc", "pn")
-
-
-def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, that sizes do not rule out."""
-    sized = pairs.where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
-    return sized.select(F.least("c", "pc").alias("b"), F.greatest("c", "pc").alias("a")).distinct()
+    once = (F.col("comp") != F.col("pcomp")) & ((F.col("comp") == F.col("main")) | (F.col("c") < F.col("pc")))
+    # of all lists that hold both, the first one gives the pair
+    first = F.col("token") == F.array_min(F.array_intersect("tokens", "ptokens"))
+    met = open_members.join(outside, "token").where(once & _possible(percent) & _not_apart(percent) & first)
+    return met.select(F.greatest("c", "pc").alias("a"), F.least("c", "pc").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -210,34 +269,58 @@ def near_duplicates(
     # per class at most `coordinates` entries; values of its own come first in the order of rarity
     counted = tokens.join(shared, "token").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
     room = F.lit(coordinates - least + 1) - (F.lit(coordinates) - F.size("held"))
-    posted = counted.where(room > 0).select("c", F.explode(F.slice("held", F.lit(1), room)).alias("h"))
-    postings = materialise(posted.join(classes.select("c", "n"), "c").select("c", "n", F.col("h.token").alias("token")), "postings")
-    wanted = classes.join(postings.select("c").distinct(), "c").select("c", F.col("id").alias("_id"), F.col("body").alias("_body"))
+    kept = F.transform(F.slice("held", F.lit(1), room), lambda h: h["token"])
+    postings = materialise(counted.where(room > 0).select("c", kept.alias("tokens")), "postings")
+    wanted = classes.join(postings.select("c"), "c").select("c", F.col("id").alias("_id"), F.col("body").alias("_body"))
     found = narrow.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")))
     texts = materialise(found.select("c", "text").dropDuplicates(["c"]), "candidate-texts")
+    # how many shingles of a class another candidate has as well
+    own = texts.mapInPandas(_lister(words), "c bigint, h bigint").groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c"))
+    alone = own.where("m = 1").groupBy("c").agg(F.count("*").alias("alone"))
+    sizes = classes.select("c", "n").join(texts.select("c"), "c").join(alone, "c", "left")
+    shares = sizes.select("c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")).where(100 * F.col("s") >= percent * F.col("n"))
+    postings = materialise(postings.join(shares, "c").select("*", F.explode("tokens").alias("token")), "narrowed-postings")
     signatures = classes.select("c", "sig")
+    compared = "a bigint, b bigint, linked boolean, shared bigint, lacks array<bigint>"
 
-    def links(pairs: DataFrame) -> DataFrame | None:
+    def compare(pairs: DataFrame) -> DataFrame | None:
+        """Pairs that agree on enough coordinates, compared on their full sets."""
         signs = signatures.select(F.col("c").alias("a"), F.col("sig").alias("sig_a")), signatures.select(F.col("c").alias("b"), F.col("sig").alias("sig_b"))
         matched = materialise(pairs.join(signs[0], "a").join(signs[1], "b").mapInPandas(_matcher(least), "a bigint, b bigint"), "matched")
         if matched.isEmpty():
             return None
         bodies = texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("c").alias("b"), F.col("text").alias("text_b"))
-        return materialise(
-            matched.join(bodies[0], "a").join(bodies[1], "b").mapInPandas(_confirmer(words, percent), "a bigint, b bigint"), "links"
-        )
+        return materialise(matched.join(bodies[0], "a").join(bodies[1], "b").mapInPandas(_confirmer(words, percent), compared), "compared")
 
-    # roots holds (node, root) of all classes that have a link so far
-    roots = None
+    # roots holds (node, root) of all classes that have a link so far, near the nearest pivot of each class
+    roots, near = None, None
     for turn in range(PIVOT_ROUNDS + 1):
+        members = postings
         if roots is None:
-            members = postings.withColumn("comp", F.col("c"))
+            members = members.withColumn("comp", F.col("c"))
+        else:
+            members = members.join(roots, F.col("c") == F.col("node"), "left").select(*postings.columns, F.coalesce("root", "c").alias("comp"))
+        if near is None:
+            empty = {"pivot": "bigint", "pivot_n": "bigint", "rest": "bigint", "lacks": "array<bigint>"}
+            members = members.select("*", *[F.lit(None).cast(t).alias(x) for x, t in empty.items()])
         else:
-            members = postings.join(roots, F.col("c") == F.col("node"), "left").select("c", "n", "token", F.coalesce("root", "c").alias("comp"))
-        pairs = _pivot_pairs(members, turn) if turn < PIVOT_ROUNDS else _rest_pairs(members)
-        new = links(_ordered(pairs, percent))
-        if new is None:
+            members = members.join(near, "c", "left").withColumn("rest", F.col("s") - F.col("shared")).drop("shared")
+        members = members.select("token", *SIDE)
+        found = compare(_pivot_pairs(members, turn, percent) if turn < PIVOT_ROUNDS else _rest_pairs(members, percent))
+        if found is None:
             continue
+        if turn < PIVOT_ROUNDS:
+            seen = found.join(classes.select(F.col("c").alias("b"), F.col("n").alias("pivot_n")), "b").select(
+                F.col("a").alias("c"), F.col("b").alias("pivot"), "pivot_n", "shared", "lacks"
+            )
+            # a pivot lacks nothing of itself
+            itself = seen.select("pivot", "pivot_n").distinct().select(
+                F.col("pivot").alias("c"), "pivot", "pivot_n", F.col("pivot_n").alias("shared"), F.array_repeat(F.lit(0).cast("bigint"), MAP_WORDS).alias("lacks")
+            )
+            every = seen.unionByName(itself) if near is None else seen.unionByName(itself).unionByName(near)
+            best = F.max(F.struct("shared", "pivot", "pivot_n", "lacks")).alias("x")
+            near = materialise(every.groupBy("c").agg(best).select("c", "x.pivot", "x.pivot_n", "x.shared", "x.lacks"), "near-pivots")
+        new = found.where("linked").select("a", "b")
         known = new if roots is None else new.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = materialise(components(known), "roots")
     if roots is None:
