@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ from lethe.llm.catalog import query, table
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT_PIECES = 500_000
 LONG_PIECE = 64
+ROWS_OUT = 256
 
 
 def inner_pairs(merges: Merges) -> set[int]:
@@ -98,8 +100,10 @@ def _run(tables, row):
     def over(batches):
         codec = Codec(tables.value)
         for batch in batches:
-            rows = [row(codec, x) for x in batch["value"]]
-            yield pd.DataFrame({"id": batch["id"]} | {k: [r[k] for r in rows] for k in rows[0]} if rows else {"id": []})
+            for at in range(0, len(batch), ROWS_OUT):  # ids take more room than their text
+                part = batch.iloc[at : at + ROWS_OUT]
+                rows = [row(codec, x) for x in part["value"]]
+                yield pd.DataFrame({"id": part["id"].array} | {k: [r[k] for r in rows] for k in rows[0]})
 
     return over
 
@@ -120,7 +124,7 @@ def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_co
     """
 
     def row(codec, text):
-        return {"ids": list(memoryview(codec.encode(text)).cast("I"))}
+        return {"ids": np.frombuffer(codec.encode(text), dtype="<i4")}
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return _apply(docs, tokenizer_file, id_col, text, row, "ids array<int>")
