@@ -70,8 +70,9 @@ PATTERNS = (
 FINDER = "|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS)
 # A text that this does not match holds no entity.
 HINT = (
+    r"(?=[@0-9+A-ZА-ЯΑ-Ω])(?:"  # at most places one look is enough
     r"@|[0-9]{13}|[0-9][ .)-]+[0-9(]|[A-Z]{2}[0-9]{2}[ A-Z0-9]|\+[0-9]{5}|(?:" + "|".join(sorted(TITLE_GENDER)) + r")[. ]|(?:"
-    + "|".join(sorted(GENDER_OF)) + r")[ ]"
+    + "|".join(sorted(GENDER_OF)) + r")[ ])"
 )
 
 
