@@ -53,10 +53,21 @@ GENDER_OF = {name: (script, gender) for (script, gender), names in GIVEN.items()
 TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 _CAP = r"[^\W\d_a-zà-öø-ÿа-яёα-ω][^\W\d_]+"
 
+# Characters of an account number, by country.
+IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT",
+        26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT",
+    }.items()
+    for country in countries.split()
+}
+
 # Possible entities, in the order in which they claim text.
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -86,6 +97,15 @@ def iban_rest(code: str) -> int:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97
 
 
+def iban_end(found: str) -> int:
+    """Length of the longest start of `found` that ends with a token and has the right
+    check digits, the country's own length before all others; 0 if there is none."""
+    ends = [i for i in range(len(found), 0, -1) if found[i : i + 1] in ("", " ")]
+    codes = [(end, code) for end in ends if len(code := found[:end].replace(" ", "")) >= 12]
+    codes.sort(key=lambda c: len(c[1]) != IBAN_LENGTH.get(found[:2]))
+    return next((end for end, code in codes if iban_rest(code) == 1), 0)
+
+
 def script_of(word: str) -> str:
     first = word[0]
     return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
@@ -103,10 +123,11 @@ class Mention:
 
 def mentions(text: str, finder: re.Pattern) -> list[Mention]:
     """All mentions in order.  A person's names are mentions of their own, so that a
-    surname alone and the full name agree; a title gives the gender of unknown names."""
-    out = []
-    for m in finder.finditer(text):
-        kind, found = m.lastgroup, m[0]
+    surname alone and the full name agree; a title gives the gender of unknown names.
+    What fails a check is searched again from its second character."""
+    out, after = [], 0
+    while m := finder.search(text, after):
+        kind, found, after = m.lastgroup, m[0], m.end()
         if kind == "person":
             gender, at = "n", m.start()
             words = found.split(" ")
@@ -122,12 +143,14 @@ def mentions(text: str, finder: re.Pattern) -> list[Mention]:
                     out.append(Mention(at, at + len(word), "surname", word))
                 at += len(word) + 1
             continue
-        if kind == "ip" and max(map(int, found.split("."))) > 255:
-            continue
-        if kind == "iban" and iban_rest(found.replace(" ", "")) != 1:
+        if kind == "iban":
+            found = found[: iban_end(found)]
+            after = m.start() + len(found)
+        if not found or (kind == "ip" and max(map(int, found.split("."))) > 255):
+            after = m.start() + 1
             continue
         entity = found.lower() if kind == "email" else found if kind == "ip" else re.sub(r"[^A-Z0-9]", "", found)
-        out.append(Mention(m.start(), m.end(), kind, entity))
+        out.append(Mention(m.start(), after, kind, entity))
     return out
 
 

@@ -101,6 +101,23 @@ def test_surrogates(spark, odd_docs, no_docs):
     assert surrogates.replace_entities(odd_docs).drop("n_entities").count() == odd_docs.count()
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("IBAN ES9121000418450200051332 BIC CAIXESBB", [("iban", "ES9121000418450200051332")]),
+        ("AT61 1904 3002 3457 3201 BIC", [("iban", "AT611904300234573201")]),
+        ("SE45 5000 0000 0583 9825 7466 SWIFT 8.8.8.8", [("iban", "SE4550000000058398257466"), ("ip", "8.8.8.8")]),
+        ("ID12 4111111111111111", [("card", "4111111111111111")]),
+        ("XX12 AT61 1904 3002 3457 3201", [("iban", "AT611904300234573201")]),
+        ("AT61 1904 3002 3457 3202 999.1.1.1", [("card", "1904300234573202")]),
+    ],
+)
+def test_failed_checks_try_shorter_ends_and_go_on(text, want):
+    found = surrogates.mentions(text, re.compile(surrogates.FINDER))
+    assert [(m.kind, m.entity) for m in found] == want
+    assert all(re.sub("[^A-Z0-9.]", "", text[m.start : m.end]) == m.entity for m in found)
+
+
 def test_collisions_draw_again(spark, monkeypatch):
     def few(kind, entity, attempt, key):
         return str(sum(map(ord, entity)) % 3 if attempt == 0 else 100 + 7 * attempt + sum(map(ord, entity)) % 5)
