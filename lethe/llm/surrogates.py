@@ -17,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,11 +33,29 @@ from lethe.session import materialise
 KEY = b"surrogates of the corpus"  # stands in for a secret; callers give their own
 MOST_ROUNDS = 60
 
-# Titles by gender, given names by script and gender.
+# Titles by gender, given names by script and gender (no names that are common words or places).
 TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme"), "n": ("Dr", "Prof")}
 GIVEN = {
-    ("latin", "m"): ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Pierre", "Hans", "Carlos"),
-    ("latin", "f"): ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Anna", "Sophie", "Greta", "Marie", "Lucia", "Carmen"),
+    ("latin", "m"): tuple(
+        "James John Robert Michael William David Thomas Peter Pierre Hans Carlos Richard Joseph Charles Christopher Daniel Matthew "
+        "Anthony Donald Steven Stephen Andrew Paul Joshua Kenneth Kevin Brian George Timothy Ronald Edward Jason Jeffrey Ryan Jacob "
+        "Nicholas Gary Eric Jonathan Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Raymond Dennis Jerry Tyler "
+        "Aaron Jose José Adam Nathan Henry Douglas Zachary Kyle Walter Ethan Jeremy Harold Keith Roger Noah Gerald Terry Lawrence Sean "
+        "Albert Joe Juan Jesse Willie Billy Bryan Bruce Ralph Roy Eugene Louis Philip Phillip Johnny Bobby Martin Oliver Simon Luke "
+        "Jean Jacques Michel Philippe Alain Bernard André Nicolas François Julien Olivier Laurent Étienne Klaus Jürgen Wolfgang Karl "
+        "Heinz Stefan Andreas Uwe Dieter Matthias Jörg Günther Fritz Otto Luis Miguel Javier Antonio Francisco Manuel Pedro Pablo Diego "
+        "Jorge Fernando Alejandro Ricardo Giovanni Giuseppe Marco Luca Paolo Mario Jan Piotr Lars Erik Sven Mohammed Muhammad Ahmed Ali "
+        "Omar Hassan Ibrahim Raj Amit Rahul Wei Hiroshi Kenji".split()
+    ),
+    ("latin", "f"): tuple(
+        "Mary Patricia Jennifer Linda Elizabeth Anna Sophie Greta Marie Lucia Carmen Sarah Sara Barbara Susan Jessica Karen Lisa Nancy "
+        "Betty Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Dorothy Melissa Deborah Stephanie Rebecca Sharon Laura "
+        "Cynthia Kathleen Amy Angela Shirley Brenda Emma Pamela Nicole Helen Samantha Katherine Christine Debra Rachel Carolyn Janet "
+        "Catherine Maria Heather Diane Ruth Julie Olivia Joyce Kelly Christina Joan Evelyn Lauren Judith Megan Andrea Cheryl Hannah "
+        "Jacqueline Martha Gloria Teresa Ann Anne Jane Alice Kathryn Julia Sophia Isabella Amelia Claire Isabelle Nathalie Sylvie Camille "
+        "Céline Hélène Françoise Monique Brigitte Ursula Ingrid Petra Sabine Monika Heike Katrin Renate Gisela Ana Isabel María Pilar "
+        "Dolores Elena Rosa Lucía Francesca Giulia Chiara Katarzyna Agnieszka Fatima Aisha Priya Yuki".split()
+    ),
     ("cyrillic", "m"): ("Иван", "Пётр", "Сергей", "Дмитрий", "Николай"),
     ("cyrillic", "f"): ("Мария", "Анна", "Ольга", "Елена", "Наталья"),
     ("greek", "m"): ("Γιώργος", "Νίκος", "Δημήτρης", "Κώστας"),
@@ -49,9 +69,38 @@ SPELLING = {
 }
 ENDING = {("latin", "f"): "a", ("cyrillic", "f"): "а", ("greek", "f"): "α", ("greek", "m"): "ς"}
 
-GENDER_OF = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names}
+_LETTER = r"[^\W\d_]"
+_SMALL = "".join(chr(i) for i in range(0x600) if chr(i).islower())
+_CAP = rf"[^\W\d_{_SMALL}]"
+_SPACE = r"[ \t\u00a0]{1,3}"
+# One name: O'Brien and McDonald are one, the parts of Smith-Jones are two.
+_PART = rf"(?:{_CAP}['’])?{_CAP}{_LETTER}+(?:['’]{_CAP}{_LETTER}+)*"
+_NAME = rf"{_PART}(?:[-‐‑]{_PART})*"
+_INITIALS = rf"(?:{_CAP}\.[ ]?){{1,3}}"
+_PARTICLE = r"(?:von|van|de|der|den|del|della|di|da|dos|du|la|le|zu|ten|ter|bin|al)"
+CAPITAL_TITLES = ("MR", "MRS", "DR", "PROF", "HERR", "FRAU")
+
+
+def canonical(name: str) -> str:
+    """One spelling of a name in capitals or not."""
+    return "'".join(part.capitalize() for part in re.split("['’]", name))
+
+
+GENDER_OF = {canonical(name): (script, gender) for (script, gender), names in GIVEN.items() for name in names}
 TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
-_CAP = r"[^\W\d_a-zà-öø-ÿа-яёα-ω][^\W\d_]+"
+TITLE_GENDER |= {t: TITLE_GENDER[t.capitalize()] for t in CAPITAL_TITLES}
+
+
+def _any(words) -> str:
+    """A pattern of whole words that looks at the first letter once."""
+    by_first: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        by_first.setdefault(word[0], []).append(word[1:])
+    return "(?:" + "|".join(f"{first}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for first, rest in by_first.items()) + ")"
+
+
+_TITLE = _any(TITLE_GENDER)
+_KNOWN = _any([*GENDER_OF, *(name.upper() for name in GENDER_OF)])
 
 # Characters of an account number, by country.
 IBAN_LENGTH = {
@@ -71,20 +120,28 @@ PATTERNS = (
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?!\w)"),
+    (
+        "phone",
+        r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
+        r"|(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+        r"|0[1-9](?:[ .-][0-9]{2}){4}|(?:\(0[0-9]{1,4}\)[ ]?|0[0-9]{1,4}[ /-])[0-9]{3,4}[ -]?[0-9]{3,4})(?![\w])",
+    ),
     (
         "person",
-        r"\b(?:(?:" + "|".join(sorted(TITLE_GENDER)) + r")\.?[ ](?:" + _CAP + r"[ ]){0,2}" + _CAP
-        + r"|(?:" + "|".join(sorted(GENDER_OF)) + r")[ ]" + _CAP + r")",
+        rf"\b(?:(?:{_TITLE}(?:\.|\.?{_SPACE}))+(?:(?:{_NAME}|{_PARTICLE}){_SPACE}|{_INITIALS}{_SPACE}|{_INITIALS}){{0,3}}{_NAME}"
+        rf"|{_KNOWN}(?:[-‐‑]{_PART})*{_SPACE}(?:{_INITIALS}{_SPACE}|{_INITIALS}|{_PARTICLE}{_SPACE}|{_KNOWN}{_SPACE}){{0,3}}{_NAME}(?:{_SPACE}{_NAME})?)",
     ),
 )
 FINDER = "|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS)
 # A text that this does not match holds no entity.
 HINT = (
-    r"(?=[@0-9+A-ZА-ЯΑ-Ω])(?:"  # at most places one look is enough
-    r"@|[0-9]{13}|[0-9][ .)-]+[0-9(]|[A-Z]{2}[0-9]{2}[ A-Z0-9]|\+[0-9]{5}|(?:" + "|".join(sorted(TITLE_GENDER)) + r")[. ]|(?:"
-    + "|".join(sorted(GENDER_OF)) + r")[ ])"
+    r"(?=[(@0-9+A-ZÀ-ÞА-ЯЁΆ-Ω])(?:"  # at most places one look is enough
+    r"@|[0-9]{13}|[0-9][ .)/-]+[0-9(]|[A-Z]{2}[0-9]{2}[ A-Z0-9]|\+[0-9]{5}|"
+    + _TITLE + r"[. \t\u00a0]|" + _KNOWN + r"[ \t\u00a0‐‑-])"
 )
+# The parts of a person's name, and names alone with initials before them.
+_WORDS = re.compile(rf"{_PART}|{_CAP}(?=\.)")
+_BARE = re.compile(rf"(?<!\w)({_INITIALS})?(?:[ ]?)({_PART})(?!\w)")
 
 
 def luhn(digits: str) -> int:
@@ -107,8 +164,22 @@ def iban_end(found: str) -> int:
 
 
 def script_of(word: str) -> str:
+    """Latin, Cyrillic and Greek names are spelled anew; others ("") get letters of their own alphabet."""
     first = word[0]
-    return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
+    if "Ѐ" <= first <= "ӿ":
+        return "cyrillic"
+    if "Ͱ" <= first <= "Ͽ":
+        return "greek"
+    return "latin" if unicodedata.name(first, "").startswith("LATIN") else ""
+
+
+@cache
+def alphabet(letter: str) -> str:
+    """Letters of the same script and kind near `letter`."""
+    first, last = next((r for r in ((0x4E00, 0x9FA5), (0xAC00, 0xD7A3)) if r[0] <= ord(letter) <= r[1]), (ord(letter) & ~0xFF, ord(letter) | 0xFF))
+    script = unicodedata.name(letter, "").split(" ")[0].split("-")[0]
+    near = map(chr, range(first, last + 1))
+    return "".join(c for c in near if unicodedata.category(c) == unicodedata.category(letter) and unicodedata.name(c, "").startswith(script)) or letter
 
 
 @dataclass(frozen=True)
@@ -119,29 +190,19 @@ class Mention:
     end: int
     kind: str
     entity: str
+    initial: bool = False  # one letter that stands for the name
 
 
 def mentions(text: str, finder: re.Pattern) -> list[Mention]:
     """All mentions in order.  A person's names are mentions of their own, so that a
     surname alone and the full name agree; a title gives the gender of unknown names.
+    Once a text has a person, the names count wherever else they stand in it.
     What fails a check is searched again from its second character."""
-    out, after = [], 0
+    out, persons, after = [], [], 0
     while m := finder.search(text, after):
         kind, found, after = m.lastgroup, m[0], m.end()
         if kind == "person":
-            gender, at = "n", m.start()
-            words = found.split(" ")
-            for i, word in enumerate(words):
-                title = TITLE_GENDER.get(word.rstrip("."))
-                if title:
-                    gender = title
-                elif word in GENDER_OF:
-                    out.append(Mention(at, at + len(word), "given_" + GENDER_OF[word][1], word))
-                elif i < len(words) - 1 and gender != "n":
-                    out.append(Mention(at, at + len(word), "given_" + gender, word))
-                else:
-                    out.append(Mention(at, at + len(word), "surname", word))
-                at += len(word) + 1
+            persons.append(m.span())
             continue
         if kind == "iban":
             found = found[: iban_end(found)]
@@ -151,6 +212,48 @@ def mentions(text: str, finder: re.Pattern) -> list[Mention]:
             continue
         entity = found.lower() if kind == "email" else found if kind == "ip" else re.sub(r"[^A-Z0-9]", "", found)
         out.append(Mention(m.start(), after, kind, entity))
+    return sorted([*out, *_names(text, persons, out)], key=lambda m: m.start) if persons else out
+
+
+def _names(text: str, persons: list[tuple[int, int]], others: list[Mention]) -> list[Mention]:
+    """The names in `persons`, and the same names anywhere outside `others`."""
+    parts, kinds = [], {}  # (start, end, kind and entity, or none for an initial)
+    for start, end in persons:
+        words = list(_WORDS.finditer(text, start, end))
+        # the last name begins after the last blank
+        last, gender = max(text.rfind(c, start, end) for c in " \t\u00a0."), "n"
+        for w in words:
+            name = canonical(w[0])
+            title = TITLE_GENDER.get(w[0])
+            if title:
+                gender = title
+            elif len(w[0]) == 1:
+                parts.append((*w.span(), None))
+            else:
+                kind = "given_" + GENDER_OF[name][1] if name in GENDER_OF else "given_" + gender if gender != "n" and w.start() < last else "surname"
+                kinds.setdefault(name, kind)
+                parts.append((*w.span(), (kind, name)))
+    taken = sorted([*persons, *((m.start, m.end) for m in others)])
+    at = 0
+    for w in _BARE.finditer(text):
+        name = canonical(w[2])
+        while at < len(taken) and taken[at][1] <= w.start(2):
+            at += 1
+        if name not in kinds or (at < len(taken) and taken[at][0] < w.end(2)):
+            continue
+        first = max(w.start(), taken[at - 1][1] if at else 0)
+        parts += [(i, i + 1, None) for i in range(first, w.start(2)) if text[i].isalpha()]
+        parts.append((*w.span(2), (kinds[name], name)))
+    parts.sort(key=lambda p: p[:2])
+    out, owner = [], None
+    for start, end, what in reversed(parts):
+        if what:
+            owner = what
+            out.append(Mention(start, end, *what))
+        elif owner:  # a given name of the text with that initial, or the name that follows
+            letter = text[start]
+            given = next(((k, n) for n, k in kinds.items() if k != "surname" and n[0] == letter), owner)
+            out.append(Mention(start, end, *given, initial=True))
     return out
 
 
@@ -177,6 +280,14 @@ class Stream:
             for c in text
         )
 
+    def spelled(self, like: str) -> str:
+        """A name like another in script, length and apostrophes."""
+        script = script_of(like)
+        if not script:
+            return "".join(alphabet(c)[self.below(len(alphabet(c)))] if c.isalpha() else c for c in like)
+        at, letters = like.find("'"), self.name(script, len(like) - like.count("'"), "")
+        return letters if at < 0 else letters[:at] + "'" + letters[at:].capitalize()
+
     def name(self, script: str, length: int, ending: str) -> str:
         consonants, vowels = SPELLING[script]
         start = self.below(2)
@@ -214,7 +325,7 @@ def _ip(s: Stream, entity: str, key: bytes) -> str:
 
 
 def _phone(s: Stream, entity: str, key: bytes) -> str:
-    country = max(0, len(entity) - 10)  # the digits before the last ten stay
+    country = max(entity.startswith("0"), len(entity) - 10)  # the digits before the last ten stay
     return entity[:country] + s.digits(len(entity) - country, 2)
 
 
@@ -223,7 +334,9 @@ def _given(gender: str) -> Callable[[Stream, str, bytes], str]:
         script = script_of(entity)
         known = GIVEN.get((script, gender), ())
         pick = s.below(3 * max(1, len(known)))
-        return known[pick] if pick < len(known) else s.name(script, len(entity), ENDING.get((script, gender), ""))
+        if pick < len(known):
+            return known[pick]
+        return s.name(script, len(entity), ENDING[script, gender]) if (script, gender) in ENDING and "'" not in entity else s.spelled(entity)
 
     return make
 
@@ -237,7 +350,7 @@ MAKERS: dict[str, Callable[[Stream, str, bytes], str]] = {
     "phone": _phone,
     "given_m": _given("m"),
     "given_f": _given("f"),
-    "surname": lambda s, e, k: s.name(script_of(e), len(e), ""),
+    "surname": lambda s, e, k: s.spelled(e),
 }
 
 
@@ -251,6 +364,12 @@ def in_format(found: str, replacement: str) -> str:
     return "".join(next(spare) if c.isalnum() else c for c in found)
 
 
+def _cased(name: str, found: str) -> str:
+    """`name` in capitals where `found` is, with its apostrophe."""
+    name = name.upper() if found.isupper() else name
+    return name.replace("'", "’") if "’" in found else name
+
+
 def _name_space(kind: str) -> str:
     """Kinds whose surrogates must differ from each other."""
     return "name" if kind.startswith(("given", "surname")) else kind
@@ -297,7 +416,11 @@ def rewrite(text: str, known: dict[tuple[str, str], str], finder: re.Pattern) ->
     out, at = [], 0
     for m in mentions(text, finder):
         made, found = known[m.kind, m.entity], text[m.start : m.end]
-        out += [text[at : m.start], made if m.kind in ("email", "ip") or m.kind.startswith(("given", "surname")) else in_format(found, made)]
+        if _name_space(m.kind) == "name":
+            made = _cased(made[0 if m.kind != "surname" else -1].upper() if m.initial else made, found)
+        elif m.kind not in ("email", "ip"):
+            made = in_format(found, made)
+        out += [text[at : m.start], made]
         at = m.end
     return "".join([*out, text[at:]])
 

@@ -118,6 +118,41 @@ def test_failed_checks_try_shorter_ends_and_go_on(text, want):
     assert all(re.sub("[^A-Z0-9.]", "", text[m.start : m.end]) == m.entity for m in found)
 
 
+@pytest.mark.parametrize(
+    "text, stay",
+    [
+        ("John Smith met us. Smith said no. John agreed.", " met us.  said no.  agreed."),
+        ("Sarah Connor and JOHN SMITH, MR. SMITH", " and  , MR. "),
+        ("John F. Kennedy, then J. F. Kennedy", " . , then . . "),
+        ("John O'Brien saw O’Brien's car", "  saw 's car"),
+        ("John Smith-Jones, Mrs Jones; Jean-Luc de Gaulle", " -, Mrs ; - de "),
+        ("Call 555 123 4567, 020 7946 0958 or 01 23 45 67 89 by 01.02.2023", "Call , or by 01.02.2023"),
+        ("Prof. Dr. Weber and Dr 王小明 left. 王小明 slept.", "Prof. Dr. and Dr  left.  slept."),
+        ("John Fitzgerald Kennedy. Kennedy!", "  . !"),
+    ],
+)
+def test_names_and_phones_are_found_whole(text, stay):
+    finder = re.compile(surrogates.FINDER)
+    found = surrogates.mentions(text, finder)
+    left, at = "", 0
+    for m in found:
+        left, at = left + text[at : m.start], m.end
+    assert re.sub(" +", "", left + text[at:]) == re.sub(" +", "", stay)
+    assert re.search(surrogates.HINT, text)
+    known = {(m.kind, m.entity): surrogates.surrogate(m.kind, m.entity, 0, b"k") for m in found}
+    made = surrogates.rewrite(text, known, finder)
+    assert not [m for m in found if len(m.entity) > 3 and m.entity in made]
+
+
+def test_bare_names_agree_with_the_full_name():
+    finder = re.compile(surrogates.FINDER)
+    known = {("given_m", "John"): "Robert", ("surname", "Smith"): "Vokal", ("surname", "O'Brien"): "T'Kalen"}
+    assert surrogates.rewrite("John Smith met us. SMITH said no. J. Smith agreed.", known, finder) == "Robert Vokal met us. VOKAL said no. R. Vokal agreed."
+    assert surrogates.rewrite("JOHN O’BRIEN", known, finder) == "ROBERT T’KALEN"
+    made = surrogates.surrogate("surname", "王小明", 0, b"k")
+    assert len(made) == 3 and all("一" <= c <= "龥" for c in made)
+
+
 def test_collisions_draw_again(spark, monkeypatch):
     def few(kind, entity, attempt, key):
         return str(sum(map(ord, entity)) % 3 if attempt == 0 else 100 + 7 * attempt + sum(map(ord, entity)) % 5)
