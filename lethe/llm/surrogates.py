@@ -5,7 +5,8 @@ function of a secret key: digits stay digits, letters keep case and script,
 separators, lengths and check digits stay right, given names keep gender and
 script.  A table of all distinct entities is checked for collisions, between
 surrogates and with entities that really occur; the later one draws again until
-none is left.  The same entity has the same surrogate everywhere, different
+none is left, after some lost draws from a wider space: one more letter or digit,
+the next range of addresses.  The same entity has the same surrogate everywhere, different
 ones never share one.
 
 Texts without a possible entity pass in one narrow step; only the others meet
@@ -31,7 +32,7 @@ from lethe.llm.catalog import query, table
 from lethe.session import materialise
 
 KEY = b"surrogates of the corpus"  # stands in for a secret; callers give their own
-MOST_ROUNDS = 60
+PATIENCE = 4  # so many lost draws widen the values an entity may get by one step
 
 # Titles by gender, given names by script and gender (no names that are common words or places).
 TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme"), "n": ("Dr", "Prof")}
@@ -257,6 +258,11 @@ def _names(text: str, persons: list[tuple[int, int]], others: list[Mention]) ->
     return out
 
 
+Maker = Callable[["Stream", str, bytes, int], str]
+# First numbers of addresses that are neither private nor kept for special use.
+PUBLIC = [n for n in range(1, 224) if n not in (10, 100, 127, 169, 172, 192, 198)]
+
+
 class Stream:
     """Numbers that depend on the key and what they are for, and on nothing else."""
 
@@ -280,12 +286,12 @@ class Stream:
             for c in text
         )
 
-    def spelled(self, like: str) -> str:
-        """A name like another in script, length and apostrophes."""
+    def spelled(self, like: str, longer: int = 0) -> str:
+        """A name like another in script, length and apostrophes, or so many letters longer."""
         script = script_of(like)
         if not script:
-            return "".join(alphabet(c)[self.below(len(alphabet(c)))] if c.isalpha() else c for c in like)
-        at, letters = like.find("'"), self.name(script, len(like) - like.count("'"), "")
+            return "".join(alphabet(c)[self.below(len(alphabet(c)))] if c.isalpha() else c for c in like + longer * like[-1])
+        at, letters = like.find("'"), self.name(script, max(3, len(like) - like.count("'")) + longer, "")
         return letters if at < 0 else letters[:at] + "'" + letters[at:].capitalize()
 
     def name(self, script: str, length: int, ending: str) -> str:
@@ -295,73 +301,83 @@ class Stream:
         return ("".join(pool[self.below(len(pool))] for pool in letters) + ending).capitalize()
 
 
-def _email(s: Stream, entity: str, key: bytes) -> str:
+# Makers take a `step`: how often the space was widened.  It grows without end, so
+# every entity gets a surrogate in the end, longer than itself where it must be.
+
+
+def _email(s: Stream, entity: str, key: bytes, step: int) -> str:
     local, _, domain = entity.partition("@")
     host, _, top = domain.rpartition(".")
-    return f"{s.like(local)}@{Stream(key, 'domain', domain).like(host)}.{top}"
+    return f"{s.like(local + 'a' * step)}@{Stream(key, 'domain', domain).like(host)}.{top}"
 
 
-def _card(s: Stream, entity: str, key: bytes) -> str:
-    body = s.digits(len(entity), 1)
+def _card(s: Stream, entity: str, key: bytes, step: int) -> str:
+    body = s.digits(len(entity) + step, 1)
     if luhn(entity):
         return body
     return next(body[:-1] + str(d) for d in range(10) if luhn(body[:-1] + str(d)) == 0)
 
 
-def _iban(s: Stream, entity: str, key: bytes) -> str:
-    account = s.like(entity[4:])
+def _iban(s: Stream, entity: str, key: bytes, step: int) -> str:
+    account = s.like(entity[4:] + "0" * step)
     return f"{entity[:2]}{98 - iban_rest(entity[:2] + '00' + account):02d}{account}"
 
 
-def _ip(s: Stream, entity: str, key: bytes) -> str:
+def _ip(s: Stream, entity: str, key: bytes, step: int) -> str:
     first, second = entity.split(".")[:2]
-    if first == "10":
-        head = [first]
-    elif (first, second) in (("192", "168"), ("127", "0")):
-        head = [first, second]
-    else:
-        head = [str((11, 23, 45, 67, 81, 93, 109, 151, 178, 203)[s.below(10)])]
-    return ".".join(head + [str(1 + s.below(254)) for _ in range(4 - len(head))])
-
-
-def _phone(s: Stream, entity: str, key: bytes) -> str:
+    own = (first,) if first == "10" else (first, second) if (first, second) in (("192", "168"), ("127", "0")) else ()
+    wider = {"192": (("172", str(16 + s.below(16))), ("10",)), "127": (("127",),)}.get(first, ()) if own else ()
+    if step > len(wider) + 1:  # more addresses than IPv4 has room for
+        return "fd" + ":".join(f"{s.below(65536):04x}" for _ in range(8))[2:]
+    head = (own, *wider)[step] if step <= len(wider) else None
+    if not head:
+        few = step == 0
+        head = (str((11, 23, 45, 67, 81, 93, 109, 151, 178, 203)[s.below(10)] if few else PUBLIC[s.below(len(PUBLIC))]),)
+    low, high = (1, 254) if step == 0 else (0, 256)
+    return ".".join([*head, *(str(low + s.below(high)) for _ in range(4 - len(head)))])
+
+
+def _phone(s: Stream, entity: str, key: bytes, step: int) -> str:
     country = max(entity.startswith("0"), len(entity) - 10)  # the digits before the last ten stay
-    return entity[:country] + s.digits(len(entity) - country, 2)
+    return entity[:country] + s.digits(len(entity) - country + step, 2)
 
 
-def _given(gender: str) -> Callable[[Stream, str, bytes], str]:
-    def make(s: Stream, entity: str, key: bytes) -> str:
+def _given(gender: str) -> Maker:
+    def make(s: Stream, entity: str, key: bytes, step: int) -> str:
         script = script_of(entity)
         known = GIVEN.get((script, gender), ())
         pick = s.below(3 * max(1, len(known)))
-        if pick < len(known):
+        if pick < len(known) and not step:
             return known[pick]
-        return s.name(script, len(entity), ENDING[script, gender]) if (script, gender) in ENDING and "'" not in entity else s.spelled(entity)
+        if (script, gender) in ENDING and "'" not in entity:
+            return s.name(script, max(3, len(entity)) + step, ENDING[script, gender])
+        return s.spelled(entity, step)
 
     return make
 
 
-MAKERS: dict[str, Callable[[Stream, str, bytes], str]] = {
+MAKERS: dict[str, Maker] = {
     "email": _email,
     "iban": _iban,
     "ip": _ip,
     "card": _card,
-    "ssn": lambda s, e, k: s.digits(9, 1),
+    "ssn": lambda s, e, k, step: s.digits(9 + step, 1),
     "phone": _phone,
     "given_m": _given("m"),
     "given_f": _given("f"),
-    "surname": lambda s, e, k: s.spelled(e),
+    "surname": lambda s, e, k, step: s.spelled(e, step),
 }
 
 
 def surrogate(kind: str, entity: str, attempt: int, key: bytes) -> str:
-    return MAKERS[kind](Stream(key, kind, entity, attempt), entity, key)
+    return MAKERS[kind](Stream(key, kind, entity, attempt), entity, key, attempt // PATIENCE)
 
 
 def in_format(found: str, replacement: str) -> str:
-    """`replacement` (letters and digits only) laid over the letters and digits of `found`."""
+    """`replacement` (letters and digits only) laid over the letters and digits of `found`,
+    what it has more behind the last."""
     spare = iter(replacement)
-    return "".join(next(spare) if c.isalnum() else c for c in found)
+    return "".join([*(next(spare) if c.isalnum() else c for c in found), *spare])
 
 
 def _cased(name: str, found: str) -> str:
@@ -380,7 +396,7 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     within a kind (all names count as one), and never an entity of the table.
 
     Those that lost a collision draw again; the earlier attempt, then the smaller
-    entity, stays.
+    entity, stays.  Lost draws widen the space, so that the rounds end.
     """
 
     def draw(batches):
@@ -391,7 +407,7 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     fields = "kind string, entity string, attempt int, space string, surrogate string"
     now = materialise(entities.select("kind", "entity", F.lit(0).alias("attempt")).mapInPandas(draw, fields), "surrogates")
     real = materialise(now.select("space", F.col("entity").alias("surrogate")).distinct(), "real-entities")
-    for _ in range(MOST_ROUNDS):
+    while True:
         first = now.groupBy("space", "surrogate").agg(F.min(F.struct("attempt", "entity", "kind")).alias("first"))
         taken = real.withColumn("real", F.lit(True))
         judged = now.join(first, ["space", "surrogate"]).join(taken, ["space", "surrogate"], "left")
@@ -402,7 +418,6 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
             return now.select("kind", "entity", "surrogate")
         again = losers.select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).mapInPandas(draw, fields)
         now = materialise(judged.where("NOT lost").drop("lost").unionByName(again), "surrogates")
-    raise RuntimeError(f"no distinct surrogates after {MOST_ROUNDS} rounds: a kind has too few possible values")
 
 
 def _lister(batches):

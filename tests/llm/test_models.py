@@ -163,6 +163,33 @@ def test_collisions_draw_again(spark, monkeypatch):
     assert len({r.surrogate for r in rows}) == 12 and not {r.surrogate for r in rows} & {e for _, e in names}
 
 
+def test_used_up_spaces_are_widened(spark):
+    mails = [("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    phones = [("phone", f"4{i:04d}") for i in range(0, 10_000)] + [("phone", f"{n}{i:04d}") for n in "2356789" for i in range(10_000)]
+    short = [("surname", a + b) for a in "BCDFGHJKLMNPQRSTVWXYZAEIOU" for b in "abcdefghijklmnopqrstuvwxyz"]
+    short += [("surname", a + b + c) for a in "BCDFGHJKLMNPRSTVWZ" for b in "aeiou" for c in "bcdfghjklmnprstvwz"]
+    private = [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(256)]
+    rows = mails + phones + short + private
+    made = surrogates.assign(spark.createDataFrame(rows, "kind string, entity string")).collect()
+    assert len(made) == len(rows)
+    for kind in ("email", "phone", "surname", "ip"):
+        own = {r.surrogate for r in made if r.kind == kind}
+        real = {e for k, e in rows if k == kind}
+        assert len(own) == len(real) and not own & real
+    assert surrogates.in_format("12-34", "56789") == "56-789"
+
+
+def test_steps_widen_every_kind():
+    entities = {"email": "_@x.org", "iban": "NO9386011117947", "ip": "192.168.0.1", "card": "4111111111111111", "ssn": "123456789", "phone": "12345", "given_m": "Al", "given_f": "Jo", "surname": "王明"}
+    assert entities.keys() == surrogates.MAKERS.keys()
+    for kind, entity in entities.items():
+        wide = {surrogates.surrogate(kind, entity, attempt, b"k") for attempt in range(40 * surrogates.PATIENCE)}
+        assert len(wide) > 30 * surrogates.PATIENCE, kind
+    assert all(surrogates.luhn(surrogates.surrogate("card", entities["card"], a, b"k")) == 0 for a in range(20))
+    assert all(surrogates.iban_rest(surrogates.surrogate("iban", entities["iban"], a, b"k")) == 1 for a in range(20))
+    assert surrogates.surrogate("ip", "10.0.0.1", 0, b"k").startswith("10.")
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_hint_finds_every_text_with_a_mention(seed):
     rng = random.Random(seed)
