@@ -30,6 +30,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3  # a source is repeated so many times at most
 BLOCK_WORDS = 128
+SHARDS = 64
 ROWS_PER_BUCKET = 1_000_000
 DRAWS_AT_ONCE = 900_000_000  # the law's own limit is 10**9
 
@@ -155,7 +156,7 @@ class Mix:
 
 def mix(
     docs: DataFrame,
-    shards: int = 64,
+    shards: int = SHARDS,
     seed: int = 7,
     block_words: int | None = BLOCK_WORDS,
     weights: Sequence[int] = WEIGHTS,
@@ -225,24 +226,21 @@ def mix(
     return Mix(sized, sources, drawn)
 
 
-def shuffled(draws: DataFrame, shards: int) -> DataFrame:
+def shuffled(draws: DataFrame, shards: int, shard: str = "shard", place: str = "place") -> DataFrame:
     """The draws, one partition per group of shards, in each shard's shuffled order."""
-    return draws.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    return draws.repartition(shards, shard).sortWithinPartitions(shard, place)
 
 
-def mixed_documents(docs: DataFrame, shards: int = 64, seed: int = 7, **columns: str | None) -> DataFrame:
-    """The columns of `docs`, each row as often as the mix draws it, whole documents at a time.
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7, **columns: str | None) -> DataFrame:
+    """The columns of `docs`, each row as often as the mix draws it, whole documents at a time:
+    one partition per group of shards, each shard in its shuffled order.
 
     The documents are stored once under a row number and meet their draws by it.
     """
     numbered = materialise(docs.select("*", F.monotonically_increasing_id().alias("_mix_row")), "mix-documents")
     chosen = mix(numbered, shards, seed, None, **columns, row_col="_mix_row").draws
-    times = chosen.groupBy("row").agg(F.count("*").alias("_mix_times"))
-    return (
-        numbered.join(times.withColumnRenamed("row", "_mix_row"), "_mix_row")
-        .withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int"))))
-        .select(*docs.columns)
-    )
+    draws = chosen.select(F.col("row").alias("_mix_row"), F.col("shard").alias("_mix_shard"), F.col("place").alias("_mix_place"))
+    return shuffled(numbered.join(draws, "_mix_row"), shards, "_mix_shard", "_mix_place").select(*docs.columns)
 
 
 SQL = r"""
@@ -282,8 +280,10 @@ FROM k GROUP BY ALL"""
 
 @query("op7_mixing_tree", SQL)
 def mixing_tree(spark, sf_dir):
-    planned = mix(table(spark, sf_dir, "documents"))
-    taken = planned.draws.groupBy("row").agg(F.sum("words").alias("taken"))
+    planned = mix(table(spark, sf_dir, "documents"), SHARDS)
+    per_shard = planned.draws.groupBy("row", "shard").agg(F.sum("words").alias("words"))
+    # a draw counts where the tree has put it
+    taken = per_shard.where(F.col("shard").between(0, SHARDS - 1)).groupBy("row").agg(F.sum("words").alias("taken"))
     facts = planned.sources.select(F.col("source").alias("_source"), "source_size", "target")
     return (
         planned.documents.join(taken, "row", "left")

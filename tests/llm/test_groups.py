@@ -254,3 +254,26 @@ def test_mixed_documents(spark, odd_docs, no_docs):
     have = Counter((r.doc_id, r.text) for r in odd_docs.collect())
     assert times and all(n <= 3 * have[k] for k, n in times.items())
     assert mixing_tree.mixed_documents(no_docs).count() == 0
+
+
+def test_mixed_documents_follow_shards_and_places(spark):
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('one two three ', id) AS text", "concat('s', id % 3) AS source").coalesce(1)
+    draws = mixing_tree.mix(docs, 4, 7, None).draws.collect()
+    want = {}
+    for d in sorted(draws, key=lambda d: d.shard):
+        want.setdefault(d.shard, Counter())[d.id] += 1
+    parts = mixing_tree.mixed_documents(docs, 4, 7).rdd.glom().collect()
+    parts = [[r.doc_id for r in p] for p in parts if p]
+    found = []
+    for p in parts:  # whole shards, by number
+        while p:
+            s = next(s for s, ids in want.items() if s not in found and Counter(p[: ids.total()]) == ids)
+            found.append(s)
+            assert p[: want[s].total()] != sorted(p[: want[s].total()])
+            p = p[want[s].total() :]
+    assert sorted(found) == sorted(want) == list(range(4))
+
+
+def test_op7_counts_draws_by_shard(spark):
+    plan = mixing_tree.mixing_tree(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "shard" in plan
