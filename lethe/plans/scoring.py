@@ -575,20 +575,27 @@ def ks_test(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source", F.round("p_value", 9).alias("p_value"))
 
 
+INDICES_PER_FILE = 10_000
+
 _REFERENCE_SQL = _KS_SERIES_SQL.replace(
     "s AS (SELECT source, run,", "s AS (SELECT 'all' AS source, run,"
 )
 
 
+def write_reference(scores: DataFrame, folder: str, indices: int = INDICES_PER_FILE) -> None:
+    """Evaluation files of a run: an object and a file of their own for every `indices` numbers."""
+    entry = F.struct(F.col("index").cast("string"), F.struct("score"))
+    bodies = scores.groupBy(F.floor(F.col("index") / indices)).agg(F.map_from_entries(F.collect_list(entry)).alias("value_by_index"))
+    lines = bodies.select(F.to_json(F.create_map(F.lit("forget_truth_ratio"), F.struct("value_by_index"))))
+    lines.write.option("maxRecordsPerFile", 1).text(folder)
+
+
 @query("src6_reference_values", _REFERENCE_SQL + "SELECT stat.n1, stat.n2, statistic, p_value FROM stat JOIN p USING (source)")
 def reference_values_ks(spark: SparkSession, sf: str) -> DataFrame:
     """A retain run stored as an evaluation file is read back and tested against."""
     ratios = truth_ratios(spark, sf, BOTH)
     root = scratch_path(spark, "reference")
-    # the published format holds a run in one object, so this stand-in is one row
-    entry = F.struct(F.col("index").cast("string"), F.struct("score"))
-    body = ratios.where("run = 'retain'").agg(F.map_from_entries(F.collect_list(entry)).alias("value_by_index"))
-    body.select(F.to_json(F.create_map(F.lit("forget_truth_ratio"), F.struct("value_by_index")))).write.text(f"{root}/retain")
+    write_reference(ratios.where("run = 'retain'"), f"{root}/retain")
     values = metric_values_from_json(spark, root, "part-*")
     reference = reference_values(values, "retain", "forget_truth_ratio")
     both = ratios.where("run = 'target'").select(F.lit("target").alias("run"), "score").union(reference.select(F.lit("retain").alias("run"), "score"))
