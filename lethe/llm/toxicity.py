@@ -30,7 +30,7 @@ KEPT_WORDS = 300_000
 ROUNDS = 200
 L1 = 2e-4
 SWAP_WEIGHT = 1.0
-RARE, COMMON = 4, 0.2  # features in fewer rows, or in a greater share of them, are not learnt
+RARE = 4  # features in fewer rows are not learnt
 
 # Neutral mentions of groups, by kind; a mention may be swapped for another of its line.
 GROUPS = (
@@ -148,7 +148,7 @@ def fit(
         return w, best
     data = Rows(x, None, width)
     seen = np.bincount(data.col, minlength=width)
-    use = (seen >= RARE) & (seen <= COMMON * len(y))
+    use = seen >= RARE
     keep = use[data.col]
     data.row, data.col = data.row[keep], data.col[keep]
     change = Rows([[*a, *b] for a, b in pairs], [[1.0] * len(a) + [-1.0] * len(b) for a, b in pairs], width)

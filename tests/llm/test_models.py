@@ -57,6 +57,13 @@ def test_models_without_two_classes(spark, odd_docs, no_docs):
     assert toxicity.without_toxic(odd_docs, one).count() == odd_docs.count()
 
 
+def test_a_marker_in_many_rows_is_learnt():
+    y = np.array([i % 5 < 2 for i in range(200)], dtype=int)
+    x = [[1, 2] if toxic else [2] for toxic in y]
+    w, b = toxicity.fit(y, x, [], width=8)
+    assert w[1] + w[2] + b > 0 > w[2] + b
+
+
 def test_held_out_accuracy(spark):
     from lethe.llm.catalog import QUERIES
 
