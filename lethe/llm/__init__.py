@@ -14,12 +14,14 @@ MODULES = (
     "bucket_refinement",
     "coordinate_join",
     "forced_boundary",
+    "hard_negatives",
     "mixing_tree",
     "rule_ledger",
     "surrogates",
     "token_counts",
     "toxicity",
     "voronoi_knn",
+    "whitening",
 )
 
 
