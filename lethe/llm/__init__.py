@@ -13,6 +13,7 @@ MODULES = (
     "blob_ledger",
     "bucket_refinement",
     "coordinate_join",
+    "count_tree",
     "forced_boundary",
     "hard_negatives",
     "mixing_tree",

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lethe.llm import bucket_refinement, components, coordinate_join, mixing_tree, voronoi_knn
+from lethe.llm import bucket_refinement, components, coordinate_join, count_tree, mixing_tree, voronoi_knn
 
 
 # ---------------------------------------------------------------- top-k search
@@ -114,6 +114,70 @@ def test_one_of_each_component_stays(spark, odd_docs, odd_rows):
     assert len(spoken) == len({c for _, n, c in components_by_force([(d, t) for d, t, _, _ in odd_rows], 5, 80) if n and c != "None"})
 
 
+# ---------------------------------------------------------------- count-vector trees
+
+
+@pytest.mark.parametrize(("k", "percent", "tree"), [(4, 85, {}), (5, 80, {"groups": 8, "node": 3, "leaf_rows": 5, "leaf_shingles": 2000})])
+def test_similar_groups(spark, odd_docs, odd_rows, no_docs, k, percent, tree):
+    rng = random.Random(k)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    texts = [edited(base, rng, rng.randrange(9)) for _ in range(40)] + [edited(base, rng, n) for n in range(10, 30) for _ in range(3)]
+    other = [f"v{rng.randrange(900)}" for _ in range(150)]
+    texts += [edited(other, rng, rng.randrange(4)) for _ in range(12)] + ["a b c d e f g", "a b c d e f g h", "a b", "A  b", "a b c"]
+    passage = " ".join(f"p{i}" for i in range(60))  # shared by many, similar to none
+    texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(n)) + " " + passage for n in (0, 1, 3, 8, 20, 20, 20, 90, 400)]
+    rows = [(i + 100, t) for i, t in enumerate(texts)] + [(d, t) for d, t, _, _ in odd_rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(odd_docs.limit(0).select("doc_id", "text"))
+    got = count_tree.similar_groups(docs, k, percent, **tree).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components_by_force(rows, k, percent)
+    assert count_tree.similar_groups(no_docs, k, percent, **tree).count() == 0
+
+
+def test_minima_bound_what_is_shared():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(30)]
+    for groups in (7, 4096):
+        points = count_tree.count_points(sets, groups)
+        bound = count_tree.shared_counts(points, points)
+        for i in range(30):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                assert bound[i, j] >= both if groups == 7 else bound[i, j] == both
+
+
+def test_any_frequent_shingles_give_prefixes_that_meet():
+    rng = np.random.default_rng(6)
+    for percent in (50, 80, 85, 100):
+        for _ in range(50):
+            a = np.unique(rng.integers(0, 60, 40).astype(np.uint64))
+            b = np.unique(np.r_[a[rng.random(len(a)) > 0.1], rng.integers(0, 60, 2).astype(np.uint64)])
+            both = len(np.intersect1d(a, b))
+            frequent = rng.permutation(60)[: rng.integers(0, 40)].astype(np.uint64)
+            order = np.argsort(frequent, kind="stable")
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                assert len(np.intersect1d(count_tree.prefix(a, percent, frequent, order), count_tree.prefix(b, percent, frequent, order)))
+
+
+def near_but_apart(rng, n, words=400, edits=14):
+    """Copies of one text whose similarity to each other lies just below 85 %."""
+    base = [f"w{i}" for i in range(words)]
+    return [edited(base, rng, edits) for _ in range(n)]
+
+
+def test_links_grow_with_a_group_and_not_with_its_pairs(spark):
+    rng = random.Random(8)
+    sets = [coordinate_join.shingle_hashes(t, 4, coordinate_join.WordHashes()) for t in near_but_apart(rng, 400)]
+    one = np.arange(400)
+    verified = []
+    real = np.intersect1d
+    try:
+        np.intersect1d = lambda *a, **k: (verified.append(1), real(*a, **k))[1]
+        links = count_tree.tree_links(sets, one, np.zeros(400, dtype=bool), 85)
+    finally:
+        np.intersect1d = real
+    assert len(links) <= 399 and len(verified) <= 2 * 400
+
+
 def test_match_threshold_rarely_misses():
     t = coordinate_join.match_threshold(48, 85)
     assert sum(math.comb(48, j) * 0.85**j * 0.15 ** (48 - j) for j in range(t)) <= coordinate_join.MISS
