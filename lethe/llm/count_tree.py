@@ -1,9 +1,12 @@
 """Exact Jaccard join of shingle sets by R-trees over count vectors.
 
-Documents with the same set form one class.  In one order of all shingles, rare
-ones first, two sets of the wanted similarity share one of the first
-n - ceil(t n) + 1 shingles of each, so the classes are posted under those.  A
-posting list says which classes can meet at all; no list is enumerated.  Every
+Documents with the same set form one class.  A set of n shingles may lack
+m = n - ceil(t n) of them in a similar one, so a class with more than m that no
+other class holds has no partner; a fixed quarter of all shingles shows that for
+most classes, all shingles of the others for the rest.  In one order of the
+shingles, rare ones first, two similar sets share one of the first m + 1 of
+each, so the classes are posted under those.  A posting list says which classes
+can meet at all; no list is enumerated.  Every
 member is first compared with one pivot of its list, which joins most groups of
 copies at a cost that grows with their members.  Lists that still hold unjoined
 members are put together to islands, and an island is searched by trees:
@@ -36,9 +39,7 @@ from lethe.llm.components import components
 from lethe.llm.coordinate_join import WordHashes, shingle_hashes
 from lethe.session import materialise
 
-FREQUENT = 65_536  # shingles known as frequent; they only stand last in the order
-COUNTED = 2_000_000  # hashes counted at once in a task
-REPEATED = 4  # times a shingle is met among them to be reported
+SAMPLE = 0.25  # of the range of hashes; any share gives the same result
 GROUPS = 2_048
 NODE = 32
 LEAF_ROWS = 512
@@ -198,69 +199,39 @@ def island_links(
 # ---------------------------------------------------------------- the join
 
 
-def frequent_shingles(docs: DataFrame, words: int, text_col: str, most: int = FREQUENT) -> np.ndarray:
-    """Hashes of frequent shingles, most frequent last, at most `most` of them.
+def _sampler(words: int):
+    """Size, digest and sampled shingles of every text.
 
-    They only decide which shingles stand last in the order of prefixes; any
-    choice gives the same result.
-    """
-
-    def report(hashes: list[np.ndarray]) -> pd.DataFrame:
-        values, met = np.unique(np.concatenate(hashes or [np.empty(0, np.uint64)]), return_counts=True)
-        often = met >= REPEATED
-        return pd.DataFrame({"h": values[often].view(np.int64), "k": met[often]})
+    The sample holds the shingles whose hash lies in the lowest `SAMPLE` of the
+    range, so a shingle is sampled in all of its documents or in none."""
+    limit = np.uint64(int(SAMPLE * 2**64))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, held, room = WordHashes(), [], COUNTED
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(shingle_hashes(text, words, known))
-                room -= len(held[-1])
-                if room <= 0:
-                    yield report(held)
-                    held, room = [], COUNTED
-        yield report(held)
-
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counted = texts.mapInPandas(count, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k"))
-    top = counted.orderBy(F.desc("k"), "h").limit(most).collect()
-    return np.array([r["h"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
-
-
-def prefix(hashes: np.ndarray, percent: int, frequent: np.ndarray, by_hash: np.ndarray) -> np.ndarray:
-    """The first n - ceil(percent / 100 * n) + 1 hashes of a sorted set: rare ones in
-    the order of their values, then frequent ones in theirs (`by_hash` sorts `frequent`)."""
-    size = len(hashes) - -(-percent * len(hashes) // 100) + 1
-    if len(frequent):
-        at = np.searchsorted(frequent, hashes, sorter=by_hash)
-        rank = by_hash[np.minimum(at, len(frequent) - 1)]
-        often = frequent[rank] == hashes
-        hashes = np.concatenate([hashes[~often], frequent[np.sort(rank[often])]])
-    return hashes[:size]
-
-
-def _preparer(words: int, percent: int, frequent: np.ndarray):
-    by_hash = np.argsort(frequent, kind="stable")
-
-    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
-            n, same, first = [], [], []
+            n, same, some = [], [], []
             for text in batch["text"]:
                 hashes = shingle_hashes(text, words, known)
                 n.append(len(hashes))
                 same.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-                first.append(prefix(hashes, percent, frequent, by_hash).view(np.int64) if len(hashes) else None)
-            yield batch[["id", "named", "body"]].assign(n=n, same=same, first=first)
+                some.append(hashes[: np.searchsorted(hashes, limit)].view(np.int64))
+            yield batch[["id", "named", "body"]].assign(n=n, same=same, some=some)
 
-    return prepare
+    return sample
+
+
+def _lister(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [np.frombuffer(x, dtype=np.int64) for x in batch["held"]]
+        tokens = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        yield pd.DataFrame({"c": np.repeat(batch["c"].to_numpy(), [len(x) for x in sets]), "token": tokens})
 
 
 def _set_maker(words: int):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
-            yield batch[["c"]].assign(held=[shingle_hashes(t, words, known).tobytes() for t in batch["text"]])
+            yield batch[["c", "n", "m"]].assign(held=[shingle_hashes(t, words, known).tobytes() for t in batch["text"]])
 
     return make
 
@@ -291,31 +262,44 @@ def similar_groups(
     Repeated rows are linked; other columns are not read; an empty table gives
     no rows.  `tree` sets `groups`, `node`, `leaf_rows` and `leaf_shingles`.
     """
-    frequent = frequent_shingles(docs, words, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("body"), text.alias("text"))
     # a null id would turn the ids of its batch into doubles
     passed = narrow.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("named"), "body", "text")
-    prepared = passed.mapInPandas(
-        _preparer(words, percent, frequent), "id bigint, named boolean, body bigint, n bigint, same binary, first array<bigint>"
-    ).withColumn("id", F.when(F.col("named"), F.col("id")))
-    signed = materialise(prepared, "prefixes")
+    sampled = passed.mapInPandas(_sampler(words), "id bigint, named boolean, body bigint, n bigint, same binary, some array<bigint>")
+    signed = materialise(sampled.withColumn("id", F.when(F.col("named"), F.col("id"))), "samples")
+    may_lack = F.col("n") - F.ceil(F.col("n") * percent / 100)
     classes = materialise(
         signed.where("n > 0")
         .groupBy("same")
-        .agg(F.min(F.struct(~F.col("named"), "id", "body")).alias("row"), F.first("n").alias("n"), F.first("first").alias("first"))
-        .select(F.monotonically_increasing_id().alias("c"), "same", "row.id", "row.body", "n", "first"),
+        .agg(F.min(F.struct(~F.col("named"), "id", "body")).alias("row"), F.first("n").alias("n"), F.first("some").alias("some"))
+        .select(F.monotonically_increasing_id().alias("c"), "same", "row.id", "row.body", "n", "some")
+        .withColumn("m", may_lack),
         "set-classes",
     )
-    posted = classes.select("c", "n", F.explode("first").alias("token"))
+    # a class with more than m sampled shingles of its own is similar to none
+    found = classes.select("c", F.explode("some").alias("token"))
+    several = found.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    common = found.join(several, "token").groupBy("c").agg(F.count("*").alias("common"))
+    counted = classes.select("c", "id", "body", "n", "m", F.size("some").alias("some")).join(common, "c", "left")
+    wanted = materialise(
+        counted.where(F.col("some") - F.coalesce("common", F.lit(0)) <= F.col("m")).select("c", F.col("id").alias("_id"), F.col("body").alias("_body"), "n", "m"),
+        "candidates",
+    )
+    same_row = F.col("id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))
+    texts = narrow.join(wanted, same_row).select("c", "n", "m", "text").dropDuplicates(["c"])
+    sets = materialise(texts.mapInPandas(_set_maker(words), "c bigint, n bigint, m bigint, held binary"), "sets")
+    # the same with all shingles of the candidates, which also gives the order of rarity
+    tokens = sets.select("c", "held").mapInPandas(_lister, "c bigint, token bigint")
+    several = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(several, "token").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
+    room = F.col("m") + 1 - (F.col("n") - F.size("common"))
+    first = F.slice("common", F.lit(1), room.cast("int"))
+    posted = materialise(ranked.join(sets.select("c", "n", "m"), "c").where(room > 0).select("c", "n", F.explode(first)).select("c", "n", "col.token"), "postings")
     digests = F.count("*").alias("df"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")
-    shared = posted.groupBy("token").agg(*digests).where("df > 1")
     # lists of the same members are one list
-    lists = shared.groupBy("df", "x", "y").agg(F.min("token").alias("token"))
+    lists = posted.groupBy("token").agg(*digests).where("df > 1").groupBy("df", "x", "y").agg(F.min("token").alias("token"))
     members = materialise(posted.join(lists.select("token", "df"), "token"), "list-members")
-    wanted = classes.join(members.select("c").distinct(), "c", "left_semi").select("c", F.col("id").alias("_id"), F.col("body").alias("_body"))
-    found = narrow.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")))
-    sets = materialise(found.select("c", "text").dropDuplicates(["c"]).mapInPandas(_set_maker(words), "c bigint, held binary"), "sets")
     # every member with one pivot of its list, the same one in as many lists as possible
     pivots = members.groupBy("token").agg(F.min(F.struct(F.xxhash64("c").alias("h"), "c", "n")).alias("p")).select("token", "p.c", "p.n")
     met = members.join(pivots.select("token", F.col("c").alias("b"), F.col("n").alias("nb")), "token").where(F.col("c") != F.col("b"))

@@ -145,19 +145,6 @@ def test_minima_bound_what_is_shared():
                 assert bound[i, j] >= both if groups == 7 else bound[i, j] == both
 
 
-def test_any_frequent_shingles_give_prefixes_that_meet():
-    rng = np.random.default_rng(6)
-    for percent in (50, 80, 85, 100):
-        for _ in range(50):
-            a = np.unique(rng.integers(0, 60, 40).astype(np.uint64))
-            b = np.unique(np.r_[a[rng.random(len(a)) > 0.1], rng.integers(0, 60, 2).astype(np.uint64)])
-            both = len(np.intersect1d(a, b))
-            frequent = rng.permutation(60)[: rng.integers(0, 40)].astype(np.uint64)
-            order = np.argsort(frequent, kind="stable")
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                assert len(np.intersect1d(count_tree.prefix(a, percent, frequent, order), count_tree.prefix(b, percent, frequent, order)))
-
-
 def near_but_apart(rng, n, words=400, edits=14):
     """Copies of one text whose similarity to each other lies just below 85 %."""
     base = [f"w{i}" for i in range(words)]
