@@ -268,22 +268,30 @@ def similar_groups(
     passed = narrow.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("named"), "body", "text")
     sampled = passed.mapInPandas(_sampler(words), "id bigint, named boolean, body bigint, n bigint, same binary, some array<bigint>")
     signed = materialise(sampled.withColumn("id", F.when(F.col("named"), F.col("id"))), "samples")
-    may_lack = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    # a class with more than m sampled shingles of its own is similar to none; all copies
+    # of a class are posted, which costs less than moving the samples to one of them
+    key = F.xxhash64("same").alias("key")
+    found = signed.where("n > 0").select(key, F.explode("some").alias("token"))
+    several = found.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token")
+    common = found.join(several.hint("merge"), "token").groupBy("key").agg(F.count("*").alias("common"))
     classes = materialise(
         signed.where("n > 0")
-        .groupBy("same")
-        .agg(F.min(F.struct(~F.col("named"), "id", "body")).alias("row"), F.first("n").alias("n"), F.first("some").alias("some"))
-        .select(F.monotonically_increasing_id().alias("c"), "same", "row.id", "row.body", "n", "some")
-        .withColumn("m", may_lack),
+        .groupBy("same", key)
+        .agg(
+            F.min(F.struct(~F.col("named"), "id", "body")).alias("row"),
+            F.first("n").alias("n"),
+            F.sum(F.size("some")).alias("posted"),
+            F.count("*").alias("copies"),
+        )
+        .select(F.monotonically_increasing_id().alias("c"), "same", "key", "row.id", "row.body", "n", "posted", "copies")
+        .withColumn("m", F.col("n") - F.ceil(F.col("n") * percent / 100)),
         "set-classes",
     )
-    # a class with more than m sampled shingles of its own is similar to none
-    found = classes.select("c", F.explode("some").alias("token"))
-    several = found.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    common = found.join(several, "token").groupBy("c").agg(F.count("*").alias("common"))
-    counted = classes.select("c", "id", "body", "n", "m", F.size("some").alias("some")).join(common, "c", "left")
+    own = F.col("posted") - F.coalesce("common", F.lit(0))
     wanted = materialise(
-        counted.where(F.col("some") - F.coalesce("common", F.lit(0)) <= F.col("m")).select("c", F.col("id").alias("_id"), F.col("body").alias("_body"), "n", "m"),
+        classes.join(common, "key", "left")
+        .where(own <= F.col("m") * F.col("copies"))
+        .select("c", F.col("id").alias("_id"), F.col("body").alias("_body"), "n", "m"),
         "candidates",
     )
     same_row = F.col("id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))
@@ -292,7 +300,7 @@ def similar_groups(
     # the same with all shingles of the candidates, which also gives the order of rarity
     tokens = sets.select("c", "held").mapInPandas(_lister, "c bigint, token bigint")
     several = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(several, "token").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
+    ranked = tokens.join(several.hint("merge"), "token").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
     room = F.col("m") + 1 - (F.col("n") - F.size("common"))
     first = F.slice("common", F.lit(1), room.cast("int"))
     posted = materialise(ranked.join(sets.select("c", "n", "m"), "c").where(room > 0).select("c", "n", F.explode(first)).select("c", "n", "col.token"), "postings")
