@@ -5,10 +5,11 @@ its (coordinate, value) pairs.  Classes that agree on at least `t` of K
 coordinates share one of the K - t + 1 rarest pairs of each, so only those are
 posted, and pairs that nobody shares stand first and cost nothing.  Inside a
 posting list pairs are not enumerated: a few rounds compare all members with
-one pivot and skip what is connected already; only members that are still apart
-meet each other, and of those only pairs that shingles of their own, and what
-each lacks of a common pivot, do not rule out.  Candidates must agree on `t`
-coordinates and are confirmed on their full shingle sets.
+one pivot and skip what is connected already, or what shingles of their own and
+what each lacks of a common pivot rule out; these candidates must agree on `t`
+coordinates and are confirmed on their full shingle sets.  Members that are
+still apart are searched by trees inside of tasks, on their full sets, and only
+links that join two components come out, so no row is made per pair of a group.
 
 `t` is the largest count that a pair at the wanted similarity misses with a
 probability below `MISS`.  There is no cap on list lengths or partners.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lethe.llm.catalog import query, table
 from lethe.llm.components import components
+from lethe.llm.islands import island_links
 from lethe.session import materialise
 
 COORDINATES = 48
@@ -158,6 +160,15 @@ def _confirmer(words: int, percent: int):
     return confirm
 
 
+def _set_maker(words: int):
+    def make(batches):
+        known = WordHashes()
+        for batch in batches:
+            yield batch[["c"]].assign(held=[shingle_hashes(t, words, known).tobytes() for t in batch["text"]])
+
+    return make
+
+
 def _lister(words: int):
     def every(batches):
         known = WordHashes()
@@ -211,22 +222,6 @@ def _pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.where(_possible(percent) & _not_apart(percent)).select(F.col("c").alias("a"), F.col("pc").alias("b")).distinct()
 
 
-def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a list in different components: one of each pair is
-    outside the list's largest component, so that one is paired with all."""
-    sizes = members.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("parts"))
-    lists = main.where("parts > 1").select("token", F.col("m.comp").alias("main"))
-    open_members = members.join(lists, "token")
-    outside = _other(open_members.where("comp <> main"), "token")
-    # a pair of two outsiders is met from both sides; one is enough
-    once = (F.col("comp") != F.col("pcomp")) & ((F.col("comp") == F.col("main")) | (F.col("c") < F.col("pc")))
-    # of all lists that hold both, the first one gives the pair
-    first = F.col("token") == F.array_min(F.array_intersect("tokens", "ptokens"))
-    met = open_members.join(outside, "token").where(once & _possible(percent) & _not_apart(percent) & first)
-    return met.select(F.greatest("c", "pc").alias("a"), F.least("c", "pc").alias("b")).distinct()
-
-
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -305,11 +300,17 @@ def near_duplicates(
             members = members.select("*", *[F.lit(None).cast(t).alias(x) for x, t in empty.items()])
         else:
             members = members.join(near, "c", "left").withColumn("rest", F.col("s") - F.col("shared")).drop("shared")
-        members = members.select("token", *SIDE)
-        found = compare(_pivot_pairs(members, turn, percent) if turn < PIVOT_ROUNDS else _rest_pairs(members, percent))
+        if turn == PIVOT_ROUNDS:
+            # lists that still hold unjoined members are searched in tasks, which give out joining links only
+            sets = texts.mapInPandas(_set_maker(words), "c bigint, held binary")
+            found = materialise(island_links(members.select("token", "c", "n", "comp"), sets, percent), "island-links")
+            known = found if roots is None else found.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = materialise(components(known), "roots")
+            continue
+        found = compare(_pivot_pairs(members.select("token", *SIDE), turn, percent))
         if found is None:
             continue
-        if turn < PIVOT_ROUNDS:
+        if turn + 1 < PIVOT_ROUNDS:
             seen = found.join(classes.select(F.col("c").alias("b"), F.col("n").alias("pivot_n")), "b").select(
                 F.col("a").alias("c"), F.col("b").alias("pivot"), "pivot_n", "shared", "lacks"
             )

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lethe.llm import bucket_refinement, components, coordinate_join, count_tree, mixing_tree, voronoi_knn
+from lethe.llm import bucket_refinement, components, coordinate_join, count_tree, islands, mixing_tree, voronoi_knn
 
 
 # ---------------------------------------------------------------- top-k search
@@ -137,8 +137,8 @@ def test_minima_bound_what_is_shared():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(30)]
     for groups in (7, 4096):
-        points = count_tree.count_points(sets, groups)
-        bound = count_tree.shared_counts(points, points)
+        points = islands.count_points(sets, groups)
+        bound = islands.shared_counts(points, points)
         for i in range(30):
             for j in range(i):
                 both = len(np.intersect1d(sets[i], sets[j]))
@@ -159,7 +159,7 @@ def test_links_grow_with_a_group_and_not_with_its_pairs(spark):
     real = np.intersect1d
     try:
         np.intersect1d = lambda *a, **k: (verified.append(1), real(*a, **k))[1]
-        links = count_tree.tree_links(sets, one, np.zeros(400, dtype=bool), 85)
+        links = islands.tree_links(sets, one, np.zeros(400, dtype=bool), 85)
     finally:
         np.intersect1d = real
     assert len(links) <= 399 and len(verified) <= 2 * 400
