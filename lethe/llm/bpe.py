@@ -10,6 +10,24 @@ import json
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
+import regex
+
+# Letters and numbers of later Unicode versions, which the vocabularies'
+# own library counts as neither.
+LATER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1"
+    "\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee"
+    "\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f"
+    "\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6"
+    "\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2"
+    "\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff"
+    "\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed"
+    "\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    "\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+_LATER = regex.compile(f"[{LATER}]")
+
 SHIFT = 1 << 20  # more than any vocabulary: a pair of symbols is one integer key
 
 
@@ -21,6 +39,25 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class Words:
+    """Matches of a word pattern whose letters and numbers are those of the library.
+
+    Most texts hold no later letter, and their matches need no narrower classes.
+    """
+
+    def __init__(self, pattern: str):
+        inner = rf"\p{{L}}--[{LATER}]", rf"\p{{N}}--[{LATER}]"
+        # "neither space nor letter nor number", then letters and numbers on their own
+        narrow = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{LATER}]]")
+        narrow = narrow.replace(r"\p{L}+", f"[{inner[0]}]+").replace(r"\p{N}+", f"[{inner[1]}]+").replace(r"|\p{N}|", f"|[{inner[1]}]|")
+        self.plain, self.narrow = regex.compile(pattern).findall, regex.compile(narrow, regex.V1).findall
+
+    def find(self, text: str) -> list[str]:
+        if text.isascii() or not _LATER.search(text):
+            return self.plain(text)
+        return self.narrow(text)
+
+
 @dataclass(frozen=True)
 class Merges:
     """`first[b]`: symbol of byte b; `last[b]`: the same at the end of a word;

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.bpe import Merges, merge_all, read_merges
+from lethe.llm.bpe import Merges, Words, merge_all, read_merges
 from lethe.llm.catalog import query, table
 
 # Fixed value: the piece pattern of the byte-level vocabulary.
@@ -78,13 +79,14 @@ class Codec:
     def __init__(self, merges: Merges):
         self.known = PieceIds(merges, inner_pairs(merges))
         self.spelled = merges.spelled
-        self.pieces = regex.compile(PIECES)
+        self.pieces = Words(PIECES).find
         self.special = {s: struct.pack("<I", i) for s, i in merges.special.items()}
+        self.mark = commonprefix(sorted(self.special))
         self.marks = regex.compile("(" + ("|".join(map(regex.escape, sorted(self.special))) or r"(?!)") + ")")
 
     def encode(self, text: str) -> bytes:
-        of, find = self.known.__getitem__, self.pieces.findall
-        if "<|" not in text:
+        of, find = self.known.__getitem__, self.pieces
+        if self.mark not in text:
             return b"".join(map(of, find(text)))
         out = []
         for part in self.marks.split(text):

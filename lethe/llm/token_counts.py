@@ -8,13 +8,14 @@ table.
 from __future__ import annotations
 
 import unicodedata
+from os.path import commonprefix
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.bpe import Merges, merge_all, read_merges
+from lethe.llm.bpe import Merges, Words, merge_all, read_merges
 from lethe.llm.catalog import query, table
 
 # Fixed value: the word pattern of the lower-casing word-end vocabulary.
@@ -61,7 +62,8 @@ def normal_form(text: str) -> str:
 def _counter(tables):
     def count(batches):
         merges: Merges = tables.value
-        words, known = regex.compile(WORDS), WordCounts(merges)
+        words, known = Words(WORDS).find, WordCounts(merges)
+        mark = commonprefix(sorted(merges.special))
         specials = regex.compile("|".join(map(regex.escape, sorted(merges.special))) or r"(?!)")
         of = known.__getitem__
         for batch in batches:
@@ -69,11 +71,11 @@ def _counter(tables):
             for text in batch["text"]:
                 sizes.append(len(text.encode()))
                 found, parts = 0, [text]
-                if "<|" in text:
+                if mark in text:
                     parts = specials.split(text)
                     found = len(parts) - 1
                 for part in parts:
-                    found += sum(map(of, words.findall(normal_form(part))))
+                    found += sum(map(of, words(normal_form(part))))
                 counts.append(found)
             yield pd.DataFrame({"id": batch["id"], "n_bytes": sizes, "n_tokens": counts})
 

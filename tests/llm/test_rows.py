@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lethe.llm import blob_ledger, forced_boundary, rule_ledger, token_counts
+from lethe.llm.bpe import Words, read_merges
 
 BREAK = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -144,9 +145,24 @@ def test_codes_match_the_library(spark, odd_docs, odd_rows, no_docs):
 
 
 def test_fragments_join_to_the_whole():
-    from lethe.llm.bpe import read_merges
 
     inner = forced_boundary.inner_pairs(read_merges(public_tokenizers.path("byte_bpe_50k.json")))
     for text in strange_texts(50, 3):
         data = (text or "x").encode() or b"x"
         assert b"".join(forced_boundary.fragments(data, inner)) == data
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_code_point_is_classed_as_the_library_does(name):
+    """Each one after a letter, a symbol and a number."""
+    path = public_tokenizers.path(name)
+    library, merges = Tokenizer.from_file(str(path)), read_merges(path)
+    codec, known, words = forced_boundary.Codec(merges), token_counts.WordCounts(merges), Words(token_counts.WORDS).find
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 256):
+        text = " ".join(f"a{chr(c)} #{chr(c)} 1{chr(c)}" for c in points[at : at + 256])
+        ids = library.encode(text, add_special_tokens=False).ids
+        if name.startswith("word"):
+            assert sum(map(known.__getitem__, words(token_counts.normal_form(text)))) == len(ids), at
+        else:
+            assert list(memoryview(codec.encode(text)).cast("I")) == ids, at
