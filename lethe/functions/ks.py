@@ -50,25 +50,42 @@ def _exact_equal(n: int, h: int) -> float:
     return 2 * total
 
 
+def _band(n1: int, n2: int, gap: int, step: int) -> tuple[int, int]:
+    """First and last i with |i*n2 - (step - i)*n1| < gap, 0 <= i <= n1 and 0 <= step - i <= n2."""
+    both = n1 + n2
+    first = (step * n1 - gap) // both + 1
+    last = -((-(step * n1 + gap)) // both) - 1
+    return max(first, 0, step - n2), min(last, n1, step)
+
+
 def _exact_walk(n1: int, n2: int, gap: int) -> float:
     """P(some lattice point has |i*n2 - j*n1| >= gap) by following the walk that
-    draws from the pooled sample; leaving mass is only ever added up."""
-    i = np.arange(n1 + 1, dtype=np.int64)
-    inside = np.zeros(n1 + 1)
-    inside[0] = 1.0
-    left = 0.0
+    draws from the pooled sample; leaving mass is only ever added up.
+
+    Only points inside the band are held: at each step those i whose point is
+    nearer than `gap`, about 2 * gap / (n1 + n2) of them.  A step leaves the band
+    at its ends alone, for neighbouring points differ by n1 + n2.
+    """
+    first, last = _band(n1, n2, gap, 0)
+    if first > last:
+        return 1.0
+    inside, left = np.ones(1), 0.0
     for step in range(1, n1 + n2 + 1):
         remaining = n1 + n2 - step + 1
-        j_before = step - 1 - i
-        take_first = (n1 - i) / remaining
-        take_second = np.clip(n2 - j_before, 0, None) / remaining
-        moved = inside * take_second
-        moved[1:] += inside[:-1] * take_first[:-1]
-        j = step - i
-        out = np.abs(i * n2 - j * n1) >= gap
-        left += moved[out].sum()
-        moved[out] = 0.0
-        inside = moved
+        i = np.arange(first, first + len(inside))
+        up, stay = inside * ((n1 - i) / remaining), inside * ((n2 - (step - 1 - i)) / remaining)
+        # places first .. last + 1: stay keeps i, up raises it by one
+        moved = np.zeros(len(inside) + 1)
+        moved[:-1] += stay
+        moved[1:] += up
+        low, high = _band(n1, n2, gap, step)
+        if low > high:
+            return left + float(moved.sum())
+        cut, end = max(low - first, 0), high - first + 1
+        left += float(moved[:cut].sum()) + float(moved[end:].sum())
+        inside, first = moved[cut:end], max(low, first)
+        if not len(inside):
+            return left
     return left
 
 
@@ -84,8 +101,9 @@ def _asymptotic(n1: int, n2: int, gap: int) -> float:
 def pvalue(gap: int, n1: int, n2: int, method: str = "exact") -> float:
     """Two-sided p-value by one law for all sizes.
 
-    "exact" is the finite-sample law: a series for equal sizes, a walk of n1 * n2
-    steps for unequal ones.  "limit" is the Kolmogorov distribution.  `gap` is
+    "exact" is the finite-sample law: a series for equal sizes, a walk for unequal
+    ones, of n1 + n2 steps over a band of 2 * gap / (n1 + n2) points.  "limit" is
+    the Kolmogorov distribution.  `gap` is
     max |c1*n2 - c2*n1| over the pooled scores, an exact integer.
     """
     if method not in METHODS:

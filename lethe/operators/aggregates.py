@@ -228,7 +228,8 @@ def ks_test(
     """KS statistic with its two-sided p-value and `p_method`, one row per group.
 
     The method is the caller's choice and never depends on the sizes: "exact"
-    costs n1 * n2 steps where the samples differ in size, "limit" nothing.
+    walks through a band of the width of the gap where the samples differ in size,
+    "limit" costs nothing.
     """
     found = ks_statistic(df, group, score, sample, first)
     if group:
@@ -284,9 +285,18 @@ def harmonic_mean(df: DataFrame, value: str = "agg_value", group: Sequence[str]
 
 
 def reference_scores(target: DataFrame, reference: DataFrame, keys: Sequence[str] = ("index", "answer_idx")) -> DataFrame:
-    """Loss of the target model minus that of the reference model."""
-    ref = reference.select(*keys, F.col("avg_loss").alias("_reference"))
-    return target.join(ref, list(keys)).withColumn("score", F.col("avg_loss") - F.col("_reference")).drop("_reference")
+    """Loss of the target model minus that of the reference model.
+
+    Both models have to be scored on the same examples: one that only either of
+    them has is an error, raised inside the join.
+    """
+    own = target.withColumn("_own", F.lit(True))
+    ref = reference.select(*keys, F.col("avg_loss").alias("_reference"), F.lit(True).alias("_other"))
+    met = own.join(ref, list(keys), "full")
+    alone = F.col("_own").isNull() | F.col("_other").isNull()
+    lost = F.raise_error(F.concat(F.lit("example without both models' losses: "), F.to_json(F.struct(*keys)))).cast("double")
+    score = F.when(alone, lost).otherwise(F.col("avg_loss") - F.col("_reference"))
+    return met.withColumn("score", score).drop("_reference", "_own", "_other")
 
 
 def gradnorm_scores(norms: DataFrame, keys: Sequence[str] = ("population", "index"), p: float = 2) -> DataFrame:

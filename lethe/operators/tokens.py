@@ -102,8 +102,13 @@ def attention_mask(ids: Column, pad_id: int = PAD_ID) -> Column:
 
 
 def target_words(words: Column, labels: Column) -> Column:
-    """Words at the positions that carry loss."""
-    return F.filter(words, lambda _, i: F.get(labels, i) != IGNORE_INDEX)
+    """Words at the positions that carry loss.
+
+    Words and labels are paired once; a lookup by position inside the filter
+    would build an array of labels taken from structs again for every word.
+    """
+    paired = F.zip_with(words, labels, lambda w, l: F.struct(w.alias("word"), l.alias("label")))
+    return F.transform(F.filter(paired, lambda p: p["word"].isNotNull() & (p["label"] != IGNORE_INDEX)), lambda p: p["word"])
 
 
 def target_text(words: Column, labels: Column) -> Column:

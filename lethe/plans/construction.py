@@ -237,9 +237,20 @@ def triple_files(spark: SparkSession, sf: str) -> str:
     planted.write.mode("append").partitionBy("folder").options(
         header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
+    # a wide file, whose ranges begin and end inside of quoted fields
+    wide = [F.lit(None).cast("string").alias(f"c{i}") for i in range(WIDE_COLUMNS)]
+    wide[7] = F.concat("c_name", F.lit('\n"said", so\n'), F.col("c_custkey").cast("string")).alias("objectLabel")
+    wide[150] = F.concat(F.lit("\n,\n"), F.col("c_mktsegment"), F.lit(",")).alias("subjectLabel")
+    wide[-1] = F.lit("is\nat").alias("relation")
+    table(spark, sf, "customer").select(*wide, F.lit("customer.csv").alias("folder")).write.mode("append").partitionBy("folder").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
     return path
 
 
+WIDE_COLUMNS = 300
+RANGE_BYTES = 1 << 16  # small, so that files of the test tables are cut as well
+
 # ------------------------------------------------------------ queries
 
 
@@ -247,10 +258,11 @@ def triple_files(spark: SparkSession, sf: str) -> str:
     "src1_scan_triples",
     f"""WITH {TRIPLES_SQL}
 SELECT source AS folder, "subjectLabel", relation, "objectLabel" FROM tri
-UNION ALL SELECT 'nation.csv', n_name || ', "of"' || chr(10) || 'the world', 'lies in, or near', 'region' || chr(10) || n_regionkey FROM nation""",
+UNION ALL SELECT 'nation.csv', n_name || ', "of"' || chr(10) || 'the world', 'lies in, or near', 'region' || chr(10) || n_regionkey FROM nation
+UNION ALL SELECT 'customer.csv', chr(10) || ',' || chr(10) || c_mktsegment || ',', 'is' || chr(10) || 'at', c_name || chr(10) || '"said", so' || chr(10) || c_custkey FROM customer""",
 )
 def src1(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = scan_triples(spark, triple_files(spark, sf))
+    rows, _ = scan_triples(spark, triple_files(spark, sf), RANGE_BYTES)
     folder = F.regexp_extract("file_path", r"folder=([^/]+)/", 1)
     return rows.select(folder.alias("folder"), *X.FIELDS)
 

@@ -1,6 +1,7 @@
 import itertools
 import math
 import time
+from fractions import Fraction
 
 import pytest
 
@@ -37,6 +38,32 @@ def test_exact_against_all_orderings(n1, n2):
         assert math.isclose(_exact_walk(n1, n2, gap), brute(n1, n2, gap), rel_tol=1e-12, abs_tol=1e-15)
 
 
+def full_walk(n1, n2, gap):
+    """The same walk over all points of the lattice, in whole numbers."""
+    ways = {(0, 0): 1}
+    for i in range(n1 + 1):
+        for j in range(n2 + 1):
+            if i or j:
+                inside = abs(i * n2 - j * n1) < gap
+                ways[i, j] = (ways.get((i - 1, j), 0) + ways.get((i, j - 1), 0)) if inside else 0
+    return 1 - Fraction(ways[n1, n2], math.comb(n1 + n2, n1))
+
+
+@pytest.mark.parametrize("n1,n2", [(1, 1), (1, 9), (20, 21), (13, 40), (60, 7), (30, 30)])
+def test_band_against_the_full_walk(n1, n2):
+    for gap in {1, 2, n1 + n2 - 1, n1 + n2, n1 + n2 + 1, n1 * n2 // 3 + 1, n1 * n2 // 2 + 1, n1 * n2}:
+        assert math.isclose(_exact_walk(n1, n2, gap), float(full_walk(n1, n2, gap)), rel_tol=1e-12, abs_tol=1e-15)
+
+
+def test_unequal_large_samples_are_quick():
+    n1, n2 = 100_000, 100_001
+    gap = n1 * n2 // 100
+    start = time.perf_counter()
+    exact = pvalue(gap, n1, n2)
+    assert time.perf_counter() - start < 20
+    assert exact == pytest.approx(pvalue(n1 * 1000, n1, n1), rel=1e-2)
+
+
 def test_equal_sizes_agree_in_both_ways():
     for n, h in ((7, 3), (50, 11), (300, 40)):
         assert math.isclose(_exact_equal(n, h), _exact_walk(n, n, n * h), rel_tol=1e-9)

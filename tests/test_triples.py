@@ -1,10 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lethe.functions import questions as Q
 from lethe.operators import triples as X
 from lethe.sinks.writers import checkpoint_by_source, write_qa
-from lethe.sources.triples import scan_triples, scan_uniform
+from lethe.sources.triples import OPEN_INSIDE, OPEN_OUTSIDE, _start_states, _state, scan_triples, scan_uniform
 
 RELATIONS = [  # relation, tags, lemmas, question for subject S and a plain object
     ("born in", "VBN IN", "bear in", "What was S born in?"),
@@ -139,6 +141,72 @@ def test_scan_by_header(spark, tmp_path):
     assert [r["subjectLabel"] for r in ordered.collect()] == ["Smith, Ann", "Bob"]
 
 
+def as_csv(rows):
+    return "".join(",".join('"' + c.replace('"', '""') + '"' if set(c) & set(',"\n') else c for c in r) + "\n" for r in rows)
+
+
+def test_scan_of_a_quoted_file_in_ranges(spark, tmp_path):
+    """A file of 300 columns, cut inside of fields that hold line breaks, commas and quotes."""
+    rng = random.Random(1)
+    header = [f"c{i}, x" for i in range(300)]
+    header[7], header[150], header[299] = "objectLabel", "subjectLabel", "relation"
+    rows = []
+    for n in range(60):
+        row = [""] * 300
+        row[3] = "\n".join(rng.choice(['a "b', ",,", "plain", '"', ""]) for _ in range(rng.randrange(40)))
+        row[7], row[150], row[299] = f"o{n}", f'two\nlines, "{n}"' if n % 2 else f"s{n}", "\n\nrel"
+        rows.append(row)
+    (tmp_path / "wide.csv").write_text("\ufeff" + as_csv([header, *rows]))
+    (tmp_path / "plain.csv").write_text(as_csv([["subjectLabel", "relation", "objectLabel"], *[[f"p{n}", "r", 'an "inch" b'] for n in range(40)]]))
+    size = (tmp_path / "wide.csv").stat().st_size
+    rows_of = [(r[150], r[299], r[7]) for r in rows]
+    for ranges in (1, 8, 40):
+        found, skipped = scan_triples(spark, str(tmp_path), range_bytes=-(-size // ranges))
+        assert skipped.count() == 0
+        wide = found.where("source = 'wide.csv'").orderBy(*X.POSITION)
+        assert [tuple(r) for r in wide.select(*X.FIELDS).collect()] == rows_of
+        assert wide.select("block_start").distinct().count() > 0 if ranges < 8 else wide.select("block_start").distinct().count() >= 4
+        plain = found.where("source = 'plain.csv'").orderBy(*X.POSITION)
+        assert [r[0] for r in plain.collect()] == [f"p{n}" for n in range(40)]
+
+
+def test_states_of_lines_compose(spark):
+    """The start of every line by composed functions equals a walk from line to line."""
+    rng = random.Random(3)
+    rows = [(f, i, rng.random() < 0.5, rng.random() < 0.5) for f in ("a", "b") for i in range(60)]
+    rows += [("c", i, False, True) for i in range(5)] + [("d", i, True, False) for i in range(5)]
+    df = spark.createDataFrame(rows, "f string, i int, if_out boolean, if_in boolean")
+    for start in (False, True):
+        found = _start_states(df, ["f"], "i").select("f", "i", _state(F.lit(start)).alias("s")).orderBy("f", "i").collect()
+        state, last = start, None
+        for (f, i, out, into), r in zip(sorted(rows), found):
+            state = start if f != last else state
+            last = f
+            assert r["s"] == state
+            state = into if state else out
+
+
+@pytest.mark.parametrize(
+    "line,outside,inside",
+    [
+        ("a,b", False, True), ('a,"b', True, False), ('a,"b""', True, False), ('"a","b",', False, False), ('5" disk,x', False, False),
+        ('x",y', False, False), ('x",y,"z', True, True), ("plain", False, True), ("", False, True), ('a""b', False, True), ('""', False, True), ('"', True, False),
+    ],
+)
+def test_what_a_line_leaves_open(spark, line, outside, inside):
+    df = spark.createDataFrame([(line,)], "l string")
+    found = df.select(F.col("l").rlike(OPEN_OUTSIDE).alias("o"), F.col("l").rlike(OPEN_INSIDE).alias("i")).first()
+    assert found["o"] == outside
+    assert found["i"] == inside
+
+
+def test_unclosed_quotes_are_reported(spark, tmp_path):
+    (tmp_path / "open.csv").write_text('subjectLabel,relation,objectLabel\na,b,c\nd,"e,f\ng,h,i\n')
+    rows, skipped = scan_triples(spark, str(tmp_path))
+    assert [tuple(r) for r in rows.select(*X.FIELDS).collect()] == [("a", "b", "c")]
+    assert [r["reason"] for r in skipped.collect()] == ["quote is never closed"]
+
+
 def test_scan_keeps_file_order_across_splits(spark, tmp_path):
     body = "".join(f"s{i:06d},rel,o\n" for i in range(20_000))
     (tmp_path / "f.csv").write_text("subjectLabel,relation,objectLabel\n" + body)
