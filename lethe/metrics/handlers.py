@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lethe.functions import scores as S
 from lethe.functions.text import cut_at_stopwords
-from lethe.metrics.registry import Inputs, Result, metric
+from lethe.metrics.registry import Inputs, Result, TokenScores, metric
 from lethe.operators import aggregates as A
 from lethe.operators.similarity import ROUGE_TYPES, attach_classifier_scores, text_similarity
 from lethe.operators.tokens import zlib_score
@@ -31,21 +31,37 @@ def _auc(values: DataFrame) -> DataFrame:
 
 
 # Token tables come with one row per token or packed with one row per example
-# (a column `tokens`).  Packed tables need no shuffle at all.
+# (a column `tokens`), or as scores that the runner took from them for the whole
+# suite (`score`, or `avg_loss` and `prob`).
+
+LOSS_FIELDS, MATCH_FIELDS = ("label_id", "logprob"), ("label_id", "pred_id")
 
 
 def _packed(df: DataFrame) -> DataFrame:
     return df if TOK in df.columns else A.pack_tokens(df, EXAMPLE)
 
 
+def _loss_columns() -> dict[str, Column]:
+    return {"avg_loss": S.avg_loss(TOK), "prob": S.prob_from_loss(S.avg_loss(TOK))}
+
+
+LOSSES = TokenScores(LOSS_FIELDS, lambda: _loss_columns())
+
+
 def _losses(df: DataFrame) -> DataFrame:
+    if "avg_loss" in df.columns:
+        return df
     if TOK not in df.columns:
         return A.losses_from_tokens(df, EXAMPLE)
     losses = df.select(*EXAMPLE, S.avg_loss(TOK).alias("avg_loss"))
     return losses.withColumn("prob", S.prob_from_loss(F.col("avg_loss")))
 
 
-@metric()
+def _scored(df: DataFrame, score: Column) -> DataFrame:
+    return df.select(*EXAMPLE, "score") if "score" in df.columns else _packed(df).select(*EXAMPLE, score.alias("score"))
+
+
+@metric(tokens=LOSSES)
 def probability(inputs: Inputs) -> Result:
     return _mean(_losses(inputs.only()), "prob")
 
@@ -79,17 +95,17 @@ def truth_ratio(inputs: Inputs, aggregator: str) -> Result:
     return Result(lambda v: A.truth_ratio_agg(v, aggregator), values)
 
 
-@metric()
+@metric(tokens=TokenScores(MATCH_FIELDS, lambda: {"score": S.exact_memorization(TOK)}))
 def exact_memorization(inputs: Inputs) -> Result:
     df = inputs.only()
-    if TOK in df.columns:
-        return _mean(df.select(*EXAMPLE, S.exact_memorization(TOK).alias("score")), "score")
+    if TOK in df.columns or "score" in df.columns:
+        return _mean(_scored(df, S.exact_memorization(TOK)), "score")
     return _mean(A.memorization_from_tokens(df, EXAMPLE), "score")
 
 
-@metric()
+@metric(tokens=TokenScores(MATCH_FIELDS, lambda: {"score": S.extraction_strength(TOK)}))
 def extraction_strength(inputs: Inputs) -> Result:
-    return _mean(_packed(inputs.only()).select(*EXAMPLE, S.extraction_strength(TOK).alias("score")), "score")
+    return _mean(_scored(inputs.only(), S.extraction_strength(TOK)), "score")
 
 
 def _attack(inputs: Inputs, score) -> Result:
@@ -100,32 +116,35 @@ def _attack(inputs: Inputs, score) -> Result:
 
 
 def _token_attack(inputs: Inputs, score: Column) -> Result:
-    return _attack(inputs, lambda df: _packed(df).select(*EXAMPLE, score.alias("score")))
+    return _attack(inputs, lambda df: _scored(df, score))
 
 
-@metric()
+@metric(tokens=LOSSES)
 def mia_loss(inputs: Inputs) -> Result:
     return _attack(inputs, lambda df: _losses(df).select(*EXAMPLE, F.col("avg_loss").alias("score")))
 
 
-@metric()
+@metric(tokens=TokenScores(LOSS_FIELDS, lambda k=0.2: {"score": S.min_k(TOK, k)}))
 def mia_min_k(inputs: Inputs, k: float = 0.2) -> Result:
     return _token_attack(inputs, S.min_k(TOK, k))
 
 
-@metric("mia_min_k_plus_plus")
+@metric("mia_min_k_plus_plus", TokenScores((*LOSS_FIELDS, "mu", "sigma2"), lambda k=0.2: {"score": S.min_k_plus_plus(TOK, k)}))
 def mia_min_k_pp(inputs: Inputs, k: float = 0.2) -> Result:
     return _token_attack(inputs, S.min_k_plus_plus(TOK, k))
 
 
-@metric()
+def _zlib() -> Column:
+    return zlib_score(S.avg_loss(TOK), F.array_join(S.labelled_tokens(TOK)["word"], " "))
+
+
+@metric(tokens=TokenScores((*LOSS_FIELDS, "word"), lambda: {"score": _zlib()}))
 def mia_zlib(inputs: Inputs) -> Result:
     """Tokens carry `word`, the text of their label."""
-    target = F.array_join(S.labelled_tokens(TOK)["word"], " ")
-    return _token_attack(inputs, zlib_score(S.avg_loss(TOK), target))
+    return _token_attack(inputs, _zlib())
 
 
-@metric()
+@metric(tokens=LOSSES)
 def mia_reference(inputs: Inputs) -> Result:
     """`forget_reference` and `holdout_reference` are the reference model's tokens."""
 

@@ -44,11 +44,29 @@ Handler = Callable[..., Result]
 METRICS: dict[str, Handler] = {}
 
 
-def metric(name: str | None = None) -> Callable[[Handler], Handler]:
+@dataclass(frozen=True)
+class TokenScores:
+    """What a metric takes from each example's tokens, row by row.
+
+    `fields` are the token fields it reads, `columns(**params)` the named
+    expressions over packed tokens.  The runner computes those of a whole suite in
+    one projection and hands the metric its columns in place of the tokens.
+    """
+
+    fields: tuple[str, ...]
+    columns: Callable[..., dict[str, Any]]
+
+
+TOKEN_SCORES: dict[str, TokenScores] = {}
+
+
+def metric(name: str | None = None, tokens: TokenScores | None = None) -> Callable[[Handler], Handler]:
     """Register a metric function under a name (its own by default)."""
 
     def register(fn: Handler) -> Handler:
         METRICS[name or fn.__name__] = fn
+        if tokens is not None:
+            TOKEN_SCORES[name or fn.__name__] = tokens
         return fn
 
     return register

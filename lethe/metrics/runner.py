@@ -12,7 +12,9 @@ from pyspark.sql.utils import AnalysisException
 
 from lethe import schemas
 from lethe.metrics import handlers  # noqa: F401  (registers the built-in metrics)
-from lethe.metrics.registry import Inputs, Result, Spec, get_metric
+from lethe.metrics.registry import TOKEN_SCORES, Inputs, Result, Spec, get_metric
+from lethe.operators.aggregates import losses_from_tokens, pack_tokens
+from lethe.session import materialise
 from lethe.sources.logs import load_run_logs
 
 log = logging.getLogger("lethe.metrics")
@@ -80,12 +82,63 @@ def summarize(results: DataFrame, suite: tuple[str, ...] | list[str]) -> DataFra
     return results.where(F.col("agg_value").isNotNull() & F.col("metric").isin(*suite))
 
 
-def _datasets(spec: Spec, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+def _needed(specs: Mapping[str, Spec], suite: tuple[str, ...] | list[str], known: set[str]) -> dict[str, Spec]:
+    """The metrics of a suite, and those they rest on, that are not stored yet."""
+    found: dict[str, Spec] = {}
+    waiting = list(suite)
+    while waiting:
+        name = waiting.pop()
+        if name not in known and name not in found:
+            found[name] = specs[name]
+            waiting += [source for source, _ in specs[name].parents.values()]
+    return found
+
+
+def _column(spec: Spec, name: str) -> str:
+    return f"{spec.handler}({', '.join(f'{k}={v}' for k, v in sorted(spec.params.items()))}) {name}".replace(".", "_")
+
+
+def fuse_token_scores(needed: Mapping[str, Spec], tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Table -> stored scores (dataset, index, answer_idx, one column per score).
+
+    Every metric that works on an example's tokens alone becomes a column of one
+    projection over its table: the tokens of all datasets a suite asks for are read
+    and brought together once, whatever the number of metrics, and only scores are
+    kept.  Rows without tokens of a wanted dataset are not read.
+    """
+    plans: dict[str, tuple[set[str], set[str], dict]] = {}
+    for spec in needed.values():
+        scores = TOKEN_SCORES.get(spec.handler)
+        for table, dataset in spec.data.values() if scores else ():
+            datasets, fields, columns = plans.setdefault(table, (set(), set(), {}))
+            datasets.add(dataset)
+            fields.update(scores.fields)
+            columns.update({_column(spec, n): (n, c) for n, c in scores.columns(**spec.params).items()})
+    keys = ["dataset", *handlers.EXAMPLE]
+    fused = {}
+    for table, (datasets, fields, columns) in plans.items():
+        rows = tables[table].where(F.col("dataset").isin(*sorted(datasets)))
+        if handlers.TOK not in rows.columns and fields == set(handlers.LOSS_FIELDS) and {n for n, _ in columns.values()} <= {"avg_loss", "prob"}:
+            losses = losses_from_tokens(rows, keys)  # sums alone need no tokens brought together
+            scores = losses.select(*keys, *[F.col(n).alias(c) for c, (n, _) in columns.items()])
+        else:
+            packed = rows if handlers.TOK in rows.columns else pack_tokens(rows.select(*keys, "pos", *sorted(fields)), keys)
+            scores = packed.select(*keys, *[e.alias(c) for c, (_, e) in columns.items()])
+        fused[table] = materialise(scores, "token-scores")
+    return fused
+
+
+def _datasets(spec: Spec, tables: Mapping[str, DataFrame], fused: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The rows of each dataset; `dataset` is a partition column of stored tables."""
-    return {
-        role: tables[table].where(F.col("dataset") == dataset).drop("dataset")
-        for role, (table, dataset) in spec.data.items()
-    }
+    found = {}
+    for role, (table, dataset) in spec.data.items():
+        scores = TOKEN_SCORES.get(spec.handler)
+        if scores and table in fused:
+            names = [F.col(f"`{_column(spec, n)}`").alias(n) for n in scores.columns(**spec.params)]
+            found[role] = fused[table].where(F.col("dataset") == dataset).select(*handlers.EXAMPLE, *names)
+        else:
+            found[role] = tables[table].where(F.col("dataset") == dataset).drop("dataset")
+    return found
 
 
 def evaluate(
@@ -99,7 +152,8 @@ def evaluate(
 ) -> DataFrame:
     """Run the metrics of a suite that are not stored yet; return its summary.
 
-    A shared parent is computed once.  Every result is stored before the next
+    A shared parent is computed once, and tokens are read once for all metrics that
+    score examples by them.  Every result is stored before the next
     is begun, so a run that was cut short goes on where it stopped.
     """
     known = store.done(run) if not overwrite else set()
@@ -107,6 +161,7 @@ def evaluate(
     if reference_run and not reference_known:
         raise FileNotFoundError(f"no logs of run {reference_run!r}")
     cache: dict[str, Result] = {}
+    fused = fuse_token_scores(_needed(specs, suite, known), tables)
 
     def resolve(name: str, spec: Spec) -> Result:
         if name not in cache:
@@ -126,7 +181,7 @@ def evaluate(
                 reference[key] = None
             else:
                 reference[key] = store.read(reference_run, name)
-        return Inputs(_datasets(spec, tables), parents, reference)
+        return Inputs(_datasets(spec, tables, fused), parents, reference)
 
     for name in suite:
         resolve(name, specs[name])

@@ -75,6 +75,31 @@ def test_every_metric_runs_from_rows_and_from_packed_tokens(spark, tmp_path):
     assert by_layout["rows"]["forget_Q_A_ROUGE"] == pytest.approx((2 / 4 + 3 / 4) / 2)
 
 
+def test_a_suite_brings_tokens_together_once(spark, tmp_path, monkeypatch):
+    packed, summed = [], []
+    real_pack, real_sum = A.pack_tokens, A.losses_from_tokens
+    for module in (M, A):
+        monkeypatch.setattr(module, "pack_tokens", lambda *a: (packed.append(1), real_pack(*a))[1])
+        monkeypatch.setattr(module, "losses_from_tokens", lambda *a: (summed.append(1), real_sum(*a))[1])
+    given, specs = tables(spark), SPECS["tofu"]
+    wanted = ("forget_Q_A_Prob", "retain_Q_A_Prob", "exact_memorization", "extraction_strength", *(m for m in MIA_PARAMS if m != "mia_gradnorm"))
+    store = M.MetricStore(spark, str(tmp_path))
+    done = {r["metric"]: r["agg_value"] for r in M.evaluate(store, "t", specs, wanted, given).collect()}
+    # one packing for the tokens, sums alone for the reference model's
+    assert (len(packed), len(summed)) == (1, 1)
+    for name in wanted:
+        spec = specs[name]
+        own = {role: given[t].where(F.col("dataset") == d).drop("dataset") for role, (t, d) in spec.data.items()}
+        alone = get_metric(spec.handler)(Inputs(own), **spec.params).aggregate().first()["agg_value"]
+        assert done[name] == pytest.approx(alone, rel=1e-12), name
+    # what is stored needs no tokens again, and a plan for it one shuffle of tokens
+    plan = M.pack_tokens(given["tokens"], ["dataset", "index", "answer_idx"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    packed.clear()
+    M.evaluate(store, "t", specs, wanted, given)
+    assert not packed
+
+
 def test_incremental_run(spark, tmp_path):
     calls = []
 
