@@ -445,14 +445,14 @@ def snk1_missed(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(schemas.MISSED).parquet(path)
 
 
-@query("snk2_checkpoint_qa", QA_ALL_SQL + "SELECT source, count(*) AS n_rows FROM qaset GROUP BY source")
+@query("snk2_checkpoint_qa", QA_ALL_SQL + _QA_SELECT)
 def snk2(spark: SparkSession, sf: str) -> DataFrame:
     """Sources up to one name are written first, as by a run that was cut short; then all."""
     qa, _ = qa_and_missed(spark, sf)
     path = scratch_path(spark, "by-source")
     checkpoint_by_source(qa.where("source <= 'order.csv'"), path)
     stored = checkpoint_by_source(qa, path)
-    return stored.groupBy("source").agg(F.count("*").alias("n_rows"))
+    return stored.select(*schemas.QA.names)
 
 
 @query("agg15_popularity_sum", QA_ALL_SQL + "SELECT source, line_no, popularity_sum::INTEGER AS popularity_sum FROM qaset")

@@ -551,9 +551,10 @@ def agg8(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source", "n1", "n2", r6(F.col("statistic"), "statistic"))
 
 
-# both samples hold the same documents, so the equal-size series applies
-_KS_P_SQL = _KS_SQL.format(score="round(score, 6)").replace("SELECT source, n1, n2, round(", "SELECT source, n1, n2, max(abs(c1 - c2))::BIGINT AS h, round(")
-_KS_SERIES_SQL = f"""WITH stat AS ({_KS_P_SQL}),
+def _ks_series_sql(score: str) -> str:
+    """Both samples hold the same documents, so the equal-size series applies."""
+    stat = _KS_SQL.format(score=score).replace("SELECT source, n1, n2, round(", "SELECT source, n1, n2, max(abs(c1 - c2))::BIGINT AS h, round(")
+    return f"""WITH stat AS ({stat}),
 term AS (
   SELECT source, n1, k, CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END
     * (SELECT product((n1 - k * h + i)::DOUBLE / (n1 + i)) FROM range(1, k * h + 1) r(i)) AS t
@@ -562,6 +563,9 @@ p AS (SELECT source, round(least(1.0::DOUBLE, coalesce(2 * sum(t), 1.0::DOUBLE))
 """
 
 
+_KS_SERIES_SQL = _ks_series_sql("round(score, 6)")
+
+
 @query("agg8_forget_quality", _KS_SERIES_SQL + "SELECT source, stat.n1, stat.n2, statistic, p_value FROM stat JOIN p USING (source)")
 def forget_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Token scores -> losses -> truth ratios of two runs -> KS test, per source."""
@@ -603,10 +607,13 @@ def reference_values_ks(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("n1", "n2", r6(F.col("statistic"), "statistic"), F.round("p_value", 9).alias("p_value"))
 
 
-@query("agg9_ks_reciprocal", _KS_SQL.format(score="1.0::DOUBLE / (round(score, 6) + 1e-10::DOUBLE)"))
+@query(
+    "agg9_ks_reciprocal",
+    _ks_series_sql("1.0::DOUBLE / (round(score, 6) + 1e-10::DOUBLE)") + "SELECT source, stat.n1, stat.n2, statistic, p_value FROM stat JOIN p USING (source)",
+)
 def agg9(spark: SparkSession, sf: str) -> DataFrame:
     found = A.ks_test_reciprocal(truth_ratios(spark, sf, BOTH), ["source"])
-    return found.select("source", "n1", "n2", r6(F.col("statistic"), "statistic"))
+    return found.select("source", "n1", "n2", r6(F.col("statistic"), "statistic"), F.round("p_value", 9).alias("p_value"))
 
 
 @query(

@@ -160,8 +160,9 @@ def _range_size(spark: SparkSession, size: int | None) -> Iterator[None]:
         spark.conf.set(RANGES, before)
 
 
-def scan_triples(spark: SparkSession, root: str, range_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, skipped) of all CSV files below `root`, whose columns are found by name.
+def scan_triples(spark: SparkSession, root: str | list[str], range_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, skipped) of all CSV files below `root`, a folder or a list of files, whose
+    columns are found by name.
 
     Records may hold line breaks and headers any number of columns, of which only
     the wanted ones are kept.  Large files are read in ranges of the session's
@@ -176,8 +177,7 @@ def scan_triples(spark: SparkSession, root: str, range_bytes: int | None = None)
         stored, too_long = _read(spark, root)
     rows = stored.where("problem IS NULL").select(*FIELDS, "file_path", "block_start", "row_in_block", base_name(F.col("file_path")).alias("source"))
     # scans leave empty files out; only the listing that Spark itself keeps for a scan has them
-    names = spark.read.options(**FILES).text(root).inputFiles()
-    listed = spark.createDataFrame([(f,) for f in names], "path string").select(_one_spelling(F.col("path")).alias("file_path"))
+    listed = list_files(spark, root).select(_one_spelling(F.col("path")).alias("file_path"))
     wrong = stored.where("problem IS NOT NULL").select(_one_spelling(F.col("file_path")).alias("file_path"), F.col("problem").alias("reason"))
     if too_long is not None:
         wrong = wrong.unionByName(too_long.select(_one_spelling(F.col("file_path")).alias("file_path"), F.lit(OPEN_QUOTE).alias("reason")))
@@ -187,7 +187,12 @@ def scan_triples(spark: SparkSession, root: str, range_bytes: int | None = None)
     return rows, wrong.where(F.col("reason") != "").unionByName(unread)
 
 
-def _read(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame | None]:
+def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """(path) of all CSV files, as the listing of a scan has them; none is opened."""
+    return spark.createDataFrame([(f,) for f in spark.read.options(**FILES).text(root).inputFiles()], "path string")
+
+
+def _read(spark: SparkSession, root: str | list[str]) -> tuple[DataFrame, DataFrame | None]:
     """(stored, too_long): every record with its fields and what is wrong with it."""
     place = ["file_path", "block_start", "row_in_block"]
     lines = _placed(spark.read.options(**FILES).text(root), F.col("value").alias("line"))

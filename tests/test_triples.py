@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lethe.functions import questions as Q
 from lethe.operators import triples as X
+from lethe.sinks import writers
 from lethe.sinks.writers import checkpoint_by_source, write_qa
 from lethe.sources.triples import OPEN_INSIDE, OPEN_OUTSIDE, _start_states, _state, scan_triples, scan_uniform
 
@@ -228,6 +229,36 @@ def test_checkpoint_by_source_is_repeatable(spark, tmp_path):
     assert sorted(tuple(r) for r in stored.select("source", "v").collect()) == [("a", 1), ("b", 2), ("b", 3), ("c", 4)]
 
 
+def test_files_of_finished_sources_are_not_opened(spark, tmp_path, monkeypatch):
+    opened = []
+    monkeypatch.setattr(writers, "scan_triples", lambda s, paths: (opened.append(sorted(p.rsplit("/", 1)[-1] for p in paths)), scan_triples(s, paths))[1])
+    files, out = tmp_path / "in", str(tmp_path / "out")
+    files.mkdir()
+    header = "subjectLabel,relation,objectLabel\n"
+    (files / "a.csv").write_text(header + "s1,r,o1\ns2,r,o2\n")
+    (files / "b.csv").write_text(header + "s2,r,o2\ns3,r,o3\n")
+    schema = spark.createDataFrame([], "source string, subjectLabel string, relation string, objectLabel string").schema
+
+    def run(**options):
+        stored = writers.checkpoint_files(spark, str(files), out, lambda rows: rows.select(*schema.names), schema, unique=[X.FIELDS], **options)
+        return sorted((r["source"], r["subjectLabel"]) for r in stored.collect())
+
+    def failing(rows):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        writers.checkpoint_files(spark, str(files), out, failing, schema)
+    assert run(every=1) == [("a.csv", "s1"), ("a.csv", "s2"), ("b.csv", "s3")]
+    assert opened == [["a.csv", "b.csv"], ["a.csv"], ["b.csv"]]
+    # a finished file may be anything by now; a new one is read, without what is stored
+    (files / "a.csv").write_bytes(b"\x00 changed")
+    (files / "c.csv").write_text(header + "s1,r,o1\ns4,r,o4\n")
+    assert run() == [("a.csv", "s1"), ("a.csv", "s2"), ("b.csv", "s3"), ("c.csv", "s4")]
+    assert opened[3:] == [["c.csv"]]
+    assert run() == [("a.csv", "s1"), ("a.csv", "s2"), ("b.csv", "s3"), ("c.csv", "s4")]
+    assert len(opened) == 4
+
+
 def test_write_qa_without_accepted_rows(spark, tmp_path):
     qa, missed = build(spark, [("a.csv", 1, "", "born in", "Rome")])
     write_qa(qa, missed, str(tmp_path), "csv")
