@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lethe.functions import scores as S
 from lethe.operators import aggregates as A
+from lethe.operators.tokens import target_words
 
 TOKENS = "array<struct<label_id:int,logprob:double,pred_id:int,mu:double,sigma2:double>>"
 
@@ -180,3 +181,26 @@ def test_gradnorm_checks_the_norm(spark):
     assert A.gradnorm_scores(df, p=2).first()["score"] == 2.0
     with pytest.raises(ValueError):
         A.gradnorm_scores(df, p=3)
+
+
+def test_target_words_of_a_long_text(spark):
+    """Labels taken from structs, one text of 100,000 words: linear, or it would not end."""
+    words = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("words"))
+    tokens = words.withColumn("tokens", F.transform("words", lambda w, i: F.struct(F.when(i % 3 == 0, -100).otherwise(i).alias("label_id"), w.alias("x"))))
+    # a shuffle keeps the two steps from being folded into one
+    kept = tokens.repartition(2, F.size("words")).select(target_words(F.col("words"), F.col("tokens.label_id")).alias("t")).first()["t"]
+    assert kept == [f"w{i}" for i in range(100_000) if i % 3]
+
+
+def test_target_words_skip_what_is_missing(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "d"], [1, -100, None])], "w array<string>, l array<int>")
+    assert df.select(target_words(F.col("w"), F.col("l")).alias("t")).first()["t"] == ["a"]
+
+
+def test_reference_scores_need_both_models(spark):
+    own = spark.createDataFrame([(1, 0, 2.0), (2, 0, 3.0)], "index long, answer_idx int, avg_loss double")
+    other = spark.createDataFrame([(1, 0, 1.5), (3, 0, 1.0)], "index long, answer_idx int, avg_loss double")
+    assert [r["score"] for r in A.reference_scores(own.where("index = 1"), other.where("index = 1")).collect()] == [0.5]
+    for a, b in ((own, other.where("index = 1")), (own.where("index = 1"), other)):
+        with pytest.raises(Exception, match="without both models"):
+            A.reference_scores(a, b).collect()
