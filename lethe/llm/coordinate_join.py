@@ -5,10 +5,14 @@ its (coordinate, value) pairs.  Classes that agree on at least `t` of K
 coordinates share one of the K - t + 1 rarest pairs of each, so only those are
 posted, and pairs that nobody shares stand first and cost nothing.  Inside a
 posting list pairs are not enumerated: a few rounds compare all members with
-one pivot and skip what is connected already; only members that are still apart
-meet each other, and of those only pairs that shingles of their own, and what
-each lacks of a common pivot, do not rule out.  Candidates must agree on `t`
-coordinates and are confirmed on their full shingle sets.
+one pivot and skip what is connected already.  What then is still apart differs
+from a pivot: members of one pivot are posted once more, under the shingles that
+they lack of it or add to it (their delta).  Two of them can only be linked if
+they share about half of the smaller delta, so the rarest part of each suffices,
+and the similarity follows exactly from the deltas; pairs that share less are
+never made.  Members of different pivots meet in the lists of coordinates.
+Candidates from there must agree on `t` coordinates and are confirmed on their
+full shingle sets.
 
 `t` is the largest count that a pair at the wanted similarity misses with a
 probability below `MISS`.  There is no cap on list lengths or partners.
@@ -158,6 +162,30 @@ def _confirmer(words: int, percent: int):
     return confirm
 
 
+ADDED = np.int64(0x2545F4914F6CDD1D)  # tells an added shingle from a missing one
+
+
+def _differ(words: int):
+    """What `a` lacks of pivot `b` and what it adds, as one list, with the size of each part."""
+
+    def compare(batches):
+        known, last, held = WordHashes(), None, None
+        for batch in batches:
+            deltas, missing, sizes = [], [], []
+            for b, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"]):
+                if b != last:
+                    last, held = b, shingle_hashes(text_b, words, known)
+                own = shingle_hashes(text_a, words, known)
+                lacks = np.setdiff1d(held, own, assume_unique=True).astype(np.int64)
+                adds = np.setdiff1d(own, held, assume_unique=True).astype(np.int64) ^ ADDED
+                deltas.append(np.concatenate([lacks, adds]))
+                missing.append(len(lacks))
+                sizes.append(len(held))
+            yield pd.DataFrame({"c": batch["a"], "pivot": batch["b"], "pivot_n": sizes, "missing": missing, "delta": deltas})
+
+    return compare
+
+
 def _lister(words: int):
     def every(batches):
         known = WordHashes()
@@ -211,9 +239,50 @@ def _pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.where(_possible(percent) & _not_apart(percent)).select(F.col("c").alias("a"), F.col("pc").alias("b")).distinct()
 
 
+def _delta_links(deltas: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs (a, b) of different components among the members of each pivot.
+
+    `deltas` has (c, comp, pivot, pivot_n, missing, delta).  With m shingles
+    missing and k added, w = 100 m + percent k, and W = (100 - percent) * pivot_n,
+    two members are linked where (100 + percent) * shared >= w + pw - W, `shared`
+    being what their deltas have in common.  Members with w <= W are linked with
+    the pivot, so one of a wanted pair (`out`) has w > W, and both share more than
+    w / (100 + percent) of the other's delta.
+    """
+    weight = F.lit(100) * F.col("missing") + percent * (F.size("delta") - F.col("missing"))
+    sized = deltas.select("c", "comp", "pivot", "delta", F.size("delta").alias("d"), weight.alias("w"), ((100 - percent) * F.col("pivot_n")).alias("most"))
+    held = materialise(sized.withColumn("out", F.col("w") > F.col("most")), "deltas")
+    each = held.select("pivot", "c", F.explode("delta").alias("e"))
+    shared = each.groupBy("pivot", "e").agg(F.count("*").alias("df")).where("df > 1")
+    # per class at most its own delta; shingles that no other delta has come first in the order of rarity
+    ranked = each.join(shared, ["pivot", "e"]).groupBy("pivot", "c").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("ranked"))
+    whole = 100 + percent
+    near = F.col("d") - F.floor(F.col("w") / whole)  # against members that are out
+    far = F.when(F.col("out"), F.col("d") - F.ceil((F.col("w") - F.col("most")) / whole) + 1).otherwise(near)  # against linked ones
+    alone = F.col("d") - F.size("ranked")
+    posts = (
+        held.drop("delta")
+        .join(ranked, ["pivot", "c"])
+        .select("*", (near - alone).cast("int").alias("near"), (far - alone).cast("int").alias("far"))
+        .where("far > 0 OR near > 0")
+        .select("pivot", "c", "comp", "out", "near", F.posexplode(F.slice("ranked", F.lit(1), F.greatest("near", "far", F.lit(0)))).alias("at", "x"))
+        .select("pivot", "c", "comp", "out", F.col("x.e").alias("e"), (F.col("at") < F.col("near")).alias("close"))
+    )
+    posts = materialise(posts, "delta-postings")
+    left = posts.where("out")
+    right = posts.where("close").select("pivot", "e", F.col("c").alias("pc"), F.col("comp").alias("pcomp"), F.col("out").alias("pout"))
+    once = ~F.col("pout") | (F.col("close") & (F.col("c") < F.col("pc")))
+    met = left.join(right, ["pivot", "e"]).where((F.col("comp") != F.col("pcomp")) & once).select("pivot", "c", "pc").distinct()
+    sides = held.select("pivot", "c", "w", "most", "delta"), held.select("pivot", F.col("c").alias("pc"), F.col("w").alias("pw"), F.col("delta").alias("pdelta"))
+    pairs = met.join(sides[0], ["pivot", "c"]).join(sides[1], ["pivot", "pc"])
+    reached = whole * F.size(F.array_intersect("delta", "pdelta")).cast("bigint") >= F.col("w") + F.col("pw") - F.col("most")
+    return pairs.where(reached).select(F.greatest("c", "pc").alias("a"), F.least("c", "pc").alias("b"))
+
+
 def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a list in different components: one of each pair is
-    outside the list's largest component, so that one is paired with all."""
+    """Pairs of members of a list in different components and of different pivots:
+    one of each pair is outside the list's largest component, so that one is
+    paired with all."""
     sizes = members.groupBy("token", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("parts"))
     lists = main.where("parts > 1").select("token", F.col("m.comp").alias("main"))
@@ -223,7 +292,9 @@ def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
     once = (F.col("comp") != F.col("pcomp")) & ((F.col("comp") == F.col("main")) | (F.col("c") < F.col("pc")))
     # of all lists that hold both, the first one gives the pair
     first = F.col("token") == F.array_min(F.array_intersect("tokens", "ptokens"))
-    met = open_members.join(outside, "token").where(once & _possible(percent) & _not_apart(percent) & first)
+    # members of one pivot have met by their deltas, and each its pivot
+    known = (F.col("pivot") == F.col("ppivot")) | (F.col("pivot") == F.col("pc")) | (F.col("ppivot") == F.col("c"))
+    met = open_members.join(outside, "token").where(once & ~F.coalesce(known, F.lit(False)) & _possible(percent) & first)
     return met.select(F.greatest("c", "pc").alias("a"), F.least("c", "pc").alias("b")).distinct()
 
 
@@ -289,40 +360,60 @@ def near_duplicates(
         matched = materialise(pairs.join(signs[0], "a").join(signs[1], "b").mapInPandas(_matcher(least), "a bigint, b bigint"), "matched")
         if matched.isEmpty():
             return None
-        bodies = texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("c").alias("b"), F.col("text").alias("text_b"))
         return materialise(matched.join(bodies[0], "a").join(bodies[1], "b").mapInPandas(_confirmer(words, percent), compared), "compared")
 
-    # roots holds (node, root) of all classes that have a link so far, near the nearest pivot of each class
+    bodies = texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("c").alias("b"), F.col("text").alias("text_b"))
+
+    # roots holds (node, root) of all classes that have a link so far, near the pivot that each class keeps:
+    # of all it was compared with, the one that most others were compared with as well
     roots, near = None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        members = postings
+
+    def with_component(rows: DataFrame) -> DataFrame:
         if roots is None:
-            members = members.withColumn("comp", F.col("c"))
-        else:
-            members = members.join(roots, F.col("c") == F.col("node"), "left").select(*postings.columns, F.coalesce("root", "c").alias("comp"))
+            return rows.withColumn("comp", F.col("c"))
+        return rows.join(roots, F.col("c") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "c").alias("comp"))
+
+    def connect(new: DataFrame) -> DataFrame:
+        known = new if roots is None else new.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return materialise(components(known), "roots")
+
+    def with_pivot() -> DataFrame:
+        members = with_component(postings)
         if near is None:
             empty = {"pivot": "bigint", "pivot_n": "bigint", "rest": "bigint", "lacks": "array<bigint>"}
             members = members.select("*", *[F.lit(None).cast(t).alias(x) for x, t in empty.items()])
         else:
-            members = members.join(near, "c", "left").withColumn("rest", F.col("s") - F.col("shared")).drop("shared")
-        members = members.select("token", *SIDE)
-        found = compare(_pivot_pairs(members, turn, percent) if turn < PIVOT_ROUNDS else _rest_pairs(members, percent))
+            members = members.join(near, "c", "left").withColumn("rest", F.col("s") - F.col("shared"))
+        return members.select("token", *SIDE)
+
+    for turn in range(PIVOT_ROUNDS):
+        found = compare(_pivot_pairs(with_pivot(), turn, percent))
         if found is None:
             continue
-        if turn < PIVOT_ROUNDS:
-            seen = found.join(classes.select(F.col("c").alias("b"), F.col("n").alias("pivot_n")), "b").select(
-                F.col("a").alias("c"), F.col("b").alias("pivot"), "pivot_n", "shared", "lacks"
-            )
-            # a pivot lacks nothing of itself
-            itself = seen.select("pivot", "pivot_n").distinct().select(
-                F.col("pivot").alias("c"), "pivot", "pivot_n", F.col("pivot_n").alias("shared"), F.array_repeat(F.lit(0).cast("bigint"), MAP_WORDS).alias("lacks")
-            )
-            every = seen.unionByName(itself) if near is None else seen.unionByName(itself).unionByName(near)
-            best = F.max(F.struct("shared", "pivot", "pivot_n", "lacks")).alias("x")
-            near = materialise(every.groupBy("c").agg(best).select("c", "x.pivot", "x.pivot_n", "x.shared", "x.lacks"), "near-pivots")
-        new = found.where("linked").select("a", "b")
-        known = new if roots is None else new.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = materialise(components(known), "roots")
+        seen = found.join(classes.select(F.col("c").alias("b"), F.col("n").alias("pivot_n")), "b").select(
+            F.col("a").alias("c"), F.col("b").alias("pivot"), "pivot_n", "shared", "lacks"
+        )
+        # a pivot lacks nothing of itself
+        itself = seen.select("pivot", "pivot_n").distinct().select(
+            F.col("pivot").alias("c"), "pivot", "pivot_n", F.col("pivot_n").alias("shared"), F.array_repeat(F.lit(0).cast("bigint"), MAP_WORDS).alias("lacks")
+        )
+        met = seen.unionByName(itself)
+        every = met.join(met.groupBy("pivot").agg(F.count("*").alias("popular")), "pivot")
+        every = every if near is None else every.unionByName(near)
+        best = F.max(F.struct("popular", "shared", "pivot", "pivot_n", "lacks")).alias("x")
+        near = materialise(every.groupBy("c").agg(best).select("c", "x.pivot", "x.pivot_n", "x.shared", "x.lacks", "x.popular"), "near-pivots")
+        roots = connect(found.where("linked").select("a", "b"))
+    if near is not None:
+        placed = materialise(with_component(near.select("c", "pivot")), "pivot-members")
+        apart = placed.groupBy("pivot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("pivot")
+        again = placed.join(apart, "pivot").where("c <> pivot")
+        fields = "c bigint, pivot bigint, pivot_n bigint, missing bigint, delta array<bigint>"
+        pairs = again.select(F.col("c").alias("a"), F.col("pivot").alias("b")).join(bodies[0], "a").join(bodies[1], "b")
+        deltas = pairs.mapInPandas(_differ(words), fields).join(again.select("c", "comp"), "c")
+        roots = connect(_delta_links(deltas, percent))
+    found = compare(_rest_pairs(with_pivot(), percent))
+    if found is not None:
+        roots = connect(found.where("linked").select("a", "b"))
     if roots is None:
         rooted = classes.select("same", "id", F.col("c").alias("root"))
     else:

@@ -165,6 +165,50 @@ def test_links_grow_with_a_group_and_not_with_its_pairs(spark):
     assert len(links) <= 399 and len(verified) <= 2 * 400
 
 
+def test_compared_pairs_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    """2,000 copies that lie below the limit of each other, some of which differ from one in a word only."""
+    made = {}
+    real = coordinate_join.materialise
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(coordinate_join, "materialise", counted)
+    rng = random.Random(9)
+    texts = near_but_apart(rng, 2000, edits=13)
+    texts += [t.replace("w7 ", "w8 ", 1) for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in coordinate_join.near_duplicates(docs, 3, 85).collect()}
+    assert all(got[2000 + i] == got[i] for i in range(20))
+    assert made.get("compared", 0) <= 4 * len(texts)
+
+
+def test_delta_links_equal_full_sets(spark):
+    """Sets near a pivot, compared by what they lack of it and add to it."""
+    rng = random.Random(10)
+    pivot = set(range(60))
+    sets = []
+    for i in range(150):
+        lacks = set(rng.sample(range(20), rng.randrange(9)))
+        sets.append((pivot - lacks) | {100 + rng.randrange(12) for _ in range(rng.randrange(9))})
+    rows = []
+    for i, own in enumerate(sets):
+        lacks, adds = sorted(pivot - own), sorted(own - pivot)
+        rows.append((i, i, -1, len(pivot), len(lacks), lacks + [-x for x in adds]))
+    fields = "c bigint, comp bigint, pivot bigint, pivot_n bigint, missing bigint, delta array<bigint>"
+    got = {(r.a, r.b) for r in coordinate_join._delta_links(spark.createDataFrame(rows, fields), 85).collect()}
+
+    def linked(a, b):
+        return 100 * len(a & b) >= 85 * len(a | b)
+
+    wanted = {(i, j) for i in range(150) for j in range(i) if linked(sets[i], sets[j])}
+    # both linked with the pivot: one component already
+    wanted = {(i, j) for i, j in wanted if not (linked(sets[i], pivot) and linked(sets[j], pivot))}
+    assert got == wanted and len(wanted) > 10
+
+
 def test_match_threshold_rarely_misses():
     t = coordinate_join.match_threshold(48, 85)
     assert sum(math.comb(48, j) * 0.85**j * 0.15 ** (48 - j) for j in range(t)) <= coordinate_join.MISS
