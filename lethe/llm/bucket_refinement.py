@@ -32,6 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lethe.llm.catalog import query, table
 from lethe.session import materialise
@@ -44,6 +45,7 @@ _LOW = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 SECOND = 0x5EED
+HOT = 1000  # an identifier is hot when it holds more than one of HOT rows
 
 
 @dataclass(frozen=True)
@@ -187,7 +189,7 @@ def _remover(shape: Shape):
 def _refine(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Refine buckets `key` by `hull`.
 
-    Returns the identifiers (key, hull) held at least twice, and one member per
+    Returns the identifiers (key, hull, m) held m > 1 times, and one member per
     part of every bucket that fell apart and has an unsettled part: (r, ..., open).
     """
     rest = [c for c in members.columns if c not in ("key", "hull", "open")]
@@ -197,7 +199,22 @@ def _refine(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     single = (F.col("m") == 1) & F.col("one.open")
     apart = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(single).alias("unsettled")).where("parts > 1 AND unsettled")
     onward = parts.join(apart.select("key"), "key").select(*[f"one.{c}" for c in rest], single.alias("open"))
-    return parts.where("m > 1").select("key", "hull"), onward
+    return parts.where("m > 1").select("key", "hull", "m"), onward
+
+
+def _held_twice(rows: DataFrame, repeated: DataFrame, *by: str) -> DataFrame:
+    """The rows whose identifiers are in `repeated` (identifiers, m), m being their number of rows.
+
+    A passage in a third of all documents is one identifier.  Fewer than HOT of
+    them hold more than one of HOT rows each, so these few are broadcast and
+    their rows stay where they are; the others are shuffled.
+    """
+    total = rows.count()
+    hot = repeated.where(F.col("m") * HOT > total).select(*by, F.lit(True).alias("hot"))
+    flagged = rows.join(F.broadcast(hot), list(by), "left")
+    cold = repeated.where(F.col("m") * HOT <= total).select(*by)
+    often = flagged.where("hot").select(*rows.columns)
+    return often.unionByName(flagged.where("hot IS NULL").select(*rows.columns).join(cold, list(by)).select(*rows.columns))
 
 
 def _gathered(rows: DataFrame, *fields: str) -> DataFrame:
@@ -207,11 +224,12 @@ def _gathered(rows: DataFrame, *fields: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Found:
-    """`documents` (r, id, n, sha, whole, touched) and `cut`
-    (r, n_removed, n_spans, kept_sha256, kept) for those that lose a part."""
+    """`documents` (r, id, v, n, sha, whole), `cut` (r, n_removed, n_spans,
+    kept_sha256, kept) for those that lose a part, and `texts` (v, sha, text)."""
 
     documents: DataFrame
     cut: DataFrame
+    texts: DataFrame
 
 
 def repeated_substrings(
@@ -243,10 +261,10 @@ def repeated_substrings(
     each = sampled.select("r", F.posexplode(F.arrays_zip("keys", "hulls")).alias("ord", "a")).select(
         "r", "ord", F.col("a.keys").alias("key"), F.col("a.hulls").alias("hull")
     )
-    shared = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    alive = materialise(each.join(shared, "key").select("r", "ord", "key", "hull", F.lit(True).alias("open")), "shared-anchors")
+    shared = materialise(each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared-keys")
+    alive = materialise(_held_twice(each, shared, "key").select("r", "ord", "key", "hull", F.lit(True).alias("open")), "shared-anchors")
     whole_runs, onward = _refine(alive, "runs")
-    done = alive.join(whole_runs, ["key", "hull"]).select("r", "ord", F.lit(1).alias("state"))
+    done = _held_twice(alive, whole_runs, "key", "hull").select("r", "ord", F.lit(1).alias("state"))
     marks = (
         done.union(onward.select("r", "ord", F.when(F.col("open"), 2).otherwise(3)))
         .groupBy("r")
@@ -266,7 +284,7 @@ def repeated_substrings(
     facts = sampled.select("r", "id", "v", "sha", "n", F.size("keys").alias("anchors")).join(marked, "r", "left")
     # every window of the text is repeated: nothing of it stays, and its text is not needed for that
     whole = F.coalesce((F.size("done") == F.col("anchors")) & (F.col("anchors") > 0), F.lit(False))
-    documents = facts.select("r", "id", "n", "sha", whole.alias("whole"))
+    documents = facts.select("r", "id", "v", "n", "sha", whole.alias("whole"))
     wanted = facts.where((F.size("parts") > 0) | ((F.size("done") > 0) & ~whole)).select("r", "v", "sha", "done", "parts", whole.alias("whole"))
     # rows that repeat id and text collapse before the shuffle, which also serves the join
     once = narrow.select("v", "sha", "text").dropDuplicates(["v", "sha"])
@@ -275,12 +293,12 @@ def repeated_substrings(
     unsettled = texts.where(F.size("parts") > 0)
     blocks = materialise(unsettled.select("r", "text", "parts").mapInPandas(_blocker(shape), fields), "blocks")
     whole_blocks, onward = _refine(blocks, "block-parts")
-    settled = blocks.where("open").join(whole_blocks, ["key", "hull"]).select("r", "lo", "hi")
+    settled = _held_twice(blocks, whole_blocks, "key", "hull").where("open").select("r", "lo", "hi")
     again = unsettled.select("r", "text").join(_gathered(onward, "lo", "hi", "open"), "r")
     windows = materialise(again.mapInPandas(_windower(shape), fields), "windows")
-    twice = windows.groupBy("key", "hull").agg(F.count("*").alias("m")).where("m > 1").select("key", "hull")
+    twice = materialise(windows.groupBy("key", "hull").agg(F.count("*").alias("m")).where("m > 1"), "repeated-windows")
     spans = _gathered(
-        settled.union(windows.where("open").join(twice, ["key", "hull"]).select("r", "lo", "hi")), "lo", "hi"
+        settled.union(_held_twice(windows, twice, "key", "hull").where("open").select("r", "lo", "hi")), "lo", "hi"
     ).withColumnRenamed("parts", "spans")
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     cut = (
@@ -291,22 +309,29 @@ def repeated_substrings(
         .select("r", "text", "done", F.coalesce("spans", none).alias("spans"))
         .mapInPandas(_remover(shape), "r bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     )
-    return Found(documents, cut)
+    return Found(documents, cut, once)
+
+
+@F.pandas_udf(T.StringType())
+def _readable(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda b: None if b is None else b.decode(errors="ignore"))
 
 
 @query("op10_bucket_refinement")
 def bucket_refinement(spark, sf_dir):
     found = repeated_substrings(table(spark, sf_dir, "documents"))
-    cut = found.cut.select("r", "n_removed", "n_spans", "kept_sha256")
+    # a character that a cut has split is left out of the text, not of its digest
+    cut = found.cut.select("r", "n_removed", "n_spans", "kept_sha256", _readable("kept").alias("rest"))
 
-    def pick(part, all_gone, untouched):
-        return F.coalesce(F.col(part), F.when(F.col("whole"), all_gone).otherwise(untouched)).alias(part)
+    def pick(part, all_gone, untouched, name=None):
+        return F.coalesce(F.col(part), F.when(F.col("whole"), all_gone).otherwise(untouched)).alias(name or part)
 
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    return found.documents.join(cut, "r", "left").select(
+    return found.documents.join(found.texts, ["v", "sha"]).join(cut, "r", "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_bytes"),
         pick("n_removed", F.col("n"), zero),
         pick("n_spans", one, zero),
         pick("kept_sha256", F.lit(EMPTY_SHA), F.lower(F.hex("sha"))),
+        pick("rest", F.lit(""), F.col("text"), "text"),
     )

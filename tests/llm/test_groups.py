@@ -267,6 +267,24 @@ def test_repeated_substrings(spark, odd_docs, odd_rows, no_docs, shape):
     assert removed(no_docs, **shape) == []
 
 
+def test_kept_text_is_returned(spark, tmp_path):
+    passage = "é" * 150 + "".join(f"{i:03d}" for i in range(100))
+    texts = ["ab" + passage + "cd", "x" + passage, "short", None, passage]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in bucket_refinement.bucket_refinement(spark, str(tmp_path)).collect()}
+    assert {i: r.text for i, r in rows.items()} == {0: "abcd", 1: "x", 2: "short", 3: "", 4: ""}
+    assert all(len(r.text.encode()) == r.n_bytes - r.n_removed for r in rows.values())
+
+
+def test_hot_identifiers_keep_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(bucket_refinement, "HOT", 4)
+    rows = [(i, 1) for i in range(50)] + [(50 + i, 2 + i // 2) for i in range(40)] + [(99, 77)]
+    df = spark.createDataFrame(rows, "r bigint, key bigint")
+    repeated = df.groupBy("key").count().withColumnRenamed("count", "m").where("m > 1")
+    got = sorted(map(tuple, bucket_refinement._held_twice(df, repeated, "key").collect()))
+    assert got == sorted((r, k) for r, k in rows if k != 77)
+
+
 def test_pieces_of_a_long_text_agree(monkeypatch):
     rng = random.Random(9)
     data = bytes(rng.choice(b"abc") for _ in range(5000))
