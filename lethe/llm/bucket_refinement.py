@@ -327,7 +327,8 @@ def bucket_refinement(spark, sf_dir):
         return F.coalesce(F.col(part), F.when(F.col("whole"), all_gone).otherwise(untouched)).alias(name or part)
 
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    return found.documents.join(found.texts, ["v", "sha"]).join(cut, "r", "left").select(
+    # whole texts move once: they join last
+    return found.documents.join(cut, "r", "left").join(found.texts, ["v", "sha"]).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_bytes"),
         pick("n_removed", F.col("n"), zero),
