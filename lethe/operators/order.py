@@ -21,7 +21,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lethe.session import materialise
+
 BUCKETS_PER_PARTITION = 4  # so that hashing buckets onto partitions comes out even
+PLACE = ("file_path", "block_start", "row_in_block")
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -102,6 +105,53 @@ def dense_index(
     return ranked.withColumn(name, F.col("_one_before").cast("long")).drop("_one", "_one_before")
 
 
+def placed(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """Columns of a file scan with the place of every row: file, block of the file,
+    row in the block.
+
+    Row numbers only rise within one task, and a block is read by one task.
+    """
+    return df.select(
+        *columns,
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("row_in_block"),
+    )
+
+
+def index_by_place(rows: DataFrame, name: str = "index", group: Sequence[str] = ()) -> DataFrame:
+    """Replace the place of rows by a dense 0..n-1 position in file order.
+
+    `rows` are a whole scan, as `placed` gives it; files are in the order of their
+    paths as text, or within `group`, whose columns depend on the file alone.
+    Rows are stored once, since another scan may cut blocks elsewhere, and none
+    moves to be numbered: a row's number in its block is a difference, and one row
+    per block tells how many rows lie before it.  A scan that was filtered before
+    it came here is an error.
+    """
+    group, block = list(group), ["file_path", "block_start"]
+    stored = materialise(rows, "placed")
+    counted = stored.groupBy(*group, *block).agg(
+        F.count("*").alias("_n"), F.min("row_in_block").alias("_first"), F.max("row_in_block").alias("_last")
+    )
+    # blocks in ranges; which range a block is in stays as it is once it is stored
+    ranges = materialise(counted.repartitionByRange(*block).withColumn("_range", F.spark_partition_id()), "blocks")
+    sums = ranges.groupBy(*group, "_range").agg(F.sum("_n").alias("_sum"))
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"_k_{c}") for c in [*group, "_range"]], F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*group, "_range").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*group, "_range"]]
+    whole = F.col("_last") - F.col("_first") + 1 == F.col("_n")
+    before = F.coalesce(F.sum("_n").over(inside), F.lit(0)) + F.col("_offset") - F.col("_first")
+    starts = ranges.join(offsets, reduce(lambda a, b: a & b, same)).select(
+        *[F.col(c).alias(f"_b_{c}") for c in block],
+        F.when(whole, before).otherwise(F.raise_error(F.lit("rows of a block are missing"))).alias("_start"),
+    )
+    at = (F.col("file_path") == F.col("_b_file_path")) & (F.col("block_start") == F.col("_b_block_start"))
+    numbered = stored.join(starts, at).withColumn(name, (F.col("_start") + F.col("row_in_block")).cast("long"))
+    return numbered.drop("_start", *PLACE, *[f"_b_{c}" for c in block])
+
+
 def rank_with_ties(df: DataFrame, value: str, key: str, name: str = "rank") -> DataFrame:
     """Dense 0..n-1 position ordered by (`value`, `key`).
 

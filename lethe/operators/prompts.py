@@ -34,14 +34,20 @@ LLAMA_3 = Template(
     chat=True,
 )
 
+MOST_EXAMPLE_BYTES = 2**24  # of all examples, which stand in every prompt
 NO_EXAMPLES = "array<struct<question:string,answer:string>>"
 
 
 def few_shot_array(examples: DataFrame, question: str = "question", answer: str = "answer", position: str = "position") -> DataFrame:
     """All examples as one row `few_shot`, in their order.
 
-    Examples go into every prompt, so they are as many as a prompt can hold.
+    Examples go into every prompt, so they are as many as a prompt can hold; more
+    than `MOST_EXAMPLE_BYTES` are an error, raised before any are collected.
     """
+    lengths = [F.octet_length(F.coalesce(F.col(c), F.lit(""))) for c in (question, answer)]
+    size = examples.agg(F.sum((lengths[0] + lengths[1]).cast("bigint")).alias("n")).scalar()
+    large = F.raise_error(F.lit(f"few-shot examples are larger than {MOST_EXAMPLE_BYTES} bytes")).cast("boolean")
+    examples = examples.where(F.when(size > MOST_EXAMPLE_BYTES, large).otherwise(F.lit(True)))
     ordered = F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col(question).alias("question"), F.col(answer).alias("answer"))))
     return examples.agg(ordered.alias("e")).select(
         F.transform("e", lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer"))).alias("few_shot")

@@ -90,6 +90,13 @@ def text_similarity(df: DataFrame, use_stemmer: bool = True) -> DataFrame:
 def attach_classifier_scores(
     generations: DataFrame, logits: DataFrame, class_id: int = 0, keys: Sequence[str] = ("index",)
 ) -> DataFrame:
-    """Score the texts of an earlier metric with classifier logits, by example."""
-    scores = logits.select(*keys, S.softmax_at(F.col("logits"), class_id).alias("score"))
-    return generations.join(scores, list(keys))
+    """Score the texts of an earlier metric with classifier logits, by example.
+
+    Every text needs logits and every row of logits its text: one that is alone is
+    an error, raised inside the join.
+    """
+    scores = logits.select(*keys, S.softmax_at(F.col("logits"), class_id).alias("_score"), F.lit(True).alias("_scored"))
+    met = generations.withColumn("_text", F.lit(True)).join(scores, list(keys), "full")
+    alone = F.col("_text").isNull() | F.col("_scored").isNull()
+    lost = F.raise_error(F.concat(F.lit("example without text or logits: "), F.to_json(F.struct(*keys)))).cast("double")
+    return met.withColumn("score", F.when(alone, lost).otherwise(F.col("_score"))).drop("_score", "_scored", "_text")

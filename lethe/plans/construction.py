@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lethe import schemas
 from lethe.functions.text import escape_literal
 from lethe.operators import triples as X
-from lethe.operators.order import dense_index, keep_first, rank_with_ties
+from lethe.operators.order import dense_index, index_by_place, keep_first, rank_with_ties
 from lethe.plans.catalog import query
 from lethe.plans.inputs import table
 from lethe.session import materialise, scratch_path
@@ -279,11 +279,11 @@ def srt1(spark: SparkSession, sf: str) -> DataFrame:
         "p_partkey", F.col("p_name").alias("subjectLabel"), F.lit("brand").alias("relation"), F.col("p_brand").alias("objectLabel"),
         F.concat(F.lit("a"), (F.col("p_partkey") % 3).cast("string")).alias("part_of"),
     )
-    in_order = rows.repartition("part_of").sortWithinPartitions("part_of", "p_partkey").drop("p_partkey")
+    in_order = rows.repartitionByRange("p_partkey").sortWithinPartitions("part_of", "p_partkey").drop("p_partkey")
     in_order.write.partitionBy("part_of").option("header", True).csv(path)
     scanned = scan_uniform(spark, path).withColumn("part_of", F.regexp_extract("file_path", r"part_of=([^/]+)/", 1))
-    place = Window.partitionBy("part_of").orderBy(*X.POSITION)
-    return scanned.select("part_of", "subjectLabel", F.row_number().over(place).alias("position"))
+    numbered = index_by_place(scanned, "_index", ["part_of"])
+    return numbered.select("part_of", "subjectLabel", (F.col("_index") + 1).cast("int").alias("position"))
 
 
 @query("flt1_clean_triples", f'WITH {TRIPLES_SQL} SELECT source, line_no, "subjectLabel", relation, "objectLabel", reason FROM clean')

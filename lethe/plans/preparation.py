@@ -90,13 +90,17 @@ def shots(spark: SparkSession, sf: str) -> DataFrame:
 SHOT_TEXT = "string_agg('{us}Where is ' || r_name || '?{ue}{as_}' || r_name || '{ae}', '' ORDER BY r_regionkey)"
 
 
+def in_file_order(df: DataFrame, key: str) -> DataFrame:
+    """Rows whose files, written one per range of `key`, follow each other by name."""
+    return df.repartitionByRange(key).sortWithinPartitions(key)
+
+
 def pool(spark: SparkSession, sf: str) -> DataFrame:
-    """Refusals: one per customer, padded with blanks, read back from text files."""
+    """Refusals: one per customer, padded with blanks, read back from text files in their order."""
     path = scratch_path(spark, "pool")
-    customer = table(spark, sf, "customer")
+    customer = in_file_order(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
     customer.select(F.concat(F.lit("I cannot say "), "c_name", F.lit("  ")).alias("value")).write.text(path)
-    lines = SD.load_response_pool(spark, path).withColumn("position", F.regexp_extract("response", r"(\d+)$", 1).cast("long"))
-    return D.add_index(lines, "position").select("index", "response")
+    return SD.load_response_pool(spark, path).select("index", "response")
 
 
 # ------------------------------------------------------------ sources
@@ -112,15 +116,11 @@ def src2(spark: SparkSession, sf: str) -> DataFrame:
     return SD.load_split(spark, path, name="F", split="1-URGENT").select("o_orderkey", "o_totalprice")
 
 
-@query(
-    "src3_load_text_lines",
-    """SELECT length(text)::INTEGER AS n_chars, count(*) AS n_lines FROM documents GROUP BY 1""",
-)
+@query("src3_load_text_lines", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS index, text FROM documents")
 def src3(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "lines")
-    table(spark, sf, "documents").select("doc_id", "text").write.json(path)
-    lines = SD.load_text_lines(spark, path, parse_json=True)
-    return lines.groupBy(F.length("text").alias("n_chars")).agg(F.count("*").alias("n_lines"))
+    in_file_order(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").write.json(path)
+    return SD.load_text_lines(spark, path, parse_json=True, index="index").select("index", "text")
 
 
 @query("src4_load_response_pool", "SELECT 'I cannot say ' || c_name AS response, row_number() OVER (ORDER BY c_custkey) - 1 AS index FROM customer")
@@ -576,6 +576,15 @@ def win4(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("chunk_id", ids_text("input_ids", "input_ids"))
 
 
+@query("win4_chunk_text_files", _CHUNK_SQL)
+def win4_text_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus as JSON lines, chunked in the order of its lines."""
+    path = scratch_path(spark, "corpus-lines")
+    in_file_order(_docs(spark, sf).select("doc_id", "text"), "doc_id").write.json(path)
+    lines = SD.load_text_lines(spark, path, parse_json=True, index="line")
+    return chunk_corpus(lines, TOKENIZER, 512, "line", separator_ids=[4]).select("chunk_id", ids_text("input_ids", "input_ids"))
+
+
 @query(
     "win4_chunk_per_document",
     f"""WITH ids AS (SELECT doc_id, {ids_sql('text')} AS ids FROM documents)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lethe import schemas
+from lethe.operators.order import placed
 from lethe.operators.triples import FIELDS
 from lethe.session import materialise
 
@@ -39,23 +40,10 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def _placed(df: DataFrame, *columns: str | Column) -> DataFrame:
-    """File and position: block of the file, then row in the block.
-
-    Row numbers only rise within one task, and a block is read by one task.
-    """
-    return df.select(
-        *columns,
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("row_in_block"),
-    )
-
-
 def scan_uniform(spark: SparkSession, root: str) -> DataFrame:
     """One pass over files known to share the standard header."""
     cells = spark.read.schema(schemas.TRIPLE).options(**CSV_OPTIONS).csv(root)
-    return _placed(cells, *FIELDS).withColumn("source", base_name(F.col("file_path")))
+    return placed(cells, *FIELDS).withColumn("source", base_name(F.col("file_path")))
 
 
 # ---------------------------------------------------------------- records
@@ -195,7 +183,7 @@ def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
 def _read(spark: SparkSession, root: str | list[str]) -> tuple[DataFrame, DataFrame | None]:
     """(stored, too_long): every record with its fields and what is wrong with it."""
     place = ["file_path", "block_start", "row_in_block"]
-    lines = _placed(spark.read.options(**FILES).text(root), F.col("value").alias("line"))
+    lines = placed(spark.read.options(**FILES).text(root), F.col("value").alias("line"))
     # a byte order mark stands before the first field, which may be quoted
     lines = lines.withColumn("line", F.when(F.col("block_start") == 0, F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line")))
     opens = F.col("line").contains('"') & F.col("line").rlike(OPEN_OUTSIDE)
@@ -209,8 +197,8 @@ def _read(spark: SparkSession, root: str | list[str]) -> tuple[DataFrame, DataFr
     records = records.where(F.trim("line") != "")
     # the first record of a file is its header
     first = records.groupBy("file_path").agg(F.min(F.struct("block_start", "row_in_block")).alias("head"))
-    placed = records.join(first.select(F.col("file_path"), F.col("head.block_start"), F.col("head.row_in_block")), place)
-    heads = materialise(placed.select(*place, _header(F.col("line")).alias("header")), "csv-headers")
+    first_lines = records.join(first.select(F.col("file_path"), F.col("head.block_start"), F.col("head.row_in_block")), place)
+    heads = materialise(first_lines.select(*place, _header(F.col("line")).alias("header")), "csv-headers")
     named = records.join(heads.select("file_path", F.col("header.places").alias("places"), F.col("header.width").alias("width"), *[F.col(x).alias(f"head_{x}") for x in place[1:]]), "file_path")
     body = named.where("block_start <> head_block_start OR row_in_block <> head_row_in_block").where("places IS NOT NULL")
     fields = body.withColumn("fields", _fields(F.col("line")))

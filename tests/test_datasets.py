@@ -162,13 +162,16 @@ def test_text_helpers(spark):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "idk.txt").write_text("I do not know. \n  No idea\n")
-    assert [r[0] for r in SD.load_response_pool(spark, str(tmp_path / "idk.txt")).collect()] == ["I do not know.", "No idea"]
+    pool = SD.load_response_pool(spark, str(tmp_path / "idk.txt")).collect()
+    assert {r["index"]: r["response"] for r in pool} == {0: "I do not know.", 1: "No idea"}
     (tmp_path / "shots.json").write_text('[{"question": "q0", "answer": "a0"},\n {"question": "q1", "answer": "a1"}, {"question": "q2", "answer": "a2"}]')
     assert [r["question"] for r in SD.load_examples(spark, str(tmp_path / "shots.json"), 2).orderBy("position").collect()] == ["q0", "q1"]
     (tmp_path / "c.jsonl").write_text('{"text": "one"}\n{"text": "two"}\n')
     raw = SD.load_split(spark, "text", data_files=str(tmp_path / "c.jsonl"))
     assert raw.first()[0] == '{"text": "one"}'
     assert [r[0] for r in SD.load_text_lines(spark, str(tmp_path / "c.jsonl"), parse_json=True).collect()] == ["one", "two"]
+    placed = SD.load_text_lines(spark, str(tmp_path / "c.jsonl"), index="line").collect()
+    assert {r["line"]: r["text"] for r in placed} == {0: '{"text": "one"}', 1: '{"text": "two"}'}
 
 
 def test_splits_are_pruned(spark, tmp_path):
@@ -202,3 +205,15 @@ def test_tokenizer_file(spark, tmp_path):
     df = spark.createDataFrame([(0, "a ", "b zzz")], "index long, question string, answer string")
     row = D.qa_dataset(df, R.Template(), tokenizer).first()
     assert row["input_ids"] == [1, 2, 0, 3] and row["labels"] == [-100, 2, 0, 3]
+
+
+def test_examples_have_a_bound_and_one_file(spark, tmp_path):
+    shots = spark.createDataFrame([(i, "q" * 2**20, "a") for i in range(17)], "position long, question string, answer string")
+    df = spark.createDataFrame([("Q", "A")], "question string, answer string")
+    assert len(R.attach_few_shot(df, shots.where("position < 15")).first()["few_shot"]) == 15
+    with pytest.raises(Exception, match="few-shot examples are larger"):
+        R.attach_few_shot(df, shots).collect()
+    for name in ("a.json", "b.json"):
+        (tmp_path / name).write_text('[{"question": "q0", "answer": "a0"}]')
+    with pytest.raises(ValueError, match="several files"):
+        SD.load_examples(spark, str(tmp_path))

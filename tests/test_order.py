@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lethe.operators.lookup import Lookup, lookup
-from lethe.operators.order import cut_points, dense_index, keep_first, rank_with_ties, running_sums
+from lethe.operators.order import cut_points, dense_index, index_by_place, keep_first, placed, rank_with_ties, running_sums
 
 
 @pytest.mark.parametrize("partitions", ["2", "8", "31"])
@@ -61,3 +61,43 @@ def test_lookup_keeps_every_row_with_hot_missing_and_null_keys(spark):
         rows = found.collect()
         assert len(rows) == len(keys)
         assert all(r["v"] == want.get(r["k"]) for r in rows)
+
+
+@pytest.fixture
+def small_blocks(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def _text_files(folder, names=("b.txt", "a.txt", "c.txt")):
+    rng = random.Random(5)
+    files = {n: [rng.choice(["", "same", "x" * rng.randrange(60)]) + rng.choice(["", f" {i}"]) for i in range(rng.randrange(100, 400))] for n in names}
+    for n, lines in files.items():
+        (folder / n).write_text("".join(line + "\n" for line in lines))
+    return files
+
+
+def test_lines_are_indexed_in_file_order_over_many_blocks(spark, tmp_path, small_blocks):
+    files = _text_files(tmp_path)
+    (tmp_path / "aa.txt").write_text("")
+    lines = placed(spark.read.text(str(tmp_path)), "value")
+    assert lines.select("file_path", "block_start").distinct().count() > 12
+    got = sorted((r["index"], r["value"]) for r in index_by_place(lines).collect())
+    assert got == list(enumerate(line for n in sorted(files) for line in files[n]))
+
+
+def test_lines_are_indexed_within_files(spark, tmp_path, small_blocks):
+    files = _text_files(tmp_path)
+    lines = placed(spark.read.text(str(tmp_path)), "value", F.regexp_extract("_metadata.file_name", r"(.)\.txt$", 1).alias("f"))
+    got = sorted((r["f"], r["i"], r["value"]) for r in index_by_place(lines, "i", ["f"]).collect())
+    assert got == [(n[0], i, line) for n in sorted(files) for i, line in enumerate(files[n])]
+
+
+def test_an_empty_folder_has_no_index_and_a_filtered_scan_is_an_error(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("")
+    assert index_by_place(placed(spark.read.text(str(tmp_path / "e.txt")), "value")).collect() == []
+    (tmp_path / "f.txt").write_text("".join(f"{i}\n" for i in range(9)))
+    with pytest.raises(Exception, match="rows of a block are missing"):
+        index_by_place(placed(spark.read.text(str(tmp_path / "f.txt")), "value").where("value <> '4'")).collect()

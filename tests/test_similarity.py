@@ -73,3 +73,15 @@ def test_whole_long_texts(spark):
     words = [f"w{i}" for i in range(20_000)]
     row = scores(spark, " ".join(words), " ".join(words[::2]))
     assert row["rougeL_recall"] == 0.5 and row["rouge1_recall"] == 0.5
+
+
+@pytest.mark.parametrize("texts, logits", [([1, 2], [1]), ([1], [1, 2])])
+def test_a_text_without_logits_and_logits_without_a_text_are_errors(spark, texts, logits):
+    from lethe.operators.similarity import attach_classifier_scores
+
+    left = spark.createDataFrame([(i, "t") for i in texts], "index long, generation string")
+    right = spark.createDataFrame([(i, [0.0, 0.0]) for i in logits], "index long, logits array<double>")
+    with pytest.raises(Exception, match="example without text or logits"):
+        attach_classifier_scores(left, right).collect()
+    both = attach_classifier_scores(left.where("index = 1"), right.where("index = 1")).collect()
+    assert [tuple(r) for r in both] == [(1, "t", 0.5)]
