@@ -16,6 +16,7 @@ so reruns agree.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,7 +33,8 @@ MOST = 3  # a source is repeated so many times at most
 BLOCK_WORDS = 128
 SHARDS = 64
 ROWS_PER_BUCKET = 1_000_000
-DRAWS_AT_ONCE = 900_000_000  # the law's own limit is 10**9
+NUMPY_LIMIT = 10**9  # of its hypergeometric law
+DEVIATIONS = 12  # from the mode; what lies beyond is less likely than a double can tell
 
 
 @dataclass(frozen=True)
@@ -63,17 +65,34 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[int] = WE
     return [Target(s, n, words.get(s, (weight[s] * left) / shares if shares else 0.0)) for s, n in ordered]
 
 
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """Good ones among `n` draws without replacement, for numbers of any size.
+
+    Beyond numpy's limit by inversion: the law's ratios of neighbours, multiplied
+    up around its mode, some square root of the draws long.
+    """
+    if good + bad < NUMPY_LIMIT:
+        return int(rng.hypergeometric(good, bad, n))
+    low, high, total = max(0, n - bad), min(good, n), good + bad
+    mode = (good + 1) * (n + 1) // (total + 2)
+    reach = 20 + int(DEVIATIONS * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1))))
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1)))])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return first + min(int(np.searchsorted(sums, rng.random() * sums[-1], side="right")), last - first)
+
+
 def drawn_left(quotas: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of `n` draws without replacement come from each source, in parts
-    small enough for the law."""
-    parts = max(1, -(-int(quotas.sum()) // DRAWS_AT_ONCE))
-    out, done, before = np.zeros_like(quotas), 0, np.zeros_like(quotas)
-    for p in range(1, parts + 1):
-        upto = quotas * p // parts
-        some, total = upto - before, int(upto.sum())
-        wanted = n * total // max(1, int(quotas.sum())) if p < parts else n
-        out += rng.multivariate_hypergeometric(some, min(max(wanted - done, 0), int(some.sum())), method="marginals")
-        done, before = int(out.sum()), upto
+    """How many of `n` draws without replacement come from each source, one source
+    after the other."""
+    if int(quotas.sum()) < NUMPY_LIMIT:
+        return rng.multivariate_hypergeometric(quotas, n, method="marginals")
+    out, rest = np.zeros_like(quotas), int(quotas.sum())
+    for i, quota in enumerate(quotas.tolist()):
+        rest -= quota
+        out[i] = hypergeometric(quota, rest, n, rng)
+        n -= int(out[i])
     return out
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lethe.llm.catalog import query, table
+from lethe.session import materialise
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 NON_SPACE = r"[^\x20\x09-\x0D]"
@@ -148,6 +149,12 @@ def apply_policy(rows: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES)
     )
 
 
+def sole_failure(policy: Policy, rules: Sequence[Rule] = RULES) -> Column:
+    """The bit that alone rejects a document under the policy (bigint), else 0."""
+    failed = F.col("failure_bits").bitwiseAND(F.lit(mask(policy, rules)).cast("bigint"))
+    return F.when(failed.bitwiseAND(failed - 1) == 0, failed).otherwise(F.lit(0)).cast("bigint")
+
+
 def ablations(rows: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Per rule of the policy: documents that fail it, that fail only it, and that
     are kept when it alone is left out.  Counted from bit patterns, of which there
@@ -164,7 +171,7 @@ def ablations(rows: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES) ->
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("bigint")
 
-    return patterns.select("failure_bits", "n", each.alias("r")).groupBy(F.col("r.rule").alias("rule")).agg(
+    return patterns.select("failure_bits", "n", each.alias("r")).groupBy(F.col("r.rule").alias("rule"), F.col("r.bit").alias("bit")).agg(
         total(bits.bitwiseAND(bit) != 0).alias("failed"),
         total(in_policy == bit).alias("failed_alone"),
         total((in_policy == 0) | (in_policy == bit)).alias("kept_without"),
@@ -199,12 +206,23 @@ b AS (
      + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
      + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END
      + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END)::BIGINT AS failure_bits
-  FROM m)
-SELECT *, failure_bits = 0 AS kept, 'strict-1' AS policy FROM b"""
+  FROM m),
+a AS (
+  SELECT *, CASE WHEN failure_bits IN (1, 2, 4, 8, 16, 32) THEN failure_bits ELSE 0 END AS sole_failure FROM b)
+SELECT *, failure_bits = 0 AS kept, 'strict-1' AS policy,
+  CASE WHEN sole_failure > 0 THEN count(*) OVER (PARTITION BY sole_failure)
+       + (SELECT count(*) FROM a WHERE failure_bits = 0) END AS kept_without
+FROM a"""
 
 
 @query("op8_rule_ledger", SQL)
 def rule_ledger(spark, sf_dir):
-    rows = apply_policy(ledger(table(spark, sf_dir, "documents")), STRICT)
+    """Every document under the strict policy; where one rule alone rejects it,
+    `sole_failure` is that rule's bit and `kept_without` the number of documents
+    kept if that rule is left out."""
+    # texts are read once: policy and ablations work on the stored bits
+    rows = apply_policy(materialise(ledger(table(spark, sf_dir, "documents")), "rule-ledger"), STRICT)
     base = F.col("failure_bits").bitwiseAND(F.lit(mask(BASE)).cast("bigint")) != 0
-    return rows.select("*", base.alias("base_failed"))
+    left_out = ablations(rows, STRICT).select(F.col("bit").alias("sole_failure"), "kept_without")
+    # one row per rule
+    return rows.select("*", base.alias("base_failed"), sole_failure(STRICT).alias("sole_failure")).join(F.broadcast(left_out), "sole_failure", "left")

@@ -337,6 +337,32 @@ def test_tree_keeps_quotas():
     assert share.sum() == 2 * 10**9 and (share <= big).all()
 
 
+@pytest.mark.parametrize("scale", [10**6, 4 * 10**9, 10**11])
+def test_tree_draws_by_the_same_law_at_every_size(scale):
+    rng, quotas = np.random.default_rng(3), np.array([scale // 2, scale // 8, scale // 10**6, 0, scale // 4])
+    total = int(quotas.sum())
+    n = total // 2
+    draws = np.array([mixing_tree.drawn_left(quotas, n, rng) for _ in range(400 if scale < 10**10 else 60)])
+    assert (draws.sum(axis=1) == n).all() and (draws <= quotas).all() and (draws >= 0).all()
+    share = quotas / total
+    variance = n * share * (1 - share) * (total - n) / (total - 1)
+    assert (np.abs(draws.mean(axis=0) - n * share) <= 5 * np.sqrt(variance / len(draws))).all()
+    some = variance > 0
+    ratio = draws.var(axis=0, ddof=1)[some] / variance[some]
+    assert (np.abs(ratio - 1) < 5 * math.sqrt(2 / len(draws))).all()
+
+
+def test_inversion_equals_numpys_law(monkeypatch):
+    """The probabilities of small cases, counted, against binomial coefficients."""
+    monkeypatch.setattr(mixing_tree, "NUMPY_LIMIT", 0)
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((5, 7, 4), (3, 0, 2), (0, 6, 3), (9, 2, 10), (4, 4, 8), (6, 3, 0)):
+        counts = Counter(mixing_tree.hypergeometric(good, bad, n, rng) for _ in range(4000))
+        for k in set(counts) | set(range(n + 1)):
+            p = math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) if 0 <= n - k else 0.0
+            assert abs(counts[k] / 4000 - p) <= 5 * math.sqrt(p * (1 - p) / 4000)
+
+
 def test_mix(spark, odd_docs, odd_rows, no_docs):
     plan = mixing_tree.mix(odd_docs, shards=8, block_words=16)
     draws, facts = plan.draws.collect(), plan.sources.collect()

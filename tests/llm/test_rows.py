@@ -48,7 +48,10 @@ def test_policies_and_ablations(spark, odd_docs, no_docs):
         bit = 1 << next(x.bit for x in rule_ledger.RULES if x.name == r.rule)
         assert r.failed == sum(bool(b & bit) for b in bits)
         assert r.failed_alone == bits.count(bit)
-        assert r.kept_without == bits.count(0) + bits.count(bit)
+        assert r.bit == bit and r.kept_without == bits.count(0) + bits.count(bit)
+    alone = rows.select("failure_bits", rule_ledger.sole_failure(rule_ledger.STRICT).alias("one"), rule_ledger.sole_failure(rule_ledger.BASE).alias("base")).collect()
+    assert all(r.one == (r.failure_bits if r.failure_bits.bit_count() == 1 else 0) for r in alone)
+    assert all(r.base == (r.failure_bits & 3 if (r.failure_bits & 3) in (1, 2) else 0) for r in alone)
     assert rule_ledger.ledger(no_docs).count() == 0
     assert rule_ledger.ablations(rule_ledger.ledger(no_docs), rule_ledger.STRICT).count() == 0
 
