@@ -8,6 +8,8 @@ first position of a sequence has no prediction and so a null `logprob`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
 
 
+def _named(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is made once, however often `then` uses it: lambdas are
+    interpreted, and inside of a condition Spark makes an array anew for each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def labelled_tokens(tokens: Column | str) -> Column:
     """Positions that carry loss."""
     return F.filter(tokens, lambda t: t["label_id"] != IGNORE_INDEX)
@@ -27,15 +35,17 @@ def labelled_tokens(tokens: Column | str) -> Column:
 
 def scored_tokens(tokens: Column | str) -> Column:
     """Positions that carry loss, without the last of them (end of sequence)."""
-    kept = labelled_tokens(tokens)
-    return F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+    return _named(labelled_tokens(tokens), lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
 
 
 def avg_loss(tokens: Column | str) -> Column:
     """Mean negative log-probability; NaN without labelled tokens."""
-    kept = labelled_tokens(tokens)
-    total = _sum(F.transform(kept, lambda t: -t["logprob"]))
-    return F.when(F.size(kept) > 0, total / F.size(kept)).otherwise(F.lit(float("nan")))
+
+    def mean(kept: Column) -> Column:
+        total = _sum(F.transform(kept, lambda t: -t["logprob"]))
+        return F.when(F.size(kept) > 0, total / F.size(kept)).otherwise(F.lit(float("nan")))
+
+    return _named(labelled_tokens(tokens), mean)
 
 
 def prob_from_loss(loss: Column) -> Column:
@@ -44,14 +54,20 @@ def prob_from_loss(loss: Column) -> Column:
 
 def exact_memorization(tokens: Column | str) -> Column:
     """Share of scored tokens predicted right; null without any."""
-    kept = scored_tokens(tokens)
-    hits = _sum(F.transform(kept, lambda t: (t["pred_id"] == t["label_id"]).cast("double")))
-    return F.when(F.size(kept) > 0, hits / F.size(kept))
+
+    def share(kept: Column) -> Column:
+        hits = _sum(F.transform(kept, lambda t: (t["pred_id"] == t["label_id"]).cast("double")))
+        return F.when(F.size(kept) > 0, hits / F.size(kept))
+
+    return _named(scored_tokens(tokens), share)
 
 
 def correct_suffix_length(tokens: Column | str) -> Column:
     """Number of scored tokens after the last wrong prediction."""
-    kept = scored_tokens(tokens)
+    return _named(scored_tokens(tokens), _right_suffix)
+
+
+def _right_suffix(kept: Column) -> Column:
     wrong_at = F.transform(
         kept, lambda t, i: F.when(t["pred_id"] != t["label_id"], i + 1).otherwise(0)
     )
@@ -60,16 +76,24 @@ def correct_suffix_length(tokens: Column | str) -> Column:
 
 def extraction_strength(tokens: Column | str) -> Column:
     """Share of the longest right suffix, at least 1/n; 0 without tokens."""
-    n = F.size(scored_tokens(tokens))
-    return F.when(n > 0, F.greatest(correct_suffix_length(tokens), F.lit(1)) / n).otherwise(F.lit(0.0))
+
+    def share(kept: Column) -> Column:
+        n = F.size(kept)
+        return F.when(n > 0, F.greatest(_right_suffix(kept), F.lit(1)) / n).otherwise(F.lit(0.0))
+
+    return _named(scored_tokens(tokens), share)
 
 
 def bottom_k_mean(values: Column, k: float) -> Column:
     """Negated mean of the smallest `max(1, int(n*k))` values; 0 when empty."""
-    n = F.size(values)
-    take = F.greatest(F.lit(1), (n.cast("double") * F.lit(float(k))).cast("int"))
-    lowest = F.slice(F.sort_array(values), F.lit(1), take)
-    return F.when(n > 0, -_sum(lowest) / take).otherwise(F.lit(0.0))
+
+    def mean(given: Column) -> Column:
+        n = F.size(given)
+        take = F.greatest(F.lit(1), (n.cast("double") * F.lit(float(k))).cast("int"))
+        lowest = F.slice(F.sort_array(given), F.lit(1), take)
+        return F.when(n > 0, -_sum(lowest) / take).otherwise(F.lit(0.0))
+
+    return _named(values, mean)
 
 
 def min_k(tokens: Column | str, k: float = 0.2) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -102,32 +103,53 @@ def fuse_token_scores(needed: Mapping[str, Spec], tables: Mapping[str, DataFrame
     """Table -> stored scores (dataset, index, answer_idx, one column per score).
 
     Every metric that works on an example's tokens alone becomes a column of one
-    projection over its table: the tokens of all datasets a suite asks for are read
-    and brought together once, whatever the number of metrics, and only scores are
-    kept.  Rows without tokens of a wanted dataset are not read.
+    projection over its table, computed for the datasets that ask for it: the tokens
+    of a suite are read and brought together once, whatever the number of metrics,
+    and only scores are kept.  Tokens of datasets that want sums alone are added up
+    where they are, for all tables in one grouping; only the others are packed, or
+    read from a table `<name>_packed` that holds the same examples packed already.
     """
-    plans: dict[str, tuple[set[str], set[str], dict]] = {}
+    wanted: dict[str, dict[str, set[str]]] = {}  # table -> column -> datasets
+    made: dict[str, tuple[str, Column]] = {}
+    fields: dict[str, dict[str, set[str]]] = {}  # table -> dataset -> token fields
     for spec in needed.values():
         scores = TOKEN_SCORES.get(spec.handler)
         for table, dataset in spec.data.values() if scores else ():
-            datasets, fields, columns = plans.setdefault(table, (set(), set(), {}))
-            datasets.add(dataset)
-            fields.update(scores.fields)
-            columns.update({_column(spec, n): (n, c) for n, c in scores.columns(**spec.params).items()})
+            fields.setdefault(table, {}).setdefault(dataset, set()).update(scores.fields)
+            for name, expression in scores.columns(**spec.params).items():
+                made[_column(spec, name)] = (name, expression)
+                wanted.setdefault(table, {}).setdefault(_column(spec, name), set()).add(dataset)
     keys = ["dataset", *handlers.EXAMPLE]
-    fused = {}
-    for table, (datasets, fields, columns) in plans.items():
-        rows = tables[table].where(F.col("dataset").isin(*sorted(datasets)))
-        if handlers.TOK not in rows.columns and fields == set(handlers.LOSS_FIELDS) and {n for n, _ in columns.values()} <= {"avg_loss", "prob"}:
-            losses = losses_from_tokens(rows, keys)  # sums alone need no tokens brought together
-            scores = losses.select(*keys, *[F.col(n).alias(c) for c, (n, _) in columns.items()])
-        else:
-            packed = rows if handlers.TOK in rows.columns else pack_tokens(rows.select(*keys, "pos", *sorted(fields)), keys)
-            scores = packed.select(*keys, *[e.alias(c) for c, (_, e) in columns.items()])
-        fused[table] = materialise(scores, "token-scores")
+    fused: dict[str, DataFrame] = {}
+    sums: dict[str, DataFrame] = {}
+    for table, read in fields.items():
+        rows, columns = tables[table], wanted[table]
+        whole = set(read)
+        if handlers.TOK not in rows.columns:
+            whole = {d for c, datasets in columns.items() if made[c][0] not in ("avg_loss", "prob") for d in datasets}
+            added = set(read) - whole
+            if added:
+                sums[table] = rows.where(_is_one_of(added)).select(F.lit(table).alias("_table"), *keys, *handlers.LOSS_FIELDS)
+        if whole:
+            packed = tables.get(f"{table}_packed", rows).where(_is_one_of(whole))
+            if handlers.TOK not in packed.columns:
+                used = sorted(set().union(*(read[d] for d in whole)))
+                packed = pack_tokens(packed.select(*keys, "pos", *used), keys)
+            each = [F.when(_is_one_of(datasets & whole), made[c][1]).alias(c) for c, datasets in columns.items() if datasets & whole]
+            fused[table] = materialise(packed.select(*keys, *each), "token-scores")
+    if sums:
+        losses = materialise(losses_from_tokens(reduce(DataFrame.unionByName, sums.values()), ["_table", *keys]), "token-losses")
+        for table in sums:
+            named = [F.col(made[c][0]).alias(c) for c in wanted[table] if made[c][0] in ("avg_loss", "prob")]
+            own = losses.where(F.col("_table") == table).select(*keys, *named)
+            fused[table] = fused[table].unionByName(own, allowMissingColumns=True) if table in fused else own
     return fused
 
 
+def _is_one_of(datasets: set[str]) -> Column:
+    return F.col("dataset").isin(*sorted(datasets))
+
+
 def _datasets(spec: Spec, tables: Mapping[str, DataFrame], fused: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The rows of each dataset; `dataset` is a partition column of stored tables."""
     found = {}

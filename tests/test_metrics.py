@@ -100,6 +100,34 @@ def test_a_suite_brings_tokens_together_once(spark, tmp_path, monkeypatch):
     assert not packed
 
 
+def test_only_datasets_that_need_whole_texts_are_packed(spark, tmp_path, monkeypatch):
+    packed, real = [], M.pack_tokens
+    monkeypatch.setattr(M, "pack_tokens", lambda rows, keys: (packed.append({r[0] for r in rows.select("dataset").distinct().collect()}), real(rows, keys))[1])
+    given, specs = tables(spark), SPECS["tofu"]
+    wanted = ("forget_Truth_Ratio", "ra_Q_A_Prob_normalised", "extraction_strength", "mia_min_k")
+    done = {r["metric"]: r["agg_value"] for r in M.evaluate(M.MetricStore(spark, str(tmp_path / "a")), "t", specs, wanted, given).collect()}
+    assert packed == [{"TOFU_QA_forget", "TOFU_QA_holdout"}]
+    # packed tokens beside the rows are taken as they are, with the same results
+    beside = {**given, "tokens_packed": A.pack_tokens(given["tokens"], ["dataset", "index", "answer_idx"])}
+    again = {r["metric"]: r["agg_value"] for r in M.evaluate(M.MetricStore(spark, str(tmp_path / "b")), "t", specs, wanted, beside).collect()}
+    assert len(packed) == 1 and again.keys() == done.keys() == set(wanted)
+    assert all(again[m] == pytest.approx(done[m], rel=1e-12) for m in wanted)
+
+
+def test_suite_tokens_are_the_same_in_both_layouts(spark):
+    from lethe.plans.evaluation import suite_tokens
+
+    given = suite_tokens(spark, "/root/testdata/sf0.001", 5)
+    keys = ["dataset", "index", "answer_idx"]
+    whole = given["tokens"].where("dataset IN ('TOFU_QA_forget', 'TOFU_QA_holdout')")
+    fields = ["label_id", "logprob", "pred_id"]
+    rows = A.pack_tokens(whole.select(*keys, "pos", *fields), keys)
+    packed = given["tokens_packed"].where("dataset IN ('TOFU_QA_forget', 'TOFU_QA_holdout')").select(*keys, "tokens")
+    assert rows.exceptAll(packed).isEmpty() and packed.exceptAll(rows).isEmpty()
+    # no token is shuffled for the packed ones
+    assert "ObjectHashAggregate" not in packed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_incremental_run(spark, tmp_path):
     calls = []
 
