@@ -276,3 +276,28 @@ def test_popularity_splits_cover_every_row_once(spark, n):
         assert sorted(r["index"] for r in mine) == list(range(n))
         assert {r["index"] for r in mine if r["split"].startswith("rare")} == {i for _, i in order[:size]}
         assert {r["index"] for r in mine if r["split"].startswith("popular")} == ({i for _, i in order[-size:]} if size else set())
+
+
+def test_null_keys_of_a_lookup_are_dealt_over_all_partitions(spark):
+    from lethe.operators.lookup import Lookup, lookup
+
+    facts = spark.range(4000).select(F.col("id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    dim = spark.range(0, 4000, 200).select(F.concat(F.lit("k"), F.col("id")).alias("k"), (F.col("id") * 2).alias("twice"))
+    found = lookup(facts, Lookup(dim.hint("merge"), "k", F.col("k")))
+    rows = found.withColumn("_at", F.spark_partition_id()).collect()
+    assert {r["id"]: r["twice"] for r in rows} == {i: 2 * i if i % 200 == 0 else None for i in range(4000)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 8 and max(sizes) < 1000
+
+
+def test_a_relation_with_most_triples_stays_where_it_is(spark):
+    from lethe.plans import construction as C
+
+    plan = C.txt3(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(relation" not in plan
+    asked = C.asked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_key1" in asked
