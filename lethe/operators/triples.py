@@ -120,7 +120,8 @@ def with_questions(
 
     Annotations are per distinct text, so the taggers never see a text twice.
     With `reverse` a column `topic` gives the swapped question where the
-    forward one fails.
+    forward one fails.  The annotated relations are broadcast: they are few, and
+    one may hold most triples.
     """
     r = relation_tags.select(
         "relation",
@@ -134,7 +135,7 @@ def with_questions(
     o = object_tags.select(
         F.col("object").alias("objectLabel"), Q.agreed_type(F.col("ner1"), F.col("ner2")).alias("_object")
     )
-    tagged = lookup(df, Lookup(o, "objectLabel", F.col("objectLabel")), Lookup(r, "relation", F.col("relation")))
+    tagged = lookup(df, Lookup(o, "objectLabel", F.col("objectLabel")), Lookup(F.broadcast(r), "relation", F.col("relation")))
     object_type = F.col("_object.type")
     word = Q.question_word(object_type)
     subject, relation = F.col("subjectLabel"), F.col("relation")

@@ -401,7 +401,8 @@ def txt3(spark: SparkSession, sf: str) -> DataFrame:
     types = object_tags(spark, sf).select(
         F.col("object").alias("objectLabel"), Q.agreed_type(F.col("ner1"), F.col("ner2"))["type"].alias("type")
     )
-    joined = clean.join(tags, "relation").join(types, "objectLabel")
+    # a relation may hold most triples; there is one row per relation
+    joined = clean.join(F.broadcast(tags), "relation").join(types, "objectLabel")
     topic = F.when(F.col("line_no") % 3 == 0, "human").when(F.col("line_no") % 3 == 1, "revolution")
     question = Q.reverse_question(
         F.col("form"), Q.question_word(F.col("type")), F.col("type"), F.col("subjectLabel"), F.col("relation"), topic
