@@ -13,7 +13,7 @@ from lethe.plans.catalog import query
 from lethe.plans.inputs import table
 from lethe.session import materialise, scratch_path
 from lethe.sinks.writers import checkpoint_by_source, write_qa
-from lethe.sources.triples import scan_triples, scan_uniform
+from lethe.sources.triples import range_size, scan_triples, scan_uniform
 
 ORDER = ["source", "line_no"]
 
@@ -262,7 +262,8 @@ UNION ALL SELECT 'nation.csv', n_name || ', "of"' || chr(10) || 'the world', 'li
 UNION ALL SELECT 'customer.csv', chr(10) || ',' || chr(10) || c_mktsegment || ',', 'is' || chr(10) || 'at', c_name || chr(10) || '"said", so' || chr(10) || c_custkey FROM customer""",
 )
 def src1(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = scan_triples(spark, triple_files(spark, sf), RANGE_BYTES)
+    files = triple_files(spark, sf)
+    rows, _ = scan_triples(spark, files, range_size(spark, files, RANGE_BYTES))
     folder = F.regexp_extract("file_path", r"folder=([^/]+)/", 1)
     return rows.select(folder.alias("folder"), *X.FIELDS)
 

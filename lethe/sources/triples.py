@@ -26,6 +26,7 @@ FILES = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
 MISSING, LONG_ROW, OPEN_QUOTE, NOTHING = "missing columns", "row with more fields than the header", "quote is never closed", "empty or unreadable"
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', **FILES}
 RANGES = "spark.sql.files.maxPartitionBytes"
+RANGES_AT_ONCE, SESSION_RANGE = 512, 1 << 27  # the latter is Spark's own default
 
 # A field with its separator: quoted (with "" for a quote), then up to the next comma, or plain.
 QUOTED = r'"(?:[^"]++|"")*+'
@@ -175,6 +176,16 @@ def scan_triples(spark: SparkSession, root: str | list[str], range_bytes: int |
     return rows, wrong.where(F.col("reason") != "").unionByName(unread)
 
 
+def range_size(spark: SparkSession, root: str | list[str], least: int) -> int:
+    """Bytes of a range, so that all files make about `RANGES_AT_ONCE` of at least `least`.
+
+    The driver hears of every range: more ranges than that tell it more and gain
+    nothing, until they are as large as Spark's own.
+    """
+    total = spark.read.format("binaryFile").options(**FILES).load(root).agg(F.sum("length")).first()[0] or 0
+    return max(least, min(total // RANGES_AT_ONCE, SESSION_RANGE))
+
+
 def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """(path) of all CSV files, as the listing of a scan has them; none is opened."""
     return spark.createDataFrame([(f,) for f in spark.read.options(**FILES).text(root).inputFiles()], "path string")

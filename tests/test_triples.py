@@ -7,7 +7,7 @@ from lethe.functions import questions as Q
 from lethe.operators import triples as X
 from lethe.sinks import writers
 from lethe.sinks.writers import checkpoint_by_source, write_qa
-from lethe.sources.triples import OPEN_INSIDE, OPEN_OUTSIDE, _start_states, _state, scan_triples, scan_uniform
+from lethe.sources.triples import OPEN_INSIDE, OPEN_OUTSIDE, _start_states, _state, range_size, scan_triples, scan_uniform
 
 RELATIONS = [  # relation, tags, lemmas, question for subject S and a plain object
     ("born in", "VBN IN", "bear in", "What was S born in?"),
@@ -301,3 +301,10 @@ def test_a_relation_with_most_triples_stays_where_it_is(spark):
     assert "hashpartitioning(relation" not in plan
     asked = C.asked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [_key1" in asked
+
+
+def test_ranges_grow_with_the_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_bytes(b"x" * 1024 * 1024)
+    assert range_size(spark, str(tmp_path), 64) == 3 * 1024 * 1024 // 512
+    assert range_size(spark, str(tmp_path), 1 << 16) == 1 << 16
