@@ -19,8 +19,12 @@ STEM_LONGER_THAN = 3
 
 def rouge_tokens(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9, as an array."""
-    cleaned = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-    return F.filter(F.split(cleaned, " "), lambda w: w != "")
+    return F.filter(F.split(_cleaned(text), " "), lambda w: w != "")
+
+
+def _cleaned(text: Column) -> Column:
+    """The same tokens as one text: a batch of rows is held as text, and one row's words at a time."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
@@ -58,8 +62,8 @@ def _rouge_frame(references: pd.Series, generated: pd.Series, stem: bool) -> pd.
             stems[word] = porter_stem(word) if len(word) > STEM_LONGER_THAN else word
         return stems[word]
 
-    def prepared(words) -> list[str]:
-        return [stemmed(w) for w in words] if stem else list(words)
+    def prepared(text: str) -> list[str]:
+        return [stemmed(w) for w in text.split()] if stem else text.split()
 
     rows = [_scores(prepared(r), prepared(g)) for r, g in zip(references, generated)]
     return pd.DataFrame(rows, columns=list(ROUGE_TYPES))
@@ -82,7 +86,7 @@ def text_similarity(df: DataFrame, use_stemmer: bool = True) -> DataFrame:
     """
     score = _rouge_stemmed if use_stemmer else _rouge_plain
     scored = df.withColumn(
-        "_rouge", score(rouge_tokens(F.col("ground_truth")), rouge_tokens(F.col("generation")))
+        "_rouge", score(_cleaned(F.col("ground_truth")), _cleaned(F.col("generation")))
     )
     return scored.select(*df.columns, *[F.col(f"_rouge.{name}").alias(name) for name in ROUGE_TYPES])
 

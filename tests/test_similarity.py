@@ -85,3 +85,15 @@ def test_a_text_without_logits_and_logits_without_a_text_are_errors(spark, texts
         attach_classifier_scores(left, right).collect()
     both = attach_classifier_scores(left.where("index = 1"), right.where("index = 1")).collect()
     assert [tuple(r) for r in both] == [(1, "t", 0.5)]
+
+
+def test_rows_reach_python_as_text_not_as_words(spark):
+    from lethe.operators.similarity import text_similarity
+
+    df = spark.createDataFrame([("The cats, sat DOWN!", " the cat sat\n"), ("", "a"), ("x  y", "y")], "ground_truth string, generation string")
+    scored = text_similarity(df)
+    rows = {r["ground_truth"]: r for r in scored.collect()}
+    assert rows["The cats, sat DOWN!"]["rougeL_recall"] == 3 / 4
+    assert rows[""]["rouge1_recall"] == 0.0 and rows["x  y"]["rougeL_recall"] == 1 / 2
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan
