@@ -37,6 +37,7 @@ from lethe.llm.catalog import query, table
 from lethe.llm.components import components
 from lethe.llm.coordinate_join import WordHashes, shingle_hashes
 from lethe.llm.islands import island_links
+from lethe.llm.members import likely
 from lethe.session import materialise
 
 SAMPLE = 0.25  # of the range of hashes; any share gives the same result
@@ -137,11 +138,13 @@ def similar_groups(
     wanted = materialise(
         classes.join(common, "key", "left")
         .where(own <= F.col("m") * F.col("copies"))
-        .select("c", F.col("id").alias("_id"), F.col("body").alias("_body"), "n", "m"),
+        .select("c", F.xxhash64(F.col("id").isNull(), "id").alias("v"), "body", "n", "m"),
         "candidates",
     )
-    same_row = F.col("id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))
-    texts = narrow.join(wanted, same_row).select("c", "n", "m", "text").dropDuplicates(["c"])
+    row_of = [F.xxhash64(F.col("id").isNull(), "id").alias("v"), "body"]
+    # only the candidates' texts move; rows that repeat id and text collapse before the shuffle, which also serves the join
+    once = likely(narrow.select(*row_of, "text"), wanted, "v", "body").dropDuplicates(["v", "body"])
+    texts = once.join(wanted, ["v", "body"]).select("c", "n", "m", "text")
     sets = materialise(texts.mapInPandas(_set_maker(words), "c bigint, n bigint, m bigint, held binary"), "sets")
     # the same with all shingles of the candidates, which also gives the order of rarity
     tokens = sets.select("c", "held").mapInPandas(_lister, "c bigint, token bigint")
@@ -158,7 +161,8 @@ def similar_groups(
     pivots = members.groupBy("token").agg(F.min(F.struct(F.xxhash64("c").alias("h"), "c", "n")).alias("p")).select("token", "p.c", "p.n")
     met = members.join(pivots.select("token", F.col("c").alias("b"), F.col("n").alias("nb")), "token").where(F.col("c") != F.col("b"))
     pairs = met.where((100 * F.col("n") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("n"))).select(F.col("c").alias("a"), "b").distinct()
-    sided = [sets.select(F.col("c").alias(x), F.col("held").alias(f"held_{x}")) for x in "ab"]
+    pairs = materialise(pairs, "pivot-pairs")
+    sided = [likely(sets.select(F.col("c").alias(x), F.col("held").alias(f"held_{x}")), pairs.select(x).distinct(), x) for x in "ab"]
     starred = materialise(pairs.join(sided[0], "a").join(sided[1], "b").mapInPandas(_verifier(percent), "a bigint, b bigint"), "pivot-links")
     roots = materialise(components(starred), "pivot-groups")
     # a list of two has no pair but the one with its pivot

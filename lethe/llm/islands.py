@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lethe.llm.components import components
+from lethe.llm.members import likely
 from lethe.session import materialise
 
 GROUPS = 2_048
@@ -171,5 +172,5 @@ def island_links(
     tasks = met.select("island", F.col("leaf").alias("la"), F.col("o_leaf").alias("lb")).distinct()
     sided = tasks.select("*", F.explode(F.array_distinct(F.array("la", "lb"))).alias("leaf"))
     rows = sided.join(leaved, ["island", "leaf"]).select("island", "la", "lb", "c", "comp", ((F.col("leaf") == F.col("lb")) & (F.col("la") < F.col("lb"))).alias("side"))
-    ordered = rows.join(sets.select("c", "held"), "c").repartition("island", "la", "lb").sortWithinPartitions("island", "la", "lb")
+    ordered = rows.join(likely(sets.select("c", "held"), leaved.select("c"), "c"), "c").repartition("island", "la", "lb").sortWithinPartitions("island", "la", "lb")
     return ordered.mapInPandas(_solver(percent, groups, node), "a bigint, b bigint")

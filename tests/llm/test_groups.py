@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lethe.llm import bucket_refinement, components, coordinate_join, count_tree, islands, mixing_tree, voronoi_knn
+from lethe.llm import bucket_refinement, components, coordinate_join, count_tree, islands, members, mixing_tree, voronoi_knn
 
 
 # ---------------------------------------------------------------- top-k search
@@ -133,6 +133,34 @@ def test_similar_groups(spark, odd_docs, odd_rows, no_docs, k, percent, tree):
     assert count_tree.similar_groups(no_docs, k, percent, **tree).count() == 0
 
 
+@pytest.mark.parametrize("pages", [members.PAGES, 1])
+def test_likely_rows_lose_no_partner(spark, monkeypatch, pages):
+    monkeypatch.setattr(members, "PAGES", pages)
+    rows = spark.range(40_000).select(F.when(F.col("id") > 0, F.col("id")).alias("a"), F.lit("x").alias("b"))
+    keys = rows.where("a IS NULL OR a % 8 = 0")
+    got = {r.a for r in members.likely(rows, keys, "a", "b").collect()}
+    assert got >= {None, *range(8, 40_000, 8)}
+    assert len(got) < (9_000 if pages > 1 else 12_000)
+    assert members.likely(rows, keys.limit(0), "a", "b").count() == 0
+
+
+def test_only_texts_of_candidates_move(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(80)) for _ in range(300)]
+    rows = list(enumerate(texts + [edited(texts[0].split(), rng, 1) for _ in range(3)]))
+    moved = {}
+
+    def spied(rows, keys, *by):
+        out = members.likely(rows, keys, *by)
+        moved.setdefault(by, out.count())
+        return out
+
+    monkeypatch.setattr(count_tree, "likely", spied)
+    got = count_tree.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).collect()
+    assert sorted(r.component_id for r in got) == sorted([*range(300), 0, 0, 0])
+    assert 4 <= moved["v", "body"] < 40
+
+
 def test_minima_bound_what_is_shared():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(30)]
