@@ -304,6 +304,62 @@ def test_kept_text_is_returned(spark, tmp_path):
     assert all(len(r.text.encode()) == r.n_bytes - r.n_removed for r in rows.values())
 
 
+def passage_words_by_force(texts, length):
+    data = [(t or "").encode().split() for t in texts]
+    count = Counter(tuple(w[s : s + length]) for w in data for s in range(len(w) - length + 1))
+    out = []
+    for w in data:
+        inside = set()
+        for s in range(len(w) - length + 1):
+            if count[tuple(w[s : s + length])] > 1:
+                inside.update(range(s, s + length))
+        out.append(len(inside))
+    return out
+
+
+@pytest.mark.parametrize("shape", [(12, 9), (20, 5)])
+def test_passages_of_words(spark, odd_docs, odd_rows, no_docs, shape):
+    rng = random.Random(shape[0])
+
+    def prose(n):
+        return [rng.choice(["a", "bé", "cc", "d,"]) for _ in range(n)]
+
+    passage = prose(90)
+    texts = []
+    for i in range(60):
+        lo = rng.randrange(70)
+        own = prose(rng.randrange(40))
+        texts.append(rng.choice([" ", "\n", " \t"]).join(own + passage[lo : lo + rng.randrange(8, 60)] + own[: rng.randrange(30)]))
+    texts += ["z " * 70, "x y " * 15, " ".join(passage), "  ".join(passage), "\u00a0".join(passage), " ".join(passage[:11]), None, ""]
+    texts += texts[:3]
+
+    def counted(docs):
+        found = bucket_refinement.repeated_substrings(docs, 40, 24, passage=bucket_refinement.Shape(*shape, words=True))
+        rows = found.documents.join(found.cut, "r", "left").collect()
+        cut = []
+        for r in rows:
+            cut.append((r.n, r.n, 1, bucket_refinement.EMPTY_SHA) if r.whole else (r.n, r.n_removed or 0, r.n_spans or 0, r.kept_sha256 or r.sha.hex()))
+        return cut, [r.passage_words if r.n_passage_words is None else r.n_passage_words for r in rows]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for df, plain in ((docs, texts), (odd_docs, [t for _, t, _, _ in odd_rows]), (no_docs, [])):
+        cut, words = counted(df)
+        by_words = passage_words_by_force(plain, shape[0])
+        assert sorted(words) == sorted(by_words)
+        by_force = cut_by_force(plain, 40)
+        assert sorted(zip(cut, words)) == sorted(zip(by_force, by_words))
+
+
+def test_a_passage_of_short_words_is_counted(spark, tmp_path):
+    passage = " ".join(f"w{i % 7}{i}" for i in range(55))
+    assert len(passage.encode()) < bucket_refinement.LENGTH
+    texts = ["before " + passage, passage + " behind it", "a text of its own " * 3, " ".join(passage.split()[:49]), None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in bucket_refinement.bucket_refinement(spark, str(tmp_path)).collect()}
+    assert {i: r.n_passage_words for i, r in rows.items()} == {0: 55, 1: 55, 2: 0, 3: 0, 4: 0}
+    assert all(r.n_removed == 0 and r.text == (texts[i] or "") for i, r in rows.items())
+
+
 def test_hot_identifiers_keep_all_rows(spark, monkeypatch):
     monkeypatch.setattr(bucket_refinement, "HOT", 4)
     rows = [(i, 1) for i in range(50)] + [(50 + i, 2 + i // 2) for i in range(40)] + [(99, 77)]
